@@ -43,12 +43,11 @@ class Field:
 
     @property
     def truthy(self) -> Column:
-        return F.coalesce(
-            F.when(self.kind == "STRING", self.text != "")
-            .when(self.kind == "OBJECT", self.text != "{}")
-            .when(self.kind == "ARRAY", self.text != "[]")
-            .otherwise(F.try_variant_get(self.value, "$", "boolean")),
-            F.lit(False),
+        kind, text, value = f"_{self.name}_kind", f"_{self.name}_text", f"_{self.name}_value"
+        return F.expr(
+            f"coalesce(CASE {kind} WHEN 'STRING' THEN {text} != '' WHEN 'OBJECT' THEN {text} != "
+            f"'{{}}' WHEN 'ARRAY' THEN {text} != '[]' ELSE try_variant_get({value}, '$', 'boolean') "
+            "END, false)"
         )
 
     @property
@@ -59,43 +58,29 @@ class Field:
 def read_fields(
     df: DataFrame, answer: str, paths: dict[str, str]
 ) -> tuple[DataFrame, dict[str, Field]]:
-    fields = {name: Field(name) for name in paths}
-    read = (
-        df.withColumns(
-            {
-                f"_{name}_value": F.try_variant_get(F.col(answer), path, "variant")
-                for name, path in paths.items()
-            }
-        )
-        .withColumns(
-            {
-                f"_{name}_kind": F.regexp_extract(F.schema_of_variant(field.value), "^[A-Z]+", 0)
-                for name, field in fields.items()
-            }
-            | {
-                f"_{name}_plain": F.try_variant_get(field.value, "$", "string")
-                for name, field in fields.items()
-            }
-        )
-        .withColumns(
-            {
-                f"_{name}_text": _python_text(F.col(f"_{name}_plain"), field.kind)
-                for name, field in fields.items()
-            }
-        )
-    )
-    return read, fields
+    """Adds the columns of every key; SQL text keeps the many small expressions cheap to build."""
+    values = [
+        f"try_variant_get({answer}, '{path}', 'variant') AS _{name}_value"
+        for name, path in paths.items()
+    ]
+    kinds = [
+        f"regexp_extract(schema_of_variant(_{name}_value), '^[A-Z]+', 0) AS _{name}_kind"
+        for name in paths
+    ]
+    plain = [f"try_variant_get(_{name}_value, '$', 'string') AS _{name}_plain" for name in paths]
+    texts = [
+        f"CASE WHEN _{name}_kind = 'DECIMAL' AND _{name}_plain RLIKE '^-?[0-9]{{1,18}}$' "
+        f"THEN concat(_{name}_plain, '.0') ELSE _{name}_plain END AS _{name}_text"
+        for name in paths
+    ]
+    read = df.selectExpr("*", *values).selectExpr("*", *kinds, *plain).selectExpr("*", *texts)
+    return read, {name: Field(name) for name in paths}
 
 
 def drop_fields(df: DataFrame, fields: dict[str, Field]) -> DataFrame:
     return df.drop(*[column for field in fields.values() for column in field.columns])
 
 
-def _python_text(plain: Column, kind: Column) -> Column:
-    fraction = (kind == "DECIMAL") & plain.rlike(r"^-?[0-9]{1,18}$")
-    return F.when(fraction, F.concat(plain, F.lit(".0"))).otherwise(plain)
-
-
 # First code point of the ten decimal digits of each script a transcript or an answer may use:
 # Devanagari, Bengali, Gurmukhi, Gujarati, Tamil, Telugu, Kannada, Malayalam.
 _DIGIT_ZEROS = [0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66]
@@ -127,7 +112,5 @@ def whole_number_text(number: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
+    """True where any of the plain words occurs, also inside a longer word."""
+    return text.rlike("|".join(words))
