@@ -50,10 +50,6 @@ class Field:
             "END, false)"
         )
 
-    @property
-    def columns(self) -> list[str]:
-        return [f"_{self.name}_{part}" for part in ("value", "kind", "plain", "text")]
-
 
 def read_fields(
     df: DataFrame, answer: str, paths: dict[str, str]
@@ -77,10 +73,6 @@ def read_fields(
     return read, {name: Field(name) for name in paths}
 
 
-def drop_fields(df: DataFrame, fields: dict[str, Field]) -> DataFrame:
-    return df.drop(*[column for field in fields.values() for column in field.columns])
-
-
 # First code point of the ten decimal digits of each script a transcript or an answer may use:
 # Devanagari, Bengali, Gurmukhi, Gujarati, Tamil, Telugu, Kannada, Malayalam.
 _DIGIT_ZEROS = [0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66]

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duecall.functions import labels, policy, promise
-from duecall.functions.values import Field, drop_fields, read_fields, whole_number_text
+from duecall.functions.fence import fenced
+from duecall.functions.values import Field, read_fields, whole_number_text
 from duecall.vocabulary import BAD_REMARKS, RESPONSE_FIELDS
 
 _INPUT_ERRORS = ["request_error", "generate_error", "parse_error"]
@@ -141,11 +142,8 @@ def clean_answers(
     outcome["failed"] = ~fine | ~fields["error"].missing
     if keep_extra:
         outcome["extra"] = F.when(fine, _unknown_keys(answer))
-    work = [
-        "_call", "_pay", "_reason", "_promise", "_spoken", "_confidence", "_noted", "_amount",
-        "_date", "_vague", "_problem",
-    ]
-    return drop_fields(judged.withColumns(outcome), fields).drop(*work, *_INPUT_ERRORS, answer)
+    dropped = {answer, *_INPUT_ERRORS, *outcome}
+    return fenced(judged, [name for name in df.columns if name not in dropped], outcome)
 
 
 def _unknown_keys(answer: str) -> Column:

@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duecall.functions.answers import only_object, parse_in_brackets, slice_json
+from duecall.functions.fence import fenced
 from duecall.vocabulary import BAD_JSON, NO_JSON
 
 
 def parse_generations(df: DataFrame, text: str = "generation") -> DataFrame:
     """Adds ``answer`` (VARIANT) and ``parse_error``; exactly one of them is null."""
-    parsed = (
+    sliced = (
         df.withColumn("_slice", slice_json(F.col(text)))
         .withColumn("_array", parse_in_brackets(F.col("_slice")))
-        .withColumn("answer", only_object(F.col("_array"), F.col("_slice")))
+        .withColumn("_answer", only_object(F.col("_array"), F.col("_slice")))
     )
-    return parsed.withColumn(
-        "parse_error",
-        F.when(F.col("_slice").isNull(), F.lit(NO_JSON)).when(
-            F.col("answer").isNull(), F.lit(BAD_JSON)
-        ),
-    ).drop("_slice", "_array")
+    error = F.when(F.col("_slice").isNull(), F.lit(NO_JSON)).when(
+        F.col("_answer").isNull(), F.lit(BAD_JSON)
+    )
+    return fenced(sliced, df.columns, {"answer": F.col("_answer"), "parse_error": error})
 
 
 def split_errors(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,3 +38,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="duecall-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Sends Python packages to the executors, whose workers import them by name."""
+    context = spark.sparkContext
+    for package in packages:
+        if (context.applicationId, package) in _shipped:
+            continue
+        root = os.path.dirname(importlib.import_module(package).__file__)
+        target = os.path.join(tempfile.mkdtemp(prefix="duecall-ship-"), package)
+        archive = shutil.make_archive(target, "zip", os.path.dirname(root), package)
+        context.addPyFile(archive)
+        _shipped.add((context.applicationId, package))
