@@ -21,7 +21,7 @@ class Field:
 
     @property
     def value(self) -> Column:
-        return F.col(f"_{self.name}_value")
+        return F.col(f"__{self.name}_value")
 
     @property
     def missing(self) -> Column:
@@ -34,16 +34,16 @@ class Field:
     @property
     def kind(self) -> Column:
         """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, ARRAY, OBJECT or VOID; null when absent."""
-        return F.col(f"_{self.name}_kind")
+        return F.col(f"__{self.name}_kind")
 
     @property
     def text(self) -> Column:
         """Text form; null for absent and null. A fractional literal keeps its point (``7.0``)."""
-        return F.col(f"_{self.name}_text")
+        return F.col(f"__{self.name}_text")
 
     @property
     def truthy(self) -> Column:
-        kind, text, value = f"_{self.name}_kind", f"_{self.name}_text", f"_{self.name}_value"
+        kind, text, value = f"__{self.name}_kind", f"__{self.name}_text", f"__{self.name}_value"
         return F.expr(
             f"coalesce(CASE {kind} WHEN 'STRING' THEN {text} != '' WHEN 'OBJECT' THEN {text} != "
             f"'{{}}' WHEN 'ARRAY' THEN {text} != '[]' ELSE try_variant_get({value}, '$', 'boolean') "
@@ -56,17 +56,17 @@ def read_fields(
 ) -> tuple[DataFrame, dict[str, Field]]:
     """Adds the columns of every key; SQL text keeps the many small expressions cheap to build."""
     values = [
-        f"try_variant_get({answer}, '{path}', 'variant') AS _{name}_value"
+        f"try_variant_get({answer}, '{path}', 'variant') AS __{name}_value"
         for name, path in paths.items()
     ]
     kinds = [
-        f"regexp_extract(schema_of_variant(_{name}_value), '^[A-Z]+', 0) AS _{name}_kind"
+        f"regexp_extract(schema_of_variant(__{name}_value), '^[A-Z]+', 0) AS __{name}_kind"
         for name in paths
     ]
-    plain = [f"try_variant_get(_{name}_value, '$', 'string') AS _{name}_plain" for name in paths]
+    plain = [f"try_variant_get(__{name}_value, '$', 'string') AS __{name}_plain" for name in paths]
     texts = [
-        f"CASE WHEN _{name}_kind = 'DECIMAL' AND _{name}_plain RLIKE '^-?[0-9]{{1,18}}$' "
-        f"THEN concat(_{name}_plain, '.0') ELSE _{name}_plain END AS _{name}_text"
+        f"CASE WHEN __{name}_kind = 'DECIMAL' AND __{name}_plain RLIKE '^-?[0-9]{{1,18}}$' "
+        f"THEN concat(__{name}_plain, '.0') ELSE __{name}_plain END AS __{name}_text"
         for name in paths
     ]
     read = df.selectExpr("*", *values).selectExpr("*", *kinds, *plain).selectExpr("*", *texts)

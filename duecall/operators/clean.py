@@ -17,14 +17,14 @@ def normalise_labels(df: DataFrame, fields: dict[str, Field]) -> DataFrame:
     """Adds ``_call``, ``_pay`` and ``_reason``."""
     return df.withColumns(
         {
-            "_call": labels.label_text(fields["disposition"], "OTHERS"),
-            "_pay": labels.label_text(fields["payment_disposition"], "None"),
-            "_reason": labels.map_reason(fields["reason_for_not_paying"].text),
+            "__call": labels.label_text(fields["disposition"], "OTHERS"),
+            "__pay": labels.label_text(fields["payment_disposition"], "None"),
+            "__reason": labels.map_reason(fields["reason_for_not_paying"].text),
         }
     ).withColumns(
         {
-            "_call": labels.normalise_call_label(F.col("_call")),
-            "_pay": labels.normalise_payment_label(F.col("_pay")),
+            "__call": labels.normalise_call_label(F.col("__call")),
+            "__pay": labels.normalise_payment_label(F.col("__pay")),
         }
     )
 
@@ -32,18 +32,18 @@ def normalise_labels(df: DataFrame, fields: dict[str, Field]) -> DataFrame:
 def settle_amount(df: DataFrame, amount: Field, transcript: str, wanted: Column) -> DataFrame:
     """Adds ``_amount`` where ``wanted``: a truthy amount must be grounded, a falsy one stays."""
     return (
-        df.withColumn("_number", F.when(wanted, promise.amount_number(amount.text)))
-        .withColumn("_whole", whole_number_text(F.col("_number")))
+        df.withColumn("__number", F.when(wanted, promise.amount_number(amount.text)))
+        .withColumn("__whole", whole_number_text(F.col("__number")))
         .withColumn(
-            "_amount",
+            "__amount",
             F.when(
                 wanted,
                 F.when(
-                    amount.truthy, promise.ground_amount(F.col("_whole"), F.col(transcript))
+                    amount.truthy, promise.ground_amount(F.col("__whole"), F.col(transcript))
                 ).otherwise(amount.text),
             ),
         )
-        .drop("_number", "_whole")
+        .drop("__number", "__whole")
     )
 
 
@@ -54,22 +54,22 @@ def settle_date(df: DataFrame, date: Field, current_date: str, wanted: Column) -
     """
     today = F.col(current_date)
     resolved = (
-        df.withColumn("_reference", F.when(wanted, promise.reference_date(today)))
+        df.withColumn("__reference", F.when(wanted, promise.reference_date(today)))
         .withColumn(
-            "_said",
-            promise.resolve_relative_date(date.text, F.col("_spoken"), F.col("_reference"), today),
+            "__said",
+            promise.resolve_relative_date(date.text, F.col("__spoken"), F.col("__reference"), today),
         )
-        .withColumn("_iso", promise.extract_iso_date(F.col("_said")))
-        .withColumn("_month_end", promise.month_end(F.col("_iso")))
+        .withColumn("__iso", promise.extract_iso_date(F.col("__said")))
+        .withColumn("__month_end", promise.month_end(F.col("__iso")))
     )
     checked = F.when(
-        F.col("_reference").isNotNull(),
-        promise.cap_month_end(F.col("_iso"), F.col("_month_end")),
+        F.col("__reference").isNotNull(),
+        promise.cap_month_end(F.col("__iso"), F.col("__month_end")),
     )
     applies = date.truthy & (F.coalesce(today, F.lit("")) != "")
     return resolved.withColumn(
-        "_date", F.when(wanted, F.when(applies, checked).otherwise(date.text))
-    ).drop("_reference", "_said", "_iso", "_month_end")
+        "__date", F.when(wanted, F.when(applies, checked).otherwise(date.text))
+    ).drop("__reference", "__said", "__iso", "__month_end")
 
 
 ANSWER_PATHS = {
@@ -103,14 +103,14 @@ def clean_answers(
 
     # The label decides whether promise details exist, so the work on them waits for it.
     labelled = normalise_labels(read, fields).withColumn(
-        "_promise", promise.is_promise(F.col("_pay"))
+        "__promise", promise.is_promise(F.col("__pay"))
     )
-    wanted = F.col("_promise")
+    wanted = F.col("__promise")
     spoken = labelled.withColumns(
         {
-            "_spoken": F.when(wanted, F.lower(F.col(transcript))),
-            "_confidence": policy.confidence_number(fields["confidence_score"]),
-            "_noted": policy.downgraded_remarks(fields["remarks"]),
+            "__spoken": F.when(wanted, F.lower(F.col(transcript))),
+            "__confidence": policy.confidence_number(fields["confidence_score"]),
+            "__noted": policy.downgraded_remarks(fields["remarks"]),
         }
     )
     settled = settle_amount(spoken, fields["amount"], transcript, wanted)
@@ -118,26 +118,26 @@ def clean_answers(
 
     earlier = [F.col(name) for name in _INPUT_ERRORS if name in df.columns]
     judged = settled.withColumn(
-        "_vague",
-        policy.is_vague_promise(F.col("_pay"), F.col("_spoken"), F.col("_amount"), F.col("_date")),
+        "__vague",
+        policy.is_vague_promise(F.col("__pay"), F.col("__spoken"), F.col("__amount"), F.col("__date")),
     ).withColumn(
-        "_problem",
-        F.coalesce(*earlier, F.when(F.col("_vague") & F.col("_noted").isNull(), F.lit(BAD_REMARKS))),
+        "__problem",
+        F.coalesce(*earlier, F.when(F.col("__vague") & F.col("__noted").isNull(), F.lit(BAD_REMARKS))),
     )
 
-    fine, vague = F.col("_problem").isNull(), F.col("_vague")
+    fine, vague = F.col("__problem").isNull(), F.col("__vague")
     response = {
-        "disposition": F.col("_call"),
+        "disposition": F.col("__call"),
         "payment_disposition": F.when(vague, F.lit("NO_PAYMENT_COMMITMENT")).otherwise(
-            F.col("_pay")
+            F.col("__pay")
         ),
-        "reason_for_not_paying": F.col("_reason"),
-        "ptp_details": F.struct(F.col("_amount").alias("amount"), F.col("_date").alias("date")),
-        "remarks": F.when(vague, F.col("_noted")).otherwise(fields["remarks"].text),
-        "confidence_score": policy.clamp_confidence(F.col("_confidence")),
+        "reason_for_not_paying": F.col("__reason"),
+        "ptp_details": F.struct(F.col("__amount").alias("amount"), F.col("__date").alias("date")),
+        "remarks": F.when(vague, F.col("__noted")).otherwise(fields["remarks"].text),
+        "confidence_score": policy.clamp_confidence(F.col("__confidence")),
     }
     outcome = {name: F.when(fine, value) for name, value in response.items()}
-    outcome["error"] = F.coalesce(F.col("_problem"), fields["error"].text)
+    outcome["error"] = F.coalesce(F.col("__problem"), fields["error"].text)
     outcome["raw"] = F.when(~fine, F.col(raw))
     outcome["failed"] = ~fine | ~fields["error"].missing
     if keep_extra:

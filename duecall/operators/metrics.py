@@ -64,10 +64,11 @@ def latency_quantiles(log: DataFrame, by: list[str]) -> DataFrame:
 
 def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Joins two results that have one row per group; a null group finds its partner."""
-    same = F.lit(True)
+    renamed, same = right, F.lit(True)
     for column in by:
-        same = same & left[column].eqNullSafe(right[column])
-    return left.join(right, same, "left").drop(*[right[column] for column in by])
+        renamed = renamed.withColumnRenamed(column, f"_other_{column}")
+        same = same & F.col(column).eqNullSafe(F.col(f"_other_{column}"))
+    return left.join(renamed, same, "left").drop(*[f"_other_{column}" for column in by])
 
 
 def load_sweep(log: DataFrame, level: str = "level") -> DataFrame:

@@ -64,15 +64,15 @@ def exclusive_quantiles(
         F.collect_list("quantile").alias("quantiles")
     )
 
-    left, right = ranged.alias("v"), per_range.alias("w")
-    same = F.col("v.range") == F.col("w.range")
+    same = F.col("range") == F.col("_range")
     for column in by:
-        same = same & F.col(f"v.{column}").eqNullSafe(F.col(f"w.{column}"))
-    within = Window.partitionBy(*by, "range").orderBy("value")
+        per_range = per_range.withColumnRenamed(column, f"_{column}")
+        same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
+    upto = Window.partitionBy(*by, "range").orderBy("value")
+    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        left.join(right, same)
-        .select(*[f"v.{column}" for column in by], "v.range", "value", "n", "before", "total", "quantiles")
-        .withColumn("upto", F.col("before") + F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        ranged.join(per_range.withColumnRenamed("range", "_range"), same)
+        .withColumn("upto", F.col("before") + F.sum("n").over(upto))
         .withColumn("quantile", F.explode("quantiles"))
         .where(
             (F.col("quantile.rank") > F.col("upto") - F.col("n"))

@@ -13,14 +13,14 @@ from duecall.vocabulary import BAD_JSON, NO_JSON
 def parse_generations(df: DataFrame, text: str = "generation") -> DataFrame:
     """Adds ``answer`` (VARIANT) and ``parse_error``; exactly one of them is null."""
     sliced = (
-        df.withColumn("_slice", slice_json(F.col(text)))
-        .withColumn("_array", parse_in_brackets(F.col("_slice")))
-        .withColumn("_answer", only_object(F.col("_array"), F.col("_slice")))
+        df.withColumn("__slice", slice_json(F.col(text)))
+        .withColumn("__array", parse_in_brackets(F.col("__slice")))
+        .withColumn("__answer", only_object(F.col("__array"), F.col("__slice")))
     )
-    error = F.when(F.col("_slice").isNull(), F.lit(NO_JSON)).when(
-        F.col("_answer").isNull(), F.lit(BAD_JSON)
+    error = F.when(F.col("__slice").isNull(), F.lit(NO_JSON)).when(
+        F.col("__answer").isNull(), F.lit(BAD_JSON)
     )
-    return fenced(sliced, df.columns, {"answer": F.col("_answer"), "parse_error": error})
+    return fenced(sliced, df.columns, {"answer": F.col("__answer"), "parse_error": error})
 
 
 def split_errors(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -47,7 +47,7 @@ def unwrap_transcript(df: DataFrame, column: str) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.regexp_replace(text, r"(?U)\s+", "") == "")
+    return text.isNull() | (F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "") == "")
 
 
 def reject_blank(df: DataFrame, column: str = "transcript") -> DataFrame:

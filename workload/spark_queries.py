@@ -205,7 +205,7 @@ def _blanked(spark, sf_dir) -> DataFrame:
     number = F.col("doc_id")
     return documents(spark, sf_dir).select(
         "doc_id",
-        F.when(number % 20 == 0, F.lit(" \t\n  "))
+        F.when(number % 20 == 0, F.lit(" \t\n\u00a0\u2003"))
         .when(number % 20 == 10, F.lit(""))
         .otherwise(F.col("text"))
         .alias("transcript"),
