@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duecall.functions.fence import fenced
+
 
 @dataclass(frozen=True)
 class Field:
@@ -20,21 +22,17 @@ class Field:
     name: str
 
     @property
-    def value(self) -> Column:
-        return F.col(f"__{self.name}_value")
+    def kind(self) -> Column:
+        """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, ARRAY, OBJECT or VOID; null when absent."""
+        return F.col(f"__{self.name}_kind")
 
     @property
     def missing(self) -> Column:
-        return self.value.isNull()
+        return self.kind.isNull()
 
     @property
     def null(self) -> Column:
-        return F.is_variant_null(self.value)
-
-    @property
-    def kind(self) -> Column:
-        """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, ARRAY, OBJECT or VOID; null when absent."""
-        return F.col(f"__{self.name}_kind")
+        return self.kind == "VOID"
 
     @property
     def text(self) -> Column:
@@ -43,18 +41,22 @@ class Field:
 
     @property
     def truthy(self) -> Column:
-        kind, text, value = f"__{self.name}_kind", f"__{self.name}_text", f"__{self.name}_value"
-        return F.expr(
-            f"coalesce(CASE {kind} WHEN 'STRING' THEN {text} != '' WHEN 'OBJECT' THEN {text} != "
-            f"'{{}}' WHEN 'ARRAY' THEN {text} != '[]' ELSE try_variant_get({value}, '$', 'boolean') "
-            "END, false)"
+        return F.coalesce(
+            F.when(self.kind == "STRING", self.text != "")
+            .when(self.kind.isin("BIGINT", "DECIMAL", "DOUBLE"), self.text.try_cast("double") != 0)
+            .otherwise(~self.text.isin("false", "{}", "[]")),
+            F.lit(False),
         )
 
 
 def read_fields(
     df: DataFrame, answer: str, paths: dict[str, str]
 ) -> tuple[DataFrame, dict[str, Field]]:
-    """Adds the columns of every key; SQL text keeps the many small expressions cheap to build."""
+    """Adds the columns of every key; SQL text keeps the many small expressions cheap to build.
+
+    They are fenced also because the code generated for reading and for the rules would otherwise
+    land in one method too large for the JVM to compile.
+    """
     values = [
         f"try_variant_get({answer}, '{path}', 'variant') AS __{name}_value"
         for name, path in paths.items()
@@ -64,13 +66,15 @@ def read_fields(
         for name in paths
     ]
     plain = [f"try_variant_get(__{name}_value, '$', 'string') AS __{name}_plain" for name in paths]
-    texts = [
-        f"CASE WHEN __{name}_kind = 'DECIMAL' AND __{name}_plain RLIKE '^-?[0-9]{{1,18}}$' "
-        f"THEN concat(__{name}_plain, '.0') ELSE __{name}_plain END AS __{name}_text"
-        for name in paths
-    ]
-    read = df.selectExpr("*", *values).selectExpr("*", *kinds, *plain).selectExpr("*", *texts)
-    return read, {name: Field(name) for name in paths}
+    read = df.selectExpr("*", *values).selectExpr("*", *kinds, *plain)
+    columns = {}
+    for name in paths:
+        columns[f"__{name}_kind"] = F.col(f"__{name}_kind")
+        columns[f"__{name}_text"] = F.expr(
+            f"CASE WHEN __{name}_kind = 'DECIMAL' AND __{name}_plain RLIKE '^-?[0-9]{{1,18}}$' "
+            f"THEN concat(__{name}_plain, '.0') ELSE __{name}_plain END"
+        )
+    return fenced(read, df.columns, columns), {name: Field(name) for name in paths}
 
 
 # First code point of the ten decimal digits of each script a transcript or an answer may use:

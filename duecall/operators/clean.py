@@ -113,13 +113,22 @@ def clean_answers(
             "__noted": policy.downgraded_remarks(fields["remarks"]),
         }
     )
-    settled = settle_amount(spoken, fields["amount"], transcript, wanted)
+    # The fences keep each part of the generated code small enough for the JVM to compile.
+    parts = ["__call", "__pay", "__reason", "__promise", "__spoken", "__noted", "__confidence"]
+    parts += [f"__{f}_{p}" for f in ("amount", "date", "remarks", "error") for p in ("kind", "text")]
+    labelled = fenced(spoken, df.columns, {name: F.col(name) for name in parts})
+    settled = settle_amount(labelled, fields["amount"], transcript, wanted)
     settled = settle_date(settled, fields["date"], current_date, wanted)
+    facts = ["__call", "__pay", "__reason", "__spoken", "__amount", "__date", "__noted", "__confidence"]
+    facts += [f"__{name}_{part}" for name in ("remarks", "error") for part in ("kind", "text")]
+    settled = fenced(settled, df.columns, {name: F.col(name) for name in facts})
 
     earlier = [F.col(name) for name in _INPUT_ERRORS if name in df.columns]
     judged = settled.withColumn(
         "__vague",
-        policy.is_vague_promise(F.col("__pay"), F.col("__spoken"), F.col("__amount"), F.col("__date")),
+        policy.is_vague_promise(
+            F.col("__pay"), F.col("__spoken"), F.col("__amount"), F.col("__date")
+        ),
     ).withColumn(
         "__problem",
         F.coalesce(*earlier, F.when(F.col("__vague") & F.col("__noted").isNull(), F.lit(BAD_REMARKS))),
