@@ -12,11 +12,13 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duecall.operators.order_stats import distinct_values, exclusive_quantiles
+from duecall.operators.order_stats import exclusive_quantiles
 from duecall.schemas import GPU_SAMPLE
 
 # Smallest number of latencies for which tail quantiles are reported.
 MIN_FOR_TAIL = 5
+MEDIAN = {"median": Fraction(1, 2)}
+TAIL = {"p90": Fraction(9, 10), "p95": Fraction(19, 20)}
 
 
 def succeeded() -> Column:
@@ -38,28 +40,31 @@ def success_rate(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     return log.groupBy(*(by or [])).agg(*success_columns())
 
 
+def _simple_latency(seen: Column) -> list[Column]:
+    """Mean, minimum and maximum of the latencies that are ``seen``."""
+    latency = F.when(seen, F.col("latency"))
+    return [F.avg(latency).alias("mean"), F.min(latency).alias("min"), F.max(latency).alias("max")]
+
+
 def latency_stats(log: DataFrame, by: list[str]) -> DataFrame:
     """Count, mean, median, minimum and maximum latency of the successful requests, per group."""
-    values = distinct_values(log.where(succeeded()), "latency", by)
-    simple = values.groupBy(*by).agg(
-        F.sum("n").alias("successes"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    good = log.where(succeeded())
+    simple = good.groupBy(*by).agg(
+        F.count("latency").alias("successes"), *_simple_latency(F.lit(True))
     )
-    median = exclusive_quantiles(values, {"median": Fraction(1, 2)}, by)
-    return _beside(simple, median, by)
+    return _beside(simple, exclusive_quantiles(good, "latency", MEDIAN, by), by)
 
 
 def latency_quantiles(log: DataFrame, by: list[str]) -> DataFrame:
     """P90 and P95 of the successful requests, null for fewer than five; per group."""
-    values = distinct_values(log.where(succeeded()), "latency", by)
-    counts = values.groupBy(*by).agg(F.sum("n").alias("successes"))
-    tail = exclusive_quantiles(values, {"p90": Fraction(9, 10), "p95": Fraction(19, 20)}, by)
+    good = log.where(succeeded())
+    counts = good.groupBy(*by).agg(F.count("latency").alias("successes"))
+    return _tail_if_enough(_beside(counts, exclusive_quantiles(good, "latency", TAIL, by), by))
+
+
+def _tail_if_enough(stats: DataFrame) -> DataFrame:
     enough = F.col("successes") >= MIN_FOR_TAIL
-    return _beside(counts, tail, by).withColumns(
-        {name: F.when(enough, F.col(name)) for name in ("p90", "p95")}
-    )
+    return stats.withColumns({name: F.when(enough, F.col(name)) for name in TAIL})
 
 
 def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -75,20 +80,11 @@ def load_sweep(log: DataFrame, level: str = "level") -> DataFrame:
     """Per concurrency level: outcome counts, wall time and all latency measures."""
     end = F.unix_micros("start") / 1e6 + F.col("latency")
     wall = F.max(end) - F.min(F.unix_micros("start")) / 1e6
-    outcome = log.groupBy(level).agg(*success_columns(), wall.alias("wall_seconds"))
-
-    values = distinct_values(log.where(succeeded()), "latency", [level])
-    simple = values.groupBy(level).agg(
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    shares = {"median": Fraction(1, 2), "p90": Fraction(9, 10), "p95": Fraction(19, 20)}
-    spread = exclusive_quantiles(values, shares, [level])
-    enough = F.col("successes") >= MIN_FOR_TAIL
-    return _beside(_beside(outcome, simple, [level]), spread, [level]).withColumns(
-        {name: F.when(enough, F.col(name)) for name in ("p90", "p95")}
+    outcome = log.groupBy(level).agg(
+        *success_columns(), wall.alias("wall_seconds"), *_simple_latency(succeeded())
     )
+    spread = exclusive_quantiles(log.where(succeeded()), "latency", MEDIAN | TAIL, [level])
+    return _tail_if_enough(_beside(outcome, spread, [level]))
 
 
 def request_counters(log: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact order statistics of large groups.
 
 Neither a window over a whole group nor an aggregate that keeps every value of it holds up when
-one group has a third of the rows. Here the rows are first combined per distinct value; running
-totals over narrow value ranges tell in which range a wanted rank lies; only the values of those
-ranges are then ranked.
+one group has a third of the rows. Here counts per narrow value range, combined before their
+shuffle, tell in which range a wanted rank lies; only the values of those few ranges are then
+fetched, combined per distinct value and ranked. Two narrow scans, no shuffle of the rows.
 """
 
 from __future__ import annotations
@@ -23,31 +23,20 @@ def value_range(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1000) * 1000)
 
 
-def distinct_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """``by``, ``value``, ``n``: equal values combined, before the shuffle where possible."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+# Up to this many located ranges (two per quantile and group at most) are sent to every executor.
+MAX_REPLICATED = 10_000
 
 
-def exclusive_quantiles(
-    values: DataFrame, quantiles: dict[str, Fraction], by: list[str]
-) -> DataFrame:
-    """``by`` and one column per quantile, from ``distinct_values``.
+def _located_ranges(present: DataFrame, quantiles: dict[str, Fraction], by: list[str]) -> DataFrame:
+    """``by``, ``range``, ``before``, ``total`` and the wanted ranks of every range that has any.
 
-    The quantile p of n values lies at rank p(n+1), interpolated between the neighbours at ranks
-    j and j+1, where j stays within 1..n-1; near the ends this extrapolates. One value is its own
-    quantile.
+    The windows run over counts per range, not over rows.
     """
-    ranged = values.withColumn("range", value_range(F.col("value")))
-    below = (
-        Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranges = (
-        ranged.groupBy(*by, "range")
-        .agg(F.sum("n").alias("range_n"))
+    below = Window.partitionBy(*by).orderBy("range")
+    below = below.rowsBetween(Window.unboundedPreceding, -1)
+    counted = (
+        present.groupBy(*by, "range")
+        .agg(F.count(F.lit(1)).alias("range_n"))
         .withColumns(
             {
                 "before": F.coalesce(F.sum("range_n").over(below), F.lit(0)),
@@ -55,29 +44,55 @@ def exclusive_quantiles(
             }
         )
     )
-    wanted = ranges.withColumn("quantile", F.explode(_wanted(quantiles))).where(
-        (F.col("quantile.rank") > F.col("before"))
-        & (F.col("quantile.rank") <= F.col("before") + F.col("range_n"))
-    )
-    # At most two entries per quantile of a group, in one row per range.
-    per_range = wanted.groupBy(*by, "range", "before", "total").agg(
-        F.collect_list("quantile").alias("quantiles")
+    rank = F.col("quantile.rank")
+    return (
+        counted.withColumn("quantile", F.explode(_wanted(quantiles)))
+        .where((rank > F.col("before")) & (rank <= F.col("before") + F.col("range_n")))
+        .groupBy(*by, "range", "before", "total")
+        .agg(F.collect_list("quantile").alias("quantiles"))
     )
 
+
+def _replicated_if_small(located: DataFrame) -> DataFrame:
+    """The table as a broadcast of known size; beyond the bound as it is, for a shuffle join."""
+    rows = located.limit(MAX_REPLICATED + 1).collect()
+    if len(rows) > MAX_REPLICATED:
+        return located
+    return F.broadcast(located.sparkSession.createDataFrame(rows, located.schema))
+
+
+def exclusive_quantiles(
+    df: DataFrame, value: str, quantiles: dict[str, Fraction], by: list[str]
+) -> DataFrame:
+    """One row per group: ``by`` and one column per quantile of the values that are not null.
+
+    The quantile p of n values lies at rank p(n+1), interpolated between the neighbours at ranks
+    j and j+1, where j stays within 1..n-1; near the ends this extrapolates. One value is its own
+    quantile. Calling this runs the first of the two scans.
+    """
+    present = (
+        df.where(F.col(value).isNotNull())
+        .select(*by, F.col(value).alias("value"))
+        .withColumn("range", value_range(F.col("value")))
+    )
+    located = _located_ranges(present, quantiles, by).withColumnRenamed("range", "_range")
     same = F.col("range") == F.col("_range")
     for column in by:
-        per_range = per_range.withColumnRenamed(column, f"_{column}")
+        located = located.withColumnRenamed(column, f"_{column}")
         same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
+    located = _replicated_if_small(located)
+
     upto = Window.partitionBy(*by, "range").orderBy("value")
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.col("quantile.rank")
     ranked = (
-        ranged.join(per_range.withColumnRenamed("range", "_range"), same)
+        present.join(located.select("_range", *[f"_{column}" for column in by]), same, "left_semi")
+        .groupBy(*by, "range", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(located, same)
         .withColumn("upto", F.col("before") + F.sum("n").over(upto))
         .withColumn("quantile", F.explode("quantiles"))
-        .where(
-            (F.col("quantile.rank") > F.col("upto") - F.col("n"))
-            & (F.col("quantile.rank") <= F.col("upto"))
-        )
+        .where((rank > F.col("upto") - F.col("n")) & (rank <= F.col("upto")))
     )
     return ranked.groupBy(*by).agg(
         *[_interpolated(name, share).alias(name) for name, share in quantiles.items()]

@@ -36,8 +36,8 @@ TEMPLATES = {
     },
 }
 FALLBACK_LANGUAGE = "english"
-# A template table up to this many rows is replicated to every executor.
-MAX_TEMPLATES = 10_000
+# Templates of up to this many characters in all are sent to every executor.
+MAX_REPLICATED_CHARS = 4_000_000
 
 
 def gold_seeds(spark: SparkSession, languages: list[str], per_language: int) -> DataFrame:
@@ -97,15 +97,15 @@ def add_transcripts(
     """Adds ``transcript``; a language without templates uses the English ones."""
     spark, given = drawn.sparkSession, templates or TEMPLATES
     rows = [(lang, kind, text) for lang, by_kind in given.items() for kind, text in by_kind.items()]
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError(f"{len(rows)} templates; at most {MAX_TEMPLATES} are replicated")
     table = spark.createDataFrame(rows, "_language STRING, scenario STRING, _template STRING")
+    if sum(len(text) for _, _, text in rows) <= MAX_REPLICATED_CHARS:
+        table = F.broadcast(table)
     known = F.col("language").isin(list(given))
     return (
         drawn.withColumn(
             "_language", F.when(known, F.col("language")).otherwise(F.lit(FALLBACK_LANGUAGE))
         )
-        .join(F.broadcast(table), ["_language", "scenario"])
+        .join(table, ["_language", "scenario"])
         .withColumn(
             "transcript", fill_template(F.col("_template"), F.col("amount"), F.col("date"))
         )
