@@ -13,6 +13,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duecall.operators.replicate import replicated_if_small
+
 
 def value_range(value: Column) -> Column:
     """Number of the range of a value; grows with the value.
@@ -23,10 +25,6 @@ def value_range(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1000) * 1000)
 
 
-# Up to this many located ranges (two per quantile and group at most) are sent to every executor.
-MAX_REPLICATED = 10_000
-
-
 def _located_ranges(present: DataFrame, quantiles: dict[str, Fraction], by: list[str]) -> DataFrame:
     """``by``, ``range``, ``before``, ``total`` and the wanted ranks of every range that has any.
 
@@ -53,14 +51,6 @@ def _located_ranges(present: DataFrame, quantiles: dict[str, Fraction], by: list
     )
 
 
-def _replicated_if_small(located: DataFrame) -> DataFrame:
-    """The table as a broadcast of known size; beyond the bound as it is, for a shuffle join."""
-    rows = located.limit(MAX_REPLICATED + 1).collect()
-    if len(rows) > MAX_REPLICATED:
-        return located
-    return F.broadcast(located.sparkSession.createDataFrame(rows, located.schema))
-
-
 def exclusive_quantiles(
     df: DataFrame, value: str, quantiles: dict[str, Fraction], by: list[str]
 ) -> DataFrame:
@@ -80,7 +70,7 @@ def exclusive_quantiles(
     for column in by:
         located = located.withColumnRenamed(column, f"_{column}")
         same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
-    located = _replicated_if_small(located)
+    located = replicated_if_small(located)
 
     upto = Window.partitionBy(*by, "range").orderBy("value")
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)

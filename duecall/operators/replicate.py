@@ -1,0 +1,21 @@
+"""Sending a small side of a join to every executor, with its size checked first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a few numbers or short keys each.
+MAX_REPLICATED = 10_000
+
+
+def replicated_if_small(side: DataFrame, limit: int = MAX_REPLICATED) -> DataFrame:
+    """``side`` as a broadcast of known size; with more than ``limit`` rows unchanged.
+
+    Beyond the limit the join shuffles and gives the same result. Runs one job, which computes
+    ``side``; the planner alone cannot know that an aggregate of a large table turns out small.
+    """
+    rows = side.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return side
+    return F.broadcast(side.sparkSession.createDataFrame(rows, side.schema))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duecall.operators.prepare import truncate_transcript
+from duecall.operators.replicate import replicated_if_small
 from duecall.vocabulary import MAX_TRANSCRIPT_CHARS
 
 SPEAKERS = {"assistant": "Agent", "user": "Borrower", "system": "System"}
@@ -32,9 +33,15 @@ def _lines(turns: DataFrame) -> DataFrame:
     )
 
 
-def _join_lines(lines: DataFrame, call: str) -> DataFrame:
-    """Joins the turns of a block, then the blocks of a call: many small sorts for a long call."""
-    blocks = lines.groupBy(call, "_block").agg(
+def assemble_transcripts(turns: DataFrame, call: str = "conv_id") -> DataFrame:
+    """Whole transcript of every call as ``Agent: … Borrower: …``, and its number of turns.
+
+    ``turns`` has the call key, ``turn`` (its position), ``role`` and ``text``. The transcript of
+    a call is one value by nature. It is joined per block of turns first, so a long call is sorted
+    in many small groups; use ``assemble_for_prompt`` where a key may hold more turns than one
+    call can have.
+    """
+    blocks = _lines(turns).groupBy(call, "_block").agg(
         _in_order(F.struct("turn", F.col("_line").alias("line")), "line").alias("_text"),
         F.count(F.lit(1)).alias("_turns"),
     )
@@ -44,41 +51,36 @@ def _join_lines(lines: DataFrame, call: str) -> DataFrame:
     )
 
 
-def assemble_transcripts(turns: DataFrame, call: str = "conv_id") -> DataFrame:
-    """Whole transcript of every call as ``Agent: … Borrower: …``, and its number of turns.
-
-    ``turns`` has the call key, ``turn`` (its position), ``role`` and ``text``. The transcript of
-    a call is one value by nature; use ``assemble_for_prompt`` where a key may hold more turns
-    than one call can have.
-    """
-    return _join_lines(_lines(turns), call)
-
-
 def assemble_for_prompt(
     turns: DataFrame, call: str = "conv_id", limit: int = MAX_TRANSCRIPT_CHARS
 ) -> DataFrame:
     """The same as truncating the whole transcript to ``limit`` characters, without building it.
 
-    Summed lengths tell where each block starts. Turns of blocks that start past the limit cannot
-    show in the result and are left out before anything is collected, so a key that wrongly holds
-    very many turns costs no more than one long call.
+    Summed lengths tell where each block of turns starts. Turns of blocks that start past the
+    limit cannot show in the result and are left out before anything is collected, so a key that
+    wrongly holds very many turns costs no more than one long call. Few calls have such blocks, so
+    their list is usually small; calling this computes it.
     """
     earlier = (
         Window.partitionBy(call).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     lines = _lines(turns)
-    starts = (
+    past = (
         lines.groupBy(call, "_block")
         .agg(F.sum(F.length("_line") + 1).alias("_chars"))
         .withColumn("_start", F.coalesce(F.sum("_chars").over(earlier), F.lit(0)))
-        .where(F.col("_start") <= limit)
-        .select(F.col(call).alias("_call"), F.col("_block").alias("_kept"))
+        # the character before a block is the space that joins it
+        .where(F.col("_start") > limit + 1)
+        .select(F.col(call).alias("_call"), F.col("_block").alias("_past"))
     )
-    needed = lines.join(
-        starts,
-        F.col(call).eqNullSafe(F.col("_call")) & F.col("_block").eqNullSafe(F.col("_kept")),
-        "left_semi",
+    shown = lines.join(
+        replicated_if_small(past),
+        F.col(call).eqNullSafe(F.col("_call")) & F.col("_block").eqNullSafe(F.col("_past")),
+        "left_anti",
     )
-    return _join_lines(needed, call).select(
-        call, truncate_transcript(F.col("transcript"), limit).alias("transcript")
+    whole = _in_order(F.struct("turn", F.col("_line").alias("line")), "line")
+    return (
+        shown.groupBy(call)
+        .agg(whole.alias("transcript"))
+        .withColumn("transcript", truncate_transcript(F.col("transcript"), limit))
     )

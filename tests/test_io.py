@@ -117,7 +117,8 @@ def test_turns_of_long_and_short_calls(spark):
     names = ["Agent", "Borrower"]
     assert whole[1] == " ".join(f"{names[t % 2]}: turn {t}" for t in range(1000))
     assert whole[2] == "System: a Borrower: b" and whole[None] == "Customer: "
-    for limit in (10, 4000, 100_000):
+    first_block = len(" ".join(whole[1].split(" Agent: turn 256")[:1]))
+    for limit in (10, 4000, first_block - 1, first_block, first_block + 1, 100_000):
         short = {r["conv_id"]: r["transcript"] for r in turns.assemble_for_prompt(df, limit=limit).collect()}
         for call, text in whole.items():
             want = text if len(text) <= limit else text[:limit] + "... [TRUNCATED]"
