@@ -22,7 +22,5 @@ def evaluate(
     The predictions carry their gold columns along, so nothing is joined; write the result to a
     table when several reports are made from it, since it holds the generations.
     """
-    said = gold.withColumnRenamed("transcript", "_gold_transcript")
-    keep = ["_gold_transcript" if c == "transcript" else c for c in GOLD_COLUMNS]
-    predicted = predict(said, "_gold_transcript", factory, name, run_date, keep=keep)
-    return match_fields(predicted.withColumnRenamed("_gold_transcript", "transcript"))
+    predicted = predict(gold, "transcript", factory, name, run_date, keep=GOLD_COLUMNS)
+    return match_fields(predicted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from duecall.operators.clean import clean_answers
 from duecall.operators.generate import GeneratorFactory, generate
@@ -31,19 +32,29 @@ def predict(
     """Outcome of every row, with the ``keep`` columns and ``_original_transcript`` beside it.
 
     One narrow job: blank rows and failures stay as error rows, and only the prompt leaves the
-    JVM. Filter the input before calling this; a filter on the result cannot save generations.
+    JVM. A string that holds a JSON object counts as a record with a transcript in it. Filter the
+    input before calling this; a filter on the result cannot save generations.
     """
-    keep = keep or []
+    taken = sorted(set(keep or []) & {*OUTCOME, "extra", "_original_transcript"})
+    if taken:
+        raise ValueError(f"rename these input columns, the outcome uses the names: {taken}")
+    # Carried as one value, so that input columns may have any other name.
+    kept = [F.struct(*[F.col(f"`{name}`") for name in keep]).alias("kept")] if keep else []
+    day = F.col(f"`{current_date}`") if current_date else F.lit(None).cast("string")
     needed = df.select(
-        *keep,
-        *([current_date] if current_date and current_date not in keep else []),
-        unwrap_transcript(df, transcript).alias("_said"),
+        *kept,
+        unwrap_transcript(df, transcript).alias("request_transcript"),
+        day.alias("request_date"),
     )
-    prepared = prepare_requests(needed, "_said", run_date, current_date, instruction)
+    prepared = prepare_requests(needed, "request_transcript", run_date, "request_date", instruction)
     generated = generate(prepared, factory, name, partitions=partitions)
     cleaned = clean_answers(parse_generations(generated), keep_extra=keep_extra)
-    extra = ["extra"] if keep_extra else []
-    return cleaned.select(*keep, *OUTCOME, *extra, "_original_transcript")
+    return cleaned.select(
+        *(["kept.*"] if keep else []),
+        *OUTCOME,
+        *(["extra"] if keep_extra else []),
+        "_original_transcript",
+    )
 
 
 def predict_file(

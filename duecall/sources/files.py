@@ -14,9 +14,12 @@ _TRANSCRIPT_WORDS = ("transcript", "text", "conversation")
 
 def file_format(path: str, fmt: str | None = None) -> str:
     """The given format, else the one the extension names; anything unknown is read as CSV."""
+    name = path.lower().rstrip("/")
     if fmt:
         return fmt.lower()
-    return "json" if path.lower().rstrip("/").endswith(".json") else "csv"
+    if name.endswith((".xls", ".xlsx")):
+        raise ValueError("spreadsheets are not read; save them as CSV first")
+    return "json" if name.endswith(".json") else "csv"
 
 
 def read_transcripts(

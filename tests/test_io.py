@@ -43,6 +43,11 @@ def test_format_by_extension(name, kind):
     assert files.file_format(name) == kind
 
 
+def test_spreadsheets_are_refused():
+    with pytest.raises(ValueError, match="CSV"):
+        files.file_format("calls.XLSX")
+
+
 def test_read_csv_keeps_text(spark, tmp_path):
     path = tmp_path / "calls.csv"
     path.write_text('id,Call_Text,n\n1,"line one\nline ""two"", end",007\n2,,x\n', encoding="utf-8")
@@ -160,6 +165,21 @@ def test_predict_keeps_every_row(spark):
     assert fine.count() == 1 and failed.count() == 3
 
 
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "hi", "2026-2-3")], ["call.id", "the.text", "call.day"])
+    outcome = predict(df, "the.text", load_busy, "busy", "2026-01-27", "call.day", keep=["call.id"])
+    assert outcome.first()["call.id"] == 1 and outcome.first()["disposition"] == "BUSY"
+
+
+def test_kept_columns_do_not_meet_ours(spark):
+    df = spark.createDataFrame([(1, "x" * 30000)], "prompt INT, transcript STRING")
+    keep = ["prompt", "transcript"]
+    row = predict(df, "transcript", load_busy, "busy", "2026-01-27", keep=keep).first()
+    assert row["prompt"] == 1 and len(row["transcript"]) == 30000
+    with pytest.raises(ValueError, match="remarks"):
+        predict(df.withColumnRenamed("prompt", "remarks"), "transcript", load_busy, "busy", "2026-01-27", keep=["remarks"])
+
+
 def test_predict_file_and_write(spark, tmp_path):
     (tmp_path / "up.csv").write_text("id,Conversation\n1,hello\n2,there\n")
     outcome = predict_file(spark, str(tmp_path / "up.csv"), load_busy, "busy", "2026-01-27", keep=["id"])
@@ -193,6 +213,7 @@ def test_evaluation_run(spark):
     assert {r["language"]: r["count"] for r in seeds.groupBy("language").count().collect()} == {"hindi": 25, "tamil": 25}
     matched = evaluate(synth.synth_gold(seeds), load_busy, "busy", "2026-03-05")
     assert matched.count() == 50 and matched.where("exact_match").count() == 0
+    assert matched.where("failed").count() == 0 and "transcript" in matched.columns
 
 
 # --- synthetic gold -----------------------------------------------------------------------------------
