@@ -55,15 +55,11 @@ def draw(choice: str, key: Column, salt: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def _scenario(number: Column) -> Column:
-    percent, upto, chosen = number % sum(SCENARIO_WEIGHTS.values()), 0, None
+def _scenario(percent: Column) -> Column:
+    chosen, upto = F, 0
     for scenario, weight in SCENARIO_WEIGHTS.items():
         upto += weight
-        chosen = (
-            F.when(percent < upto, F.lit(scenario))
-            if chosen is None
-            else chosen.when(percent < upto, F.lit(scenario))
-        )
+        chosen = chosen.when(percent < upto, F.lit(scenario))
     return chosen
 
 
@@ -72,18 +68,22 @@ def draw_scenarios(seeds: DataFrame, salt: str = "") -> DataFrame:
     days = GOLD_LAST_DAY - GOLD_FIRST_DAY + 1
     amounts = F.array(*[F.lit(amount) for amount in GOLD_AMOUNTS])
     key = F.col("id")
-    day = draw("date", key, salt) % days + GOLD_FIRST_DAY
-    return seeds.withColumn(
+    drawn = seeds.withColumn(
         "id", F.concat_ws("_", F.col("language"), F.col("seed").cast("string"))
     ).withColumns(
         {
-            "scenario": _scenario(draw("scenario", key, salt)),
-            "amount": F.element_at(
-                amounts, (draw("amount", key, salt) % len(GOLD_AMOUNTS) + 1).cast("int")
-            ),
-            "date": F.concat(F.lit("2026-03-"), F.lpad(day.cast("string"), 2, "0")),
+            "_percent": draw("scenario", key, salt) % sum(SCENARIO_WEIGHTS.values()),
+            "_amount_no": draw("amount", key, salt) % len(GOLD_AMOUNTS) + 1,
+            "_day": draw("date", key, salt) % days + GOLD_FIRST_DAY,
         }
     )
+    return drawn.withColumns(
+        {
+            "scenario": _scenario(F.col("_percent")),
+            "amount": F.element_at(amounts, F.col("_amount_no").cast("int")),
+            "date": F.concat(F.lit("2026-03-"), F.lpad(F.col("_day").cast("string"), 2, "0")),
+        }
+    ).drop("_percent", "_amount_no", "_day")
 
 
 def fill_template(template: Column, amount: Column, date: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duecall import configure
+from duecall.functions.fence import fenced
 from duecall.operators.clean import clean_answers
 from duecall.operators.evaluate import match_fields
 from duecall.operators.parse import parse_generations
@@ -70,7 +71,8 @@ def gold_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replies(gold: DataFrame) -> DataFrame:
     """Gold records with a reply to each: mostly right, sometimes loose, wrong or broken."""
-    noise = draw("reply", F.col("id"), "") % 20
+    gold = gold.withColumn("noise", draw("reply", F.col("id"), "") % 20)
+    noise = F.col("noise")
     usual_label = F.replace(F.lower("expected_disposition"), F.lit("_"), F.lit(" "))
     amount, date = F.col("expected_amount"), F.col("expected_date")
     null = F.lit(None)
@@ -100,14 +102,14 @@ def replies(gold: DataFrame) -> DataFrame:
         ((noise - 5) / 10).alias("confidence_score"),
     )
     written = gold.withColumn("_written", F.to_json(said, {"ignoreNullFields": "false"}))
-    return written.withColumns(
-        {
-            "generation": F.when(noise == 0, F.lit("Sorry, no outcome."))
-            .when(noise == 1, F.expr("substring(_written, 1, length(_written) - 3)"))
-            .otherwise(F.concat(F.lit("Result: "), F.col("_written"), F.lit(" ."))),
-            "current_date": F.lit(EVAL_DATE),
-        }
-    ).drop("_written")
+    reply = {
+        "generation": F.when(noise == 0, F.lit("Sorry, no outcome."))
+        .when(noise == 1, F.expr("substring(_written, 1, length(_written) - 3)"))
+        .otherwise(F.concat(F.lit("Result: "), F.col("_written"), F.lit(" ."))),
+        "current_date": F.lit(EVAL_DATE),
+    }
+    # fenced as a stored table of generations would be: apart from what made it
+    return fenced(written, [name for name in gold.columns if name != "noise"], reply)
 
 
 def cleaned_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
