@@ -45,12 +45,10 @@ def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def apply_segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document, and whether the first one reads back as the text."""
-    proto = model_proto()
-    sampled = segmentation.sample_segmentations(docs, proto)
-    decoded = segmentation.decoder(proto, spark)(F.col("samples")[0]["ids"])
-    whole = F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return sampled.select("doc_id", "lang", "source", "samples", (decoded == whole).alias("intact"))
+    """Sampled segmentations of every document, each read back once."""
+    return segmentation.sample_segmentations(
+        docs, model_proto(), keep=["doc_id", "lang", "source"]
+    )
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -46,12 +46,9 @@ def model_proto(name: str = "piece_bpe_32k.model") -> bytes:
 
 
 def op1_sample_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proto = model_proto()
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
-    sampled = segmentation.sample_segmentations(docs, proto)
-    each = sampled.select("doc_id", "text", F.posexplode("samples").alias("sample", "s"))
-    decode = segmentation.decoder(proto, spark)
-    whole = F.translate(F.coalesce("text", F.lit("")), "▁", " ")
+    docs = _documents(spark, sf_dir)
+    sampled = segmentation.sample_segmentations(docs, model_proto(), keep=["doc_id"])
+    each = sampled.select("doc_id", F.posexplode("samples").alias("sample", "s"))
     return each.select(
         "doc_id",
         "sample",
@@ -60,7 +57,7 @@ def op1_sample_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s.log_prob").alias("log_prob"),
         F.col("s.score").alias("perturbed_score"),
         F.col("s.log_inclusion").alias("log_inclusion"),
-        (decode("s.ids") == whole).alias("round_trip"),
+        F.col("s.intact").alias("round_trip"),
     )
 
 

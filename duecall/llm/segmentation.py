@@ -29,13 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duecall.llm.text import mix, runs, slices, span_hashes, uniform
 from duecall.llm.token_counts import Automaton
 
 SAMPLES = 3
+SLICE = 1 << 19  # bytes of text searched together
 EXPONENT = 1.0
 _MARK = "▁".encode()
 _NEVER = -1e8  # scores of pieces that merging cannot make
@@ -387,7 +390,17 @@ def _pieces(proto: bytes, exponent: float) -> Pieces:
     return _loaded[key]
 
 
-SAMPLE = "struct<ids: array<int>, log_prob: double, score: double, log_inclusion: double>"
+SAMPLES_TYPE = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("log_prob", T.DoubleType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("log_inclusion", T.DoubleType()),
+            T.StructField("intact", T.BooleanType()),
+        ]
+    )
+)
 
 
 def sample_segmentations(
@@ -399,33 +412,57 @@ def sample_segmentations(
     exponent: float = EXPONENT,
     seed: int = 0,
     into: str = "samples",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``into``: up to ``k`` distinct segmentations, best perturbed score first, each
-    with its ids, log probability, perturbed score and log inclusion probability."""
+    """The columns ``keep`` of ``docs`` (all, if not given) with ``into``: up to ``k`` distinct
+    segmentations, best perturbed score first, each with its ids, log probability, perturbed score,
+    log inclusion probability and whether its ids read back as the text. Results leave a task slice by slice."""
     held = docs.sparkSession.sparkContext.broadcast(model_proto)  # one model, a fixed input
+    kept = [c for c in (docs.columns if keep is None else keep) if c != into]
+    schema = T.StructType(
+        [*(docs.schema[c] for c in kept), T.StructField(into, SAMPLES_TYPE)]
+    )
 
-    @F.arrow_udf(f"array<{SAMPLE}>")
-    def sample(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(held.value, exponent)
-        for text, seeds in columns:
-            found = []
-            for lo, hi in slices(text):
-                part = seeds.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.uint64)
-                found += sample_slice(pieces, text.slice(lo, hi - lo).to_pylist(), part, k)
-            rows = [x for row in found for x in row]
-            ids = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum([len(x[0]) for x in rows]))), pa.int32()),
-                pa.array(np.concatenate([np.zeros(0, np.int32), *(x[0] for x in rows)]), pa.int32()),
-            )
-            parts = [pa.array([x[c] for x in rows], pa.float64()) for c in (1, 2, 3)]
-            item = pa.StructArray.from_arrays(
-                [ids, *parts], ["ids", "log_prob", "score", "log_inclusion"]
-            )
-            edges = np.concatenate(([0], np.cumsum([len(row) for row in found])))
-            yield pa.ListArray.from_arrays(pa.array(edges, pa.int32()), item)
+        for batch in batches:
+            for lo, hi in slices(batch.column(0), SLICE):
+                part = batch.slice(lo, hi - lo)
+                seeds = part.column(1).to_numpy().astype(np.uint64)
+                texts = part.column(0).to_pylist()
+                found = sample_slice(pieces, texts, seeds, k)
+                lists = _lists(found, _intact(pieces, texts, found))
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], lists], schema.names)
 
     hashed = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
-    return docs.withColumn(into, sample(F.col(f"`{text}`"), hashed))
+    return docs.select(
+        F.col(f"`{text}`").alias("__text"), hashed.alias("__seed"), *[F.col(f"`{c}`") for c in kept]
+    ).mapInArrow(sample, schema)
+
+
+def _intact(pieces: Pieces, texts: list, found: list[list[tuple]]) -> list[bool]:
+    """Whether each sample reads back as its text, in which a word mark counts as a blank."""
+    out = []
+    for text, row in zip(texts, found, strict=True):
+        ids = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in row)]).astype(np.int64)
+        edges = np.concatenate(([0], np.cumsum([len(x[0]) for x in row])))
+        out += [t == (text or "").replace("▁", " ") for t in pieces.decode(ids, edges)]
+    return out
+
+
+def _lists(found: list[list[tuple]], intact: list[bool]) -> pa.ListArray:
+    rows = [x for row in found for x in row]
+    ids = pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum([len(x[0]) for x in rows]))), pa.int32()),
+        pa.array(np.concatenate([np.zeros(0, np.int32), *(x[0] for x in rows)]), pa.int32()),
+    )
+    parts = [pa.array([x[c] for x in rows], pa.float64()) for c in (1, 2, 3)]
+    item = pa.StructArray.from_arrays(
+        [ids, *parts, pa.array(intact, pa.bool_())],
+        ["ids", "log_prob", "score", "log_inclusion", "intact"],
+    )
+    edges = np.concatenate(([0], np.cumsum([len(row) for row in found])))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), item)
 
 
 def decoder(model_proto: bytes, spark):
@@ -436,7 +473,7 @@ def decoder(model_proto: bytes, spark):
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _pieces(held.value, EXPONENT)
         for column in columns:
-            size = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
             edges = np.concatenate(([0], np.cumsum(size)))
             ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.array(pieces.decode(ids, edges), pa.string())
