@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +19,24 @@ def slice_json(text: Column) -> Column:
 _BARE_NUMBER = r"([:\[,]\s*)(-?)(NaN|Infinity)(?=\s*[,}\]])"
 
 
+def _outside_strings(text: Column, change: Callable[[Column], Column]) -> Column:
+    """``change`` made on the parts of a JSON text that lie outside its strings."""
+    # escaped backslashes and quotes step aside, so that every quote left opens or closes a string
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002"))
+    parts = F.transform(
+        F.split(plain, '"'), lambda part, k: F.when(k % 2 == 0, change(part)).otherwise(part)
+    )
+    joined = F.array_join(parts, '"')
+    return F.replace(F.replace(joined, F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
+
+
 def _parse(text: Column, before: str, after: str) -> Column:
     """VARIANT of the text between the two literals; bare number words are read as their text."""
-    worded = F.regexp_replace(
-        F.regexp_replace(text, _BARE_NUMBER, '$1"$2$3"'), '"(-?)Infinity"', '"$1inf"'
+    worded = _outside_strings(
+        text,
+        lambda part: F.regexp_replace(
+            F.regexp_replace(part, _BARE_NUMBER, '$1"$2$3"'), '"(-?)Infinity"', '"$1inf"'
+        ),
     )
     return F.coalesce(
         F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))),

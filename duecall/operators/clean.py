@@ -159,8 +159,3 @@ def _unknown_keys(answer: str) -> Column:
     members = F.try_variant_get(F.col(answer), "$", "map<string,variant>")
     unknown = F.map_filter(members, lambda key, _: ~key.isin(RESPONSE_FIELDS))
     return F.transform_values(unknown, lambda _, value: F.to_json(value))
-
-
-def project_response(cleaned: DataFrame, *keys: str) -> DataFrame:
-    """The response alone, after the caller's key columns."""
-    return cleaned.select(*keys, *RESPONSE_FIELDS)

@@ -124,7 +124,8 @@ def latency_histogram(log: DataFrame, bounds: list[float] | None = None) -> Data
 
 
 def parse_gpu_samples(samples: DataFrame, line: str = "line") -> DataFrame:
-    """Columns gpu, util, mem_total and mem_used of CSV lines; lines of fewer parts are left out."""
+    """Columns gpu, util, mem_total and mem_used of CSV lines; lines of fewer parts, or with a
+    value that is not a number, are left out."""
     parts = F.split(F.col(line), ",")
     parsed = samples.where(F.size(parts) >= 4).withColumn(
         "_sample",
@@ -134,17 +135,21 @@ def parse_gpu_samples(samples: DataFrame, line: str = "line") -> DataFrame:
             {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"},
         ),
     )
-    return parsed.select(*samples.columns, "_sample.*")
+    readings = parsed.select(*samples.columns, "_sample.*")
+    # a reading that is not a number leaves the gauge as it was
+    return readings.dropna(subset=["util", "mem_total", "mem_used"])
+
+
+def latest_by_gpu(samples: DataFrame, ts: str, line: str) -> DataFrame:
+    """All values of a GPU's latest line; of lines at the same time, of the greatest one."""
+    values = F.struct("util", "mem_total", "mem_used")
+    latest = F.max_by(values, F.struct(F.col(ts), F.col(line))).alias("latest")
+    return parse_gpu_samples(samples, line).groupBy("gpu").agg(latest).select("gpu", "latest.*")
 
 
 def gpu_gauges(samples: DataFrame, ts: str = "ts", line: str = "line") -> DataFrame:
     """Latest sample of every GPU."""
-    order = F.col(ts)
-    return (
-        parse_gpu_samples(samples, line)
-        .groupBy("gpu")
-        .agg(*[F.max_by(name, order).alias(name) for name in ("util", "mem_total", "mem_used")])
-    )
+    return latest_by_gpu(samples, ts, line)
 
 
 def throughput(log: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duecall.operators.replicate import replicated_if_small
 
 
 def value_range(value: Column) -> Column:
@@ -58,10 +57,10 @@ def exclusive_quantiles(
 
     The quantile p of n values lies at rank p(n+1), interpolated between the neighbours at ranks
     j and j+1, where j stays within 1..n-1; near the ends this extrapolates. One value is its own
-    quantile. Calling this runs the first of the two scans.
+    quantile. Values that are not a number are left out.
     """
     present = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .select(*by, F.col(value).alias("value"))
         .withColumn("range", value_range(F.col("value")))
     )
@@ -70,7 +69,6 @@ def exclusive_quantiles(
     for column in by:
         located = located.withColumnRenamed(column, f"_{column}")
         same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
-    located = replicated_if_small(located)
 
     upto = Window.partitionBy(*by, "range").orderBy("value")
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -27,6 +27,10 @@ INSTRUCTION = (
 )
 
 
+# Stands before the transcript in a prompt.
+SAID = "What was said:"
+
+
 def unwrap_transcript(df: DataFrame, column: str) -> Column:
     """Text of a transcript column.
 
@@ -70,11 +74,11 @@ def render_prompt(
     transcript: Column, current_date: Column, instruction: str = INSTRUCTION
 ) -> Column:
     return F.concat(
-        F.lit(f"### Instruction:\n{instruction}\n\n### Input:\nContext: Current Date is "),
+        F.lit(f"{instruction}\n\nThe call took place on "),
         current_date,
-        F.lit("\nTranscript: "),
+        F.lit(f".\n{SAID}\n"),
         transcript,
-        F.lit("\n\n### Response:\n"),
+        F.lit("\n\nJSON object:\n"),
     )
 
 
@@ -84,16 +88,20 @@ def prepare_requests(
     run_date: str,
     current_date: str | None = None,
     instruction: str = INSTRUCTION,
+    limit: int = MAX_TRANSCRIPT_CHARS,
 ) -> DataFrame:
-    """Adds ``_original_transcript``, ``transcript``, ``current_date``, ``request_error``, ``prompt``.
+    """Adds ``_original_transcript``, ``transcript``, ``truncated``, ``current_date``,
+    ``request_error``, ``prompt``.
 
-    Rows without text get a null prompt, which keeps them away from the generator.
+    Transcripts are cut after ``limit`` characters, and ``truncated`` tells which; the rules on
+    amounts and dates then see the cut text too. Rows without text get a null prompt, which keeps them away from the generator.
     """
     given = F.col(current_date) if current_date else F.lit(None).cast("string")
     reference = default_current_date(given, run_date)
     rows = df.withColumn("_original_transcript", F.col(f"`{transcript}`")).withColumns(
         {
-            "transcript": truncate_transcript(F.col("_original_transcript")),
+            "transcript": truncate_transcript(F.col("_original_transcript"), limit),
+            "truncated": F.coalesce(F.length("_original_transcript") > limit, F.lit(False)),
             "current_date": reference,
         }
     )

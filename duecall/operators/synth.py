@@ -36,8 +36,6 @@ TEMPLATES = {
     },
 }
 FALLBACK_LANGUAGE = "english"
-# Templates of up to this many characters in all are sent to every executor.
-MAX_REPLICATED_CHARS = 4_000_000
 
 
 def gold_seeds(spark: SparkSession, languages: list[str], per_language: int) -> DataFrame:
@@ -94,12 +92,19 @@ def fill_template(template: Column, amount: Column, date: Column) -> Column:
 def add_transcripts(
     drawn: DataFrame, templates: dict[str, dict[str, str]] | None = None
 ) -> DataFrame:
-    """Adds ``transcript``; a language without templates uses the English ones."""
-    spark, given = drawn.sparkSession, templates or TEMPLATES
+    """Adds ``transcript``; a language without templates uses the English ones.
+
+    Templates must cover every scenario of their language, and the fallback language must be
+    there; otherwise this raises before any work, as rows would be lost.
+    """
+    spark, given = drawn.sparkSession, dict(templates or TEMPLATES)
+    given.setdefault(FALLBACK_LANGUAGE, TEMPLATES[FALLBACK_LANGUAGE])
+    for language, by_kind in given.items():
+        missing = sorted(set(SCENARIO_WEIGHTS) - set(by_kind))
+        if missing:
+            raise ValueError(f"no template of {language} for {missing}")
     rows = [(lang, kind, text) for lang, by_kind in given.items() for kind, text in by_kind.items()]
     table = spark.createDataFrame(rows, "_language STRING, scenario STRING, _template STRING")
-    if sum(len(text) for _, _, text in rows) <= MAX_REPLICATED_CHARS:
-        table = F.broadcast(table)
     known = F.col("language").isin(list(given))
     return (
         drawn.withColumn(

@@ -10,10 +10,11 @@ from duecall.operators.generate import GeneratorFactory, generate
 from duecall.operators.parse import parse_generations
 from duecall.operators.prepare import INSTRUCTION, prepare_requests, unwrap_transcript
 from duecall.sources.files import find_transcript_column, read_transcripts
+from duecall.vocabulary import MAX_TRANSCRIPT_CHARS
 
 OUTCOME = [
     "disposition", "payment_disposition", "reason_for_not_paying", "ptp_details", "remarks",
-    "confidence_score", "error", "raw", "failed",
+    "confidence_score", "error", "raw", "failed", "truncated",
 ]
 
 
@@ -27,12 +28,13 @@ def predict(
     keep: list[str] | None = None,
     keep_extra: bool = False,
     instruction: str = INSTRUCTION,
+    limit: int = MAX_TRANSCRIPT_CHARS,
     partitions: int | None = None,
 ) -> DataFrame:
     """Outcome of every row, with the ``keep`` columns and ``_original_transcript`` beside it.
 
     One narrow job: blank rows and failures stay as error rows, and only the prompt leaves the
-    JVM. A string that holds a JSON object counts as a record with a transcript in it. Filter the
+    JVM. Transcripts are cut after ``limit`` characters, as ``truncated`` tells. A string that holds a JSON object counts as a record with a transcript in it. Filter the
     input before calling this; a filter on the result cannot save generations.
     """
     taken = sorted(set(keep or []) & {*OUTCOME, "extra", "_original_transcript"})
@@ -46,7 +48,7 @@ def predict(
         unwrap_transcript(df, transcript).alias("request_transcript"),
         day.alias("request_date"),
     )
-    prepared = prepare_requests(needed, "request_transcript", run_date, "request_date", instruction)
+    prepared = prepare_requests(needed, "request_transcript", run_date, "request_date", instruction, limit)
     generated = generate(prepared, factory, name, partitions=partitions)
     cleaned = clean_answers(parse_generations(generated), keep_extra=keep_extra)
     return cleaned.select(

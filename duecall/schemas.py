@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-REQUEST = "transcript STRING, current_date STRING"
-
 PTP_DETAILS = "STRUCT<amount: STRING, date: STRING>"
 
 RESPONSE = (
@@ -14,7 +12,7 @@ RESPONSE = (
 GOLD = (
     "id STRING, transcript STRING, expected_disposition STRING, "
     "expected_payment_disposition STRING, expected_reason_for_not_paying STRING, "
-    "expected_amount INT, expected_date STRING, expected_remarks STRING"
+    "expected_amount STRING, expected_date STRING, expected_remarks STRING"
 )
 
 LABELLED_PAIR = "input STRING, output STRING"

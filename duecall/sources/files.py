@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +43,34 @@ def read_transcripts(
         reader = reader.schema(schema)
     kind = file_format(path, fmt)
     if kind == "csv":
-        return reader.option("header", True).option("escape", '"').csv(path)
+        # a file whose header has another order fails instead of being read by position
+        reader = reader.option("header", True).option("enforceSchema", False)
+        for side in ("Leading", "Trailing"):
+            reader = reader.option(f"ignore{side}WhiteSpace", False)
+        return reader.option("escape", '"').csv(path)
     if kind == "json":
-        return reader.option("primitivesAsString", True).json(path)
+        rows = reader.option("primitivesAsString", True).json(path)
+        return rows if schema is not None else rows.select(*_file_order(spark, path, rows.columns))
     raise ValueError(f"unsupported input format: {kind}")
 
 
+def _file_order(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
+    """``columns`` as the keys of the first record; keys it lacks follow as they came.
+
+    Schema inference sorts keys. The head of one file tells their order: at most 200 lines of at
+    most 64,000 characters come to the driver.
+    """
+    lines = spark.read.text(path).select(F.substring("value", 1, 64_000)).limit(200).collect()
+    head = "\n".join(line[0] for line in lines)
+    start = head.find("{")
+    try:
+        keys = list(json.JSONDecoder().raw_decode(head, start)[0]) if start >= 0 else []
+    except ValueError:  # the first record is longer than the head
+        keys = sorted((c for c in columns if json.dumps(c) in head), key=lambda c: head.find(json.dumps(c)))
+    first = [c for c in keys if c in columns]
+    return [f"`{c}`" for c in [*first, *(c for c in columns if c not in first)]]
+
+
 def find_transcript_column(df: DataFrame) -> str:
     """First column, in file order, whose name speaks of a transcript, text or conversation."""
     for name in df.columns:
@@ -62,7 +86,8 @@ def read_gold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     ``write_gold`` made, with one record per line, which Spark can split.
     """
     if lines:
-        return spark.read.schema(f"{GOLD}, language STRING").json(path)
+        strict = spark.read.option("mode", "FAILFAST")
+        return strict.schema(f"{GOLD}, language STRING").json(path)
     language = F.regexp_replace("_metadata.file_name", GOLD_SUFFIX.replace(".", r"\.") + "$", "")
     records = (
         spark.read.schema(GOLD)
@@ -76,7 +101,8 @@ def read_gold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 def read_labelled_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``input`` text and the struct ``labels`` parsed from the JSON text in ``output``."""
-    pairs = spark.read.schema(LABELLED_PAIR).option("multiLine", not lines).json(path)
+    reader = spark.read.schema(LABELLED_PAIR).option("mode", "FAILFAST")
+    pairs = reader.option("multiLine", not lines).json(path)
     return pairs.withColumn("labels", parse_json_column("output", LABELLED_OUTPUT))
 
 

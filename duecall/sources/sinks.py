@@ -12,6 +12,9 @@ _FORMATS = ("csv", "json")
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Predictions as CSV (nested values as JSON text) or as one JSON record per line.
 
+    CSV keeps blanks and line ends of a text as they are, but an empty text reads back as null;
+    use JSON where the two must stay apart.
+
     The format is checked before any work is started.
     """
     if fmt not in _FORMATS:
@@ -26,7 +29,10 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:
         else F.col(f"`{field.name}`")
         for field in df.schema
     ]
-    df.select(*flat).write.option("header", True).option("escape", '"').csv(path)
+    writer = df.select(*flat).write.option("header", True).option("escape", '"')
+    for side in ("Leading", "Trailing"):
+        writer = writer.option(f"ignore{side}WhiteSpace", False)
+    writer.csv(path)
 
 
 def write_eval_pairs(pairs: DataFrame, path: str) -> None:

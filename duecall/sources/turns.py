@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duecall.operators.prepare import truncate_transcript
-from duecall.operators.replicate import replicated_if_small
 from duecall.vocabulary import MAX_TRANSCRIPT_CHARS
 
 SPEAKERS = {"assistant": "Agent", "user": "Borrower", "system": "System"}
@@ -58,8 +57,8 @@ def assemble_for_prompt(
 
     Summed lengths tell where each block of turns starts. Turns of blocks that start past the
     limit cannot show in the result and are left out before anything is collected, so a key that
-    wrongly holds very many turns costs no more than one long call. Few calls have such blocks, so
-    their list is usually small; calling this computes it.
+    wrongly holds very many turns costs no more than one long call. Few calls have such blocks;
+    the planner picks the join from the real size of their list.
     """
     earlier = (
         Window.partitionBy(call).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +73,7 @@ def assemble_for_prompt(
         .select(F.col(call).alias("_call"), F.col("_block").alias("_past"))
     )
     shown = lines.join(
-        replicated_if_small(past),
+        past,
         F.col(call).eqNullSafe(F.col("_call")) & F.col("_block").eqNullSafe(F.col("_past")),
         "left_anti",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from duecall.operators.clean import clean_answers
-from duecall.operators.metrics import parse_gpu_samples, success_columns, succeeded
+from duecall.operators.metrics import latest_by_gpu, success_columns, succeeded
 from duecall.operators.parse import parse_generations
 
 
@@ -55,12 +55,7 @@ def stream_request_metrics(
 
 def stream_latest_gauge(samples: DataFrame, ts: str = "ts", line: str = "line") -> DataFrame:
     """Latest sample of every GPU seen so far; the state is one row per GPU."""
-    order = F.col(ts)
-    return (
-        parse_gpu_samples(samples, line)
-        .groupBy("gpu")
-        .agg(*[F.max_by(name, order).alias(name) for name in ("util", "mem_total", "mem_used")])
-    )
+    return latest_by_gpu(samples, ts, line)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -65,10 +65,6 @@ SCENARIO_TRUTH = [
     ("DENIED", "ANSWERED", "DENIED_TO_PAY", "UNEMPLOYED", False),
     ("VISIT", "ANSWERED", "WILL_PAY_AFTER_VISIT", "OTHER_REASONS", False),
 ]
-GOLD_LANGUAGES = [
-    "hindi", "english", "bengali", "marathi", "telugu",
-    "tamil", "gujarati", "kannada", "malayalam", "punjabi",
-]
 
 # --- messages of our own --------------------------------------------------------------------------
 BAD_JSON = "Invalid JSON"

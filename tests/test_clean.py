@@ -185,3 +185,14 @@ def test_model_written_error_and_extra_keys(spark):
     (row,) = outcomes(spark, [(HELLO, None, answer)], keep_extra=True)
     assert row["failed"] and row["error"] == "no idea" and row["disposition"] == "BUSY"
     assert row["extra"] == {"error": '"no idea"', "mood": '{"tone":"calm"}', "n": "1.5"}
+
+
+def test_bare_numbers_are_mended_outside_strings_only(spark):
+    answers = [
+        '{"disposition": "BUSY", "confidence_score": NaN, "remarks": "score: NaN, low"}',
+        '{"disposition": "BUSY", "confidence_score": -Infinity, "remarks": "Infinity"}',
+        '{"disposition": "BUSY", "confidence_score": Infinity, "remarks": "a \\"b\\": NaN, \\\\"}',
+    ]
+    got = outcomes(spark, [(HELLO, None, answer) for answer in answers])
+    assert [row["error"] for row in got] == [None] * 3
+    assert [row["remarks"] for row in got] == ["score: NaN, low", "Infinity", 'a "b": NaN, \\']

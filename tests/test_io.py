@@ -22,7 +22,7 @@ def load_busy():
 
 def load_picky():
     def answer(prompts):
-        if any("bad" in prompt.rsplit("Transcript:", 1)[1] for prompt in prompts):
+        if any("bad" in prompt.rsplit("What was said:", 1)[1] for prompt in prompts):
             raise RuntimeError("cannot read this")
         return [ANSWER for _ in prompts]
 
@@ -138,7 +138,7 @@ def test_prepare(spark):
     df = spark.createDataFrame(list(enumerate(said)), "n INT, said STRING")
     rows = prepare.prepare_requests(df, "said", "2026-01-27").orderBy("n").collect()
     assert [r["request_error"] is None for r in rows] == [True, False, False, True, True]
-    assert rows[0]["prompt"].endswith("Context: Current Date is 2026-01-27\nTranscript: hello\n\n### Response:\n")
+    assert rows[0]["prompt"].endswith("The call took place on 2026-01-27.\nWhat was said:\nhello\n\nJSON object:\n")
     assert rows[1]["prompt"] is None
     assert rows[3]["transcript"] == "x" * 22000 + "... [TRUNCATED]"
     assert rows[3]["_original_transcript"] == "x" * 22001
@@ -146,7 +146,7 @@ def test_prepare(spark):
 
 
 def test_generate_isolates_rows(spark):
-    df = spark.createDataFrame([(i, "Transcript: " + t) for i, t in enumerate(["a", "bad", "c"])], "n INT, prompt STRING")
+    df = spark.createDataFrame([(i, "What was said:" + t) for i, t in enumerate(["a", "bad", "c"])], "n INT, prompt STRING")
     rows = generate(df.coalesce(1), load_picky, "picky").orderBy("n").collect()
     assert [r["generation"] for r in rows] == [ANSWER, None, ANSWER]
     assert rows[1]["generate_error"] == "cannot read this"
@@ -269,3 +269,31 @@ def test_append_mode_writes_closed_windows_once(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("window_start").collect()
     assert [r["total"] for r in rows] == [30, 30, 30]
     assert all(r["mean_latency"] == 1.5 for r in rows)
+
+
+def test_json_keys_keep_file_order(spark, tmp_path):
+    path = tmp_path / "calls.json"
+    path.write_text('[{"transcript": "said", "context": "why"}, {"context": "x", "transcript": "y"}]')
+    assert files.find_transcript_column(files.read_transcripts(spark, str(path))) == "transcript"
+
+
+def test_csv_folder_with_another_column_order_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,hello\n")
+    (tmp_path / "b.csv").write_text("text,id\nworld,2\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        files.read_transcripts(spark, str(tmp_path), "csv").collect()
+
+
+def test_csv_keeps_blanks(spark, tmp_path):
+    said = [" (note)", "tail \n", "a\"b,c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id INT, text STRING")
+    sinks.write_predictions(df, str(tmp_path / "out"), "csv")
+    back = files.read_transcripts(spark, str(tmp_path / "out"), "csv").orderBy("id")
+    assert [r["text"] for r in back.collect()] == said
+
+
+def test_missing_template_raises(spark):
+    seeds = synth.gold_seeds(spark, ["hindi"], 5)
+    with pytest.raises(ValueError, match="no template"):
+        synth.synth_gold(seeds, {"hindi": {"PTP": "x"}})
+    assert synth.synth_gold(seeds, {"tamil": synth.TEMPLATES["hindi"]}).count() == 5

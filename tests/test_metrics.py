@@ -108,3 +108,10 @@ def test_throughput(spark):
 def test_empty_log(spark):
     empty = log(spark, [(1, "success", 1.0)]).where("false")
     assert metrics.success_rate(empty).first()["success_rate"] is None
+
+
+def test_latest_gauge_does_not_depend_on_input_order(spark):
+    lines = [(1, "0, 10, 100, 20"), (2, "0, 30, 100, 40"), (2, "0, 30, 100, 50"), (3, "0, [N/A], 100, 60")]
+    for rows in (lines, lines[::-1]):
+        df = spark.createDataFrame(rows, "ts INT, line STRING").coalesce(1)
+        assert [tuple(r) for r in metrics.gpu_gauges(df).collect()] == [("0", 30.0, 100.0, 50.0)]

@@ -256,6 +256,15 @@ oracle(
     "unwrap_transcript",
     "SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS text_md5 FROM documents",
 )
+oracle(
+    "read_transcripts_json",
+    "SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS text_md5 FROM documents",
+)
+oracle(
+    "read_labelled_pairs",
+    """SELECT doc_id, upper(source) AS disposition, lang AS payment_disposition, n_chars::VARCHAR AS ptp_amount,
+  NULL::VARCHAR AS ptp_date, md5(text) AS remarks_md5 FROM documents""",
+)
 _LINES = """lines AS (
   SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'Agent' WHEN 'user' THEN 'Borrower' WHEN 'system' THEN 'System' END
     || ': ' || coalesce(text, '') AS line FROM conversations
@@ -266,14 +275,17 @@ whole_calls AS (
 oracle("assemble_transcripts", "SELECT conv_id, transcript, turns FROM whole_calls", _LINES)
 oracle(
     "assemble_for_prompt",
-    """SELECT conv_id, CASE WHEN length(transcript) > 1000 THEN left(transcript, 1000) || '... [TRUNCATED]' ELSE transcript END AS transcript
+    """SELECT conv_id, CASE WHEN length(transcript) > 22000 THEN left(transcript, 22000) || '... [TRUNCATED]' ELSE transcript END AS transcript
 FROM whole_calls""",
     _LINES,
 )
 oracle("predictions_roundtrip", f"SELECT k1 AS doc_id, {FLAT} FROM cleaned", CASES_CLEANED)
 oracle(
     "predictions_csv_roundtrip",
-    "SELECT k1 AS doc_id, disposition, payment_disposition, amount, date, error, raw FROM cleaned",
+    # an empty text is null in CSV
+    """SELECT cleaned.k1 AS doc_id, disposition, payment_disposition, amount, date, md5(nullif(remarks, '')) AS remarks_md5,
+  confidence_score, error, nullif(raw, '') AS raw, md5(nullif(calls.transcript, '')) AS transcript_md5,
+  md5(nullif(calls.g, '')) AS generation_md5 FROM cleaned JOIN calls ON calls.k1 = cleaned.k1""",
     CASES_CLEANED,
 )
 
@@ -288,11 +300,7 @@ prompts AS (
   SELECT *, CASE WHEN length(transcript) > 22000 THEN left(transcript, 22000) || '... [TRUNCATED]' ELSE transcript END AS said FROM blanked
 ),
 prompted AS (
-  SELECT *, CASE WHEN NOT blank THEN {quoted(f'''### Instruction:
-{INSTRUCTION}
-
-### Input:
-Context: Current Date is ''')} || today || chr(10) || 'Transcript: ' || said || chr(10) || chr(10) || '### Response:' || chr(10) END AS prompt
+  SELECT *, CASE WHEN NOT blank THEN {quoted(INSTRUCTION)} || chr(10) || chr(10) || 'The call took place on ' || today || '.' || chr(10) || 'What was said:' || chr(10) || said || chr(10) || chr(10) || 'JSON object:' || chr(10) END AS prompt
   FROM prompts
 )"""
 oracle(

@@ -13,7 +13,6 @@ from duecall.functions.values import read_fields, whole_number_text
 from duecall.operators import evaluate, follow_up, metrics, prepare, reports, synth
 from duecall.operators.clean import ANSWER_PATHS
 from duecall.operators.generate import generate
-from duecall.operators.parse import split_errors
 from duecall.plans.predict import predict, predict_file
 from duecall.schemas import RESPONSE
 from duecall.session import scratch_dir, ship
@@ -116,6 +115,36 @@ def gold_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def read_transcripts_json(spark, sf_dir):
+    path = scratch_dir(spark, "upload")
+    documents(spark, sf_dir).select(
+        F.col("text").alias("transcript"), F.col("lang").alias("context"), "doc_id"
+    ).write.json(path)
+    rows = files.read_transcripts(spark, path, "json", whole_files=False)
+    said = F.col(files.find_transcript_column(rows))
+    return rows.select(
+        bigint("doc_id").alias("doc_id"), bigint(F.length(said)).alias("chars"), F.md5(said).alias("text_md5")
+    )
+
+
+@query
+def read_labelled_pairs(spark, sf_dir):
+    path = scratch_dir(spark, "pairs")
+    labels = F.struct(
+        F.upper("source").alias("disposition"), F.col("lang").alias("payment_disposition"),
+        F.col("n_chars").cast("string").alias("ptp_amount"), F.col("text").alias("remarks"),
+    )
+    documents(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("input"), F.to_json(labels).alias("output")
+    ).write.json(path)
+    pairs = files.read_labelled_pairs(spark, path, lines=True)
+    return pairs.select(
+        bigint("input").alias("doc_id"), "labels.disposition", "labels.payment_disposition",
+        "labels.ptp_amount", "labels.ptp_date", F.md5("labels.remarks").alias("remarks_md5"),
+    )
+
+
 @query
 def nested_json_column(spark, sf_dir):
     events = frames.table(spark, sf_dir, "events")
@@ -146,7 +175,7 @@ def assemble_transcripts(spark, sf_dir):
 @query
 def assemble_for_prompt(spark, sf_dir):
     calls = frames.table(spark, sf_dir, "conversations")
-    return turns.assemble_for_prompt(calls, limit=1000)
+    return turns.assemble_for_prompt(calls)
 
 
 # --- sinks -------------------------------------------------------------------------------------
@@ -165,8 +194,7 @@ def predictions_roundtrip(spark, sf_dir):
 @query
 def predictions_csv_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "predictions") + ".csv"
-    cleaned = frames.cleaned_cases(spark, sf_dir).drop("transcript", "generation")
-    sinks.write_predictions(cleaned, path, "csv")
+    sinks.write_predictions(frames.cleaned_cases(spark, sf_dir), path, "csv")
     back = files.read_transcripts(spark, path)
     details = F.from_json("ptp_details", "amount STRING, date STRING")
     return back.select(
@@ -175,8 +203,12 @@ def predictions_csv_roundtrip(spark, sf_dir):
         "payment_disposition",
         details["amount"].alias("amount"),
         details["date"].alias("date"),
+        F.md5("remarks").alias("remarks_md5"),
+        F.col("confidence_score").cast("double").alias("confidence_score"),
         "error",
         "raw",
+        F.md5("transcript").alias("transcript_md5"),
+        F.md5("generation").alias("generation_md5"),
     )
 
 
@@ -309,15 +341,9 @@ def parse_json_strict(spark, sf_dir):
 
 @query
 def route_errors(spark, sf_dir):
-    fine, failed = split_errors(frames.cleaned_cases(spark, sf_dir))
-    one = F.lit(1)
-    counts = failed.groupBy("error").agg(
-        F.count(one).alias("rows"), F.countDistinct("raw").alias("raw_texts")
-    )
-    return counts.unionByName(
-        fine.groupBy("error").agg(
-            F.count(one).alias("rows"), F.countDistinct("raw").alias("raw_texts")
-        )
+    cleaned = frames.cleaned_cases(spark, sf_dir)
+    return cleaned.groupBy("error").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("raw").alias("raw_texts")
     )
 
 
