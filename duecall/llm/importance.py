@@ -62,15 +62,20 @@ def count_ngrams(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> np.ndarray:
-    """Log target minus log raw probability of every bucket; zeros without target texts."""
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = 1000.0) -> np.ndarray:
+    """Log target minus log raw probability of every bucket; zeros without target texts.
+
+    The target model starts from ``prior`` n-grams dealt out as the raw model has them.
+    """
     total = np.zeros((2, buckets))
     for bucket, target, raw in counts.collect():  # one row per bucket
         total[:, bucket] = target, raw
     if not total[0].sum():
         return np.zeros(buckets)
-    logs = np.log(total + smoothing) - np.log(total.sum(axis=1, keepdims=True) + smoothing * buckets)
-    return logs[0] - logs[1]
+    target, raw = total
+    share = raw / raw.sum()
+    mixed = (target + prior * share) / (target.sum() + prior)
+    return np.log(np.divide(mixed, share, out=np.ones(buckets), where=share > 0))
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:

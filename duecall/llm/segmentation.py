@@ -419,9 +419,9 @@ def sample_segmentations(
     log inclusion probability and whether its ids read back as the text. Results leave a task slice by slice."""
     held = docs.sparkSession.sparkContext.broadcast(model_proto)  # one model, a fixed input
     kept = [c for c in (docs.columns if keep is None else keep) if c != into]
-    schema = T.StructType(
-        [*(docs.schema[c] for c in kept), T.StructField(into, SAMPLES_TYPE)]
-    )
+    # numbered names: a task's input columns are found by name, which a dot in one would break
+    fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
+    schema = T.StructType([*fields, T.StructField("samples", SAMPLES_TYPE)])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(held.value, exponent)
@@ -435,9 +435,9 @@ def sample_segmentations(
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], lists], schema.names)
 
     hashed = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
-    return docs.select(
-        F.col(f"`{text}`").alias("__text"), hashed.alias("__seed"), *[F.col(f"`{c}`") for c in kept]
-    ).mapInArrow(sample, schema)
+    carried = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)]
+    rows = docs.select(F.col(f"`{text}`").alias("text"), hashed.alias("seed"), *carried)
+    return rows.mapInArrow(sample, schema).toDF(*kept, into)
 
 
 def _intact(pieces: Pieces, texts: list, found: list[list[tuple]]) -> list[bool]:

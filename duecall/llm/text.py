@@ -119,7 +119,8 @@ def shingles_at(hashes: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndar
     total = np.zeros(n, np.uint64)
     for k in range(size):
         part = np.zeros(n, np.uint64)
-        part[: n - k] = hashes[k:] if k < n else part[:0]
+        if k < n:
+            part[: n - k] = hashes[k:]
         total = mix(total * np.uint64(0x2545F4914F6CDD1D) + part)
     return total, np.arange(n) + size <= end
 
