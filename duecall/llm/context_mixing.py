@@ -9,11 +9,11 @@ are learned online, over the training words in batches, each word without one of
 occurrences. Within a text the result is refined as the text goes on: words seen before in it
 become likelier, in several strengths, and the strengths are weighed by how well they did so far.
 
-All statistics come from all training texts. Texts become lists of word numbers in chunks, each
-with its own list of distinct words; the words meet the vocabulary in one join, so every word is
-modelled once, not once per occurrence, and a word in every text is one row per chunk. The shared
-table of bit counts has a fixed number of slots, whatever the input; the vocabulary stays in
-Spark.
+All statistics come from all training texts. Texts become lists of word numbers in chunks of about
+``CHUNK_BYTES``, each with its own list of distinct words; the words meet the vocabulary in one
+join, so every word is modelled once, not once per occurrence, and a word in every text is one row
+per chunk. What the join finds goes back to the chunks in packed columns. The shared table of bit
+counts has a fixed number of slots, whatever the input; the vocabulary stays in Spark.
 
 Cases: a null text counts as empty and is just an end. Blanks, tabs and line ends divide words;
 words may be of any length. Without training texts every bit has probability one half. Repeated
@@ -36,7 +36,8 @@ from duecall.llm.text import flat, lower_ascii, runs, slices, span_hashes, words
 
 SLOT_BITS = 22
 BLOCK_BITS = 14
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 24 << 20
+PACKED_ROWS = 1 << 18
 CONTEXTS = 4
 STRENGTHS = (2.0, 10.0, 50.0, 250.0)
 HEADS = (2, 4)  # bytes of a word's beginnings that texts adapt to
@@ -45,18 +46,53 @@ GATES = (len(_LEVELS) + 1) ** 2
 _END = 0x20
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``limit`` bytes of text; a longer text comes alone."""
+    parts, size = [], 0
+    for batch in batches:
+        _, offsets = flat(batch.column(1))
+        for lo, hi in slices(batch.column(1), limit):
+            more = int(offsets[hi] - offsets[lo])
+            if parts and size + more > limit:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                parts, size = [], 0
+            parts.append(batch.slice(lo, hi - lo))
+            size += more
+    if parts:
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Compressed bytes of numbers, all first bytes first: small numbers then take little room."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of texts (word numbers, compressed) and rows of their chunk's distinct words."""
     part, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for lo, hi in slices(batch.column(1), CHUNK_BYTES):
-            data, offsets = flat(batch.column(1).slice(lo, hi - lo))
-            train = ~np.array(batch.column(2).slice(lo, hi - lo).to_pylist(), bool)
+    for batch in _gathered(batches, CHUNK_BYTES):
+        lo, hi = 0, batch.num_rows
+        if hi:
+            whole, offsets = flat(batch.column(1))
+            train = ~np.array(batch.column(2).to_pylist(), bool)
             size = np.diff(offsets)
-            start, end, row = words(data, offsets)
-            data = lower_ascii(data)
+            found: list[list] = [[np.zeros(0, np.int64)] for _ in range(3)]
+            hashes = [np.zeros(0, np.uint64)]
+            for a, b in slices(batch.column(1)):
+                data, at = whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                start, end, row = words(data, at)
+                hashes.append(span_hashes(lower_ascii(data), start, end))
+                for column, values in zip(found, (start + offsets[a], end + offsets[a], row + a), strict=True):
+                    column.append(values)
+            start, end, row = (np.concatenate(x) for x in found)
             _, first, word = np.unique(
-                span_hashes(data, start, end), return_index=True, return_inverse=True
+                np.concatenate(hashes), return_index=True, return_inverse=True
             )
             # frequent words get small numbers, which compress well
             order = np.argsort(-np.bincount(word, minlength=len(first)), kind="stable")
@@ -67,11 +103,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
             numbers = word.astype("<u4")
             lists = [
-                zlib.compress(numbers[a:b].tobytes(), 1)
+                _planes(numbers[a:b])
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
             ]
-            raw = data.tobytes()
-            spelled = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            spelled = [
+                lower_ascii(whole[a:b]).tobytes()
+                for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)
+            ]
             # the end of a text is the empty word, number 0 of every chunk's own list is not special
             spelled.append(b"")
             seen = np.append(seen, train.sum())
@@ -142,16 +180,16 @@ def _count_bits(slot_bits: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, 1 << slot_bits), np.float32)
+        flat_table = table.reshape(-1)
         for batch in batches:
             weight = batch.column(1).to_numpy()
             for lo, hi in _words_of(batch.column(0), 1 << 18):
                 coded = _Coded(batch.column(0).slice(lo, hi - lo))
                 w = weight[lo:hi][coded.word].astype(np.float32)
                 for bit in range(8):
-                    y = coded.bit(bit)
+                    half = coded.bit(bit).astype(np.uint64) << np.uint64(slot_bits)
                     for slot in coded.slots(bit, slot_bits):
-                        for value in (0, 1):
-                            np.add.at(table[value], slot[y == value], w[y == value])
+                        np.add.at(flat_table, (slot | half).astype(np.int64), w)
         for number in range(1 << (slot_bits - block)):
             part = table[:, number << block : (number + 1) << block]
             if part.any():
@@ -197,19 +235,41 @@ def bit_table(vocabulary: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
     return table
 
 
-def _inputs(coded: _Coded, bit: int, table: np.ndarray, slot_bits: int, leave: bool):
-    """Stretched predictions, gate and bit of every byte; with ``leave`` without one occurrence."""
-    y = coded.bit(bit)
-    stretched, totals = [], []
-    for slot in coded.slots(bit, slot_bits):
-        zero, one = table[0][slot], table[1][slot]
-        if leave:
-            zero, one = np.maximum(zero - (y == 0), 0), np.maximum(one - (y == 1), 0)
-        total = zero + one
-        stretched.append(np.log((one + 0.02) / (zero + 0.02)) * (total > 0))
-        totals.append(np.searchsorted(_LEVELS, total, "right"))
-    gate = totals[3] * (len(_LEVELS) + 1) + totals[2]
-    return np.clip(np.stack(stretched), -12, 12), gate, y
+def _level(total: np.ndarray) -> np.ndarray:
+    return sum((total >= n).astype(np.uint8) for n in _LEVELS)
+
+
+def _stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((one + np.float32(0.02)) / (zero + np.float32(0.02))), -12, 12)
+
+
+class _Slots:
+    """What each slot predicts: made once per task from the shared counts."""
+
+    def __init__(self, table: np.ndarray, slot_bits: int):
+        self.slot_bits = slot_bits
+        # both counts of a slot side by side
+        self.pairs = np.ascontiguousarray(table.T).view(np.complex64).reshape(-1)
+        self.level = _level(table[0] + table[1])
+        self.stretched = _stretched(*table)
+
+    def inputs(self, coded: _Coded, bit: int, leave: bool):
+        """Stretched predictions, gate and bit of every byte; with ``leave`` without one occurrence."""
+        y = coded.bit(bit)
+        stretched, levels = [], []
+        for slot in coded.slots(bit, self.slot_bits):
+            slot = slot.astype(np.int64)
+            if leave:
+                pair = self.pairs[slot].view(np.float32).reshape(-1, 2)
+                one = np.maximum(pair[:, 1] - y, 0)
+                zero = np.maximum(pair[:, 0] - (1 - y.astype(np.int8)), 0)
+                stretched.append(_stretched(zero, one))
+                levels.append(_level(zero + one))
+            else:
+                stretched.append(self.stretched[slot])
+                levels.append(self.level[slot])
+        gate = levels[3].astype(np.int64) * (len(_LEVELS) + 1) + levels[2]
+        return np.stack(stretched), gate, y
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -234,17 +294,17 @@ def learn_weights(
     tasks, weighted by what they saw, is taken."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of.value
+        table = _Slots(table_of.value, slot_bits)
         weights = _first_weights()
         steps = np.full(weights.shape, 1e-4)
         seen = np.zeros(GATES * 8)
         for batch in batches:
             count = batch.column(1).to_numpy()
-            for lo, hi in _words_of(batch.column(0), 1 << 13):
+            for lo, hi in _words_of(batch.column(0), 1 << 15):
                 coded = _Coded(batch.column(0).slice(lo, hi - lo))
                 c = count[lo:hi][coded.word].astype(float)
                 for bit in range(8):
-                    x, gate, y = _inputs(coded, bit, table, slot_bits, True)
+                    x, gate, y = table.inputs(coded, bit, True)
                     gate = gate * 8 + bit
                     error = (y - _squash((weights[gate].T * x).sum(axis=0))) * c
                     mass = np.bincount(gate, c, GATES * 8)
@@ -269,29 +329,35 @@ def learn_weights(
     return weights
 
 
-def word_logs(column: pa.Array, table: np.ndarray, weights: np.ndarray, slot_bits: int) -> np.ndarray:
+def word_logs(column: pa.Array, table: _Slots, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural log of the probability of each word's first bytes (a column per entry of ``HEADS``,
-    the closing blank included) and of the whole word."""
+    the closing blank included) and of the whole word; and the word's first four bytes as a number."""
     out = np.zeros((len(column), len(HEADS) + 1))
+    heads = np.zeros(len(column), np.uint32)
+    weights = weights.astype(np.float32)
     for lo, hi in _words_of(column, 1 << 18):
         coded = _Coded(column.slice(lo, hi - lo))
         total = np.zeros(len(coded.bytes))
         for bit in range(8):
-            x, gate, y = _inputs(coded, bit, table, slot_bits, False)
-            p = _squash((weights[gate * 8 + bit].T * x).sum(axis=0))
-            total += np.log(np.where(y == 1, p, 1 - p))
+            x, gate, y = table.inputs(coded, bit, False)
+            score = np.einsum("nk,kn->n", weights[gate * 8 + bit], x)
+            # the log of the logistic of the score, or of its opposite
+            total -= np.log1p(np.exp(np.clip(np.where(y == 1, -score, score), -20, 20)))
         place = np.arange(len(total)) - coded.first[coded.word]
         for k, head in enumerate(HEADS):
             out[lo:hi, k] = np.bincount(coded.word, np.where(place < head, total, 0.0), hi - lo)
         out[lo:hi, -1] = np.add.reduceat(total, coded.first)
-    return out
+        at = np.flatnonzero(place < max(HEADS))
+        shifted = coded.bytes[at].astype(np.uint32) << (8 * place[at]).astype(np.uint32)
+        np.bitwise_or.at(heads, lo + coded.word[at], shifted)
+    return out, heads
 
 
 def _seen_before(key: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """How often each key occurred before in its row."""
-    order = np.lexsort((key, row))
-    change = (key[order][1:] != key[order][:-1]) | (np.diff(row[order]) > 0)
-    start = np.flatnonzero(np.concatenate(([True], change)))
+    """How often each key (below 2^32) occurred before in its row."""
+    both = (row << 32) | key
+    order = np.argsort(both, kind="stable")
+    start = np.flatnonzero(np.diff(both[order], prepend=-1))
     before = np.empty(len(key))
     before[order] = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
     return before
@@ -306,14 +372,18 @@ def _adapted(word: np.ndarray, at: np.ndarray, keys: list, logs: np.ndarray) ->
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     above = np.arange(len(word)) - at[row]
     counts = [above, *(_seen_before(key[word], row) for key in keys)]
-    steps = np.diff(logs, axis=1, prepend=0.0)[word]
+    steps = np.diff(logs, axis=1, prepend=0.0)
+    chances = np.exp(steps)[word]
+    steps = steps[word]
     experts = [np.bincount(row, logs[word, -1], len(at) - 1)]
     for strength in STRENGTHS:
         total = np.zeros(len(word))
         for k in range(len(keys)):
-            with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log(counts[k + 1]), np.log(strength) + steps[:, k])
-            total += mixed - np.log(counts[k] + strength)
+            bottom = counts[k] + strength
+            new = counts[k + 1] == 0
+            # a new step's chance may be too small for a number: its log is at hand
+            mixed = np.log((counts[k + 1] + strength * np.where(new, 1.0, chances[:, k])) / bottom)
+            total += mixed + np.where(new, steps[:, k], 0.0)
         experts.append(np.bincount(row, total, len(at) - 1))
     # weighing by success so far, from equal weights on, multiplies out to the mean of the products
     stacked = np.stack(experts)
@@ -321,6 +391,46 @@ def _adapted(word: np.ndarray, at: np.ndarray, keys: list, logs: np.ndarray) ->
     return top + np.log(np.exp(stacked - top).mean(axis=0))
 
 
+_PACKED = ("<u4", "<i8", "<u4", *("<f4" for _ in range(len(HEADS) + 1)))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk's words (chunk, number, count, head, logs) in packed columns, a row per chunk
+    for every ``PACKED_ROWS`` rows read."""
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        chunk, *columns = (c.to_numpy() for c in pa.Table.from_batches(parts).columns)
+        order = np.argsort(chunk, kind="stable")
+        columns = [c[order].astype(kind) for c, kind in zip(columns, _PACKED, strict=True)]
+        start, count = runs(chunk[order])
+        rows = [
+            [_planes(c[a : a + n]) for c in columns]
+            for a, n in zip(start.tolist(), count.tolist(), strict=True)
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(chunk[order][start]), pa.array(rows, pa.list_(pa.binary()))],
+            names=["of_chunk", "packed"],
+        )
+
+    parts, size = [], 0
+    for batch in batches:
+        parts.append(batch)
+        size += batch.num_rows
+        if size >= PACKED_ROWS:
+            yield packed(parts)
+            parts, size = [], 0
+    if size:
+        yield packed(parts)
+
+
+def _unpacked(rows: list[list[bytes]]) -> list[np.ndarray]:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_PACKED)
+    return [
+        np.concatenate([np.zeros(0, kind), *(_from_planes(x, kind) for x in c)])
+        for c, kind in zip(columns, _PACKED, strict=True)
+    ]
+
+
 _SCORED = (
     "key bigint, held_out boolean, n_tokens bigint, n_known bigint, n_bytes bigint, "
     "base_score double, score double"
@@ -331,22 +441,20 @@ def _scorer(unseen: float):
     """``unseen``: log10 of N + V + 1."""
 
     def score(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        size = vocabulary.num_rows
-        number = vocabulary["number"].to_numpy()
+        number, seen, heads, *found_logs = _unpacked(vocabulary["packed"].to_pylist())
+        size = len(number)
         count, logs = np.zeros(size), np.zeros((size, len(HEADS) + 1))
-        count[number] = vocabulary["seen"].to_numpy()
-        keys = [np.zeros(size, np.int64) for _ in HEADS]
-        for k in range(len(HEADS) + 1):
-            logs[number, k] = vocabulary[f"log_{k}"].to_numpy()
-        for k, key in enumerate(keys):
-            key[number] = vocabulary[f"head_{k}"].to_numpy()
-        keys.append(np.arange(size))
+        head = np.zeros(size, np.int64)
+        count[number], head[number] = seen, heads
+        for k, values in enumerate(found_logs):
+            logs[number, k] = values
+        keys = [head & ((1 << 8 * n) - 1) for n in HEADS] + [np.arange(size)]
         columns: list[list] = [[] for _ in range(4)]
         lists = texts["words"].to_pylist()
         for lo in range(0, len(lists), 512):
             # the end of a text is the last word of the chunk's list
             found = [
-                np.append(np.frombuffer(zlib.decompress(x), "<u4"), np.uint32(size - 1)).astype(np.int64)
+                np.append(_from_planes(x, "<u4"), np.uint32(size - 1)).astype(np.int64)
                 for x in lists[lo : lo + 512]
             ]
             at = np.concatenate(([0], np.cumsum([len(x) for x in found])))
@@ -395,25 +503,26 @@ def score_texts(
     log_names = [f"log_{k}" for k in range(len(HEADS) + 1)]
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots(table.value, slot_bits)
         for batch in batches:
-            found = word_logs(batch.column(0), table.value, weights.value, slot_bits)
-            columns = [pa.array(x.astype(np.float32)) for x in found.T]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["word", "seen", *log_names])
+            found, heads = word_logs(batch.column(0), slots, weights.value)
+            columns = [pa.array(heads.astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in found.T)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *columns], ["word", "seen", "head", *log_names]
+            )
 
     modelled = saved(
         _spread(vocabulary.select("word", "seen"), 100_000).mapInArrow(
-            logs, "word binary, seen bigint, " + ", ".join(f"{x} float" for x in log_names)
+            logs,
+            "word binary, seen bigint, head bigint, " + ", ".join(f"{x} float" for x in log_names),
         ),
         "modelled",
     )
-    heads = [
-        F.xxhash64(F.substring(F.concat("word", F.lit(b" ")), 1, n)).alias(f"head_{k}")
-        for k, n in enumerate(HEADS)
-    ]
     looked_up = (
         listed.drop("seen")
         .join(modelled, "word")
-        .select(F.col("chunk").alias("of_chunk"), "number", "seen", *heads, *log_names)
+        .select("chunk", "number", "seen", "head", *log_names)
+        .mapInArrow(_pack, "of_chunk bigint, packed array<binary>")
     )
     texts = chunked.where("words is not null").select("chunk", "key", "held_out", "n_bytes", "words")
     scored = (

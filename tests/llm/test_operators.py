@@ -316,7 +316,8 @@ def test_word_probabilities_sum_to_one():
     table = np.random.default_rng(0).integers(0, 50, (2, 1 << 10)).astype(np.float32)
     weights = np.full((context_mixing.GATES * 8, context_mixing.CONTEXTS), 0.3)
     singles = pa.array([bytes([b]) for b in range(256)], pa.binary())
-    logs = context_mixing.word_logs(singles, table, weights, 10)
+    slots = context_mixing._Slots(table, 10)
+    logs = context_mixing.word_logs(singles, slots, weights)[0]
     assert math.isclose(np.exp(logs[:, 0] - 0)[np.arange(256)].sum() + 0, np.exp(logs[:, 0]).sum())
     coded = context_mixing._Coded(singles)
     assert bytes(coded.bytes[:2]) == b"\0 "
@@ -324,7 +325,7 @@ def test_word_probabilities_sum_to_one():
     heads = context_mixing._Coded(pa.array([bytes([b]) for b in range(256)], pa.binary()))
     total = np.zeros(len(heads.bytes))
     for bit in range(8):
-        x, gate, y = context_mixing._inputs(heads, bit, table, 10, False)
+        x, gate, y = slots.inputs(heads, bit, False)
         p = context_mixing._squash((weights[gate * 8 + bit].T * x).sum(axis=0))
         total += np.log(np.where(y == 1, p, 1 - p))
     assert math.isclose(np.exp(total[0::2]).sum(), 1, rel_tol=1e-6)
