@@ -106,10 +106,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _planes(numbers[a:b])
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
             ]
-            spelled = [
-                lower_ascii(whole[a:b]).tobytes()
-                for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)
-            ]
+            raw = lower_ascii(whole).tobytes()
+            spelled = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
             # the end of a text is the empty word, number 0 of every chunk's own list is not special
             spelled.append(b"")
             seen = np.append(seen, train.sum())
