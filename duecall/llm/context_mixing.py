@@ -2,8 +2,8 @@
 
 A token (a lower-cased word, or the end of a text, which is the empty word) is coded as its bytes
 and a blank, bit by bit. Four predictors know the last one, two or three bytes of the word or all of
-it so far; each looks up, under a hash of its context and the bits of the byte so far, how often
-the bit was 0 or 1 in the training texts. Their predictions are stretched to the logistic domain
+it so far; each looks up, under its context and the bits of the byte so far, how often the bit was
+0 or 1 in the training texts. Their predictions are stretched to the logistic domain
 and added with weights chosen by a gate: how often the two longest contexts were seen. The weights
 are learned online, over the training words in batches, each word without one of its own
 occurrences. Within a text the result is refined as the text goes on: words seen before in it
@@ -12,8 +12,12 @@ become likelier, in several strengths, and the strengths are weighed by how well
 All statistics come from all training texts. Texts become lists of word numbers in chunks of about
 ``CHUNK_BYTES``, each with its own list of distinct words; the words meet the vocabulary in one
 join, so every word is modelled once, not once per occurrence, and a word in every text is one row
-per chunk. What the join finds goes back to the chunks in packed columns. The shared table of bit
-counts has a fixed number of slots, whatever the input; the vocabulary stays in Spark.
+per chunk. What the join finds goes back to the chunks in packed columns.
+
+Counts are Spark rows, one per context and byte, and grow with the input: a context is known by 55
+bits of hash, so contexts do not share counts. The sorted vocabulary is cut into blocks of about
+``BLOCK_BYTES``; rows of equal contexts meet in one shuffle, where the bytes of a context give the
+counts of all its bits, and those go back to the blocks that need them.
 
 Cases: a null text counts as empty and is just an end. Blanks, tabs and line ends divide words;
 words may be of any length. Without training texts every bit has probability one half. Repeated
@@ -27,15 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duecall.llm.shared import saved
-from duecall.llm.text import flat, lower_ascii, runs, slices, span_hashes, words
+from duecall.llm.text import flat, lower_ascii, mix, runs, slices, span_hashes, words
 
-SLOT_BITS = 22
-BLOCK_BITS = 14
+SLOT_BITS = 55  # of hash per context; a byte follows in the key
+BLOCK_BYTES = 1 << 20
 CHUNK_BYTES = 24 << 20
 PACKED_ROWS = 1 << 18
 CONTEXTS = 4
@@ -165,6 +170,14 @@ class _Coded:
             for k, c in enumerate(self.context)
         ]
 
+    def keys(self, slot_bits: int) -> list[np.ndarray]:
+        """Context and byte as one number, the byte last, for each kind of context."""
+        shift = np.uint64(64 - slot_bits)
+        return [
+            (((mix(c + np.uint64(k)) >> shift) << np.uint64(8)) | self.bytes).astype(np.int64)
+            for k, c in enumerate(self.context)
+        ]
+
     def bit(self, bit: int) -> np.ndarray:
         return (self.bytes >> np.uint8(7 - bit)) & np.uint8(1)
 
@@ -173,76 +186,158 @@ def _words_of(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     yield from slices(column.cast(pa.large_binary()).view(pa.large_string()), limit)
 
 
-def _count_bits(slot_bits: int):
-    block = min(BLOCK_BITS, slot_bits)
+def _blocks(slot_bits: int):
+    """Rows of the words of a block, and rows of their contexts with how often training saw them."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in _gathered_words(batches):
+            words, seen = batch.columns
+            keys, counts = [], []
+            for lo, hi in _words_of(words, 1 << 18):
+                coded = _Coded(words.slice(lo, hi - lo))
+                n = seen.to_numpy()[lo:hi][coded.word]
+                key, of = np.unique(np.concatenate(coded.keys(slot_bits)), return_inverse=True)
+                total = np.zeros(len(key), np.int64)
+                np.add.at(total, of, np.tile(n, CONTEXTS))
+                keys.append(key)
+                counts.append(total)
+            key, of = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, of, np.concatenate(counts))
+            n, m = len(words), len(key)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n + m, (part << 32) + number)),
+                    pa.concat_arrays([words, pa.nulls(m, pa.binary())]),
+                    pa.concat_arrays([seen, pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(total)]),
+                ],
+                names=["block", "word", "seen", "key", "n"],
+            )
+            number += 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 1 << slot_bits), np.float32)
-        flat_table = table.reshape(-1)
-        for batch in batches:
-            weight = batch.column(1).to_numpy()
-            for lo, hi in _words_of(batch.column(0), 1 << 18):
-                coded = _Coded(batch.column(0).slice(lo, hi - lo))
-                w = weight[lo:hi][coded.word].astype(np.float32)
-                for bit in range(8):
-                    half = coded.bit(bit).astype(np.uint64) << np.uint64(slot_bits)
-                    for slot in coded.slots(bit, slot_bits):
-                        np.add.at(flat_table, (slot | half).astype(np.int64), w)
-        for number in range(1 << (slot_bits - block)):
-            part = table[:, number << block : (number + 1) << block]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
-                    names=["block", "counts"],
-                )
-
-    return count
-
-
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    return blocks
+
+
+def _gathered_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of about ``BLOCK_BYTES``; a longer word comes alone."""
+    parts, size = [], 0
     for batch in batches:
-        for number, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            part = np.frombuffer(zlib.decompress(raw), np.float32)
-            total[number] = total[number] + part if number in total else part
-    for number, part in total.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
-            names=["block", "counts"],
-        )
+        for lo, hi in _words_of(batch.column(0), BLOCK_BYTES):
+            part = batch.slice(lo, hi - lo)
+            more = int(pc.sum(pc.binary_length(part.column(0))).as_py() or 0)
+            if parts and size + more > BLOCK_BYTES:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                parts, size = [], 0
+            parts.append(part)
+            size += more
+    if parts:
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
 
-def _spread(vocabulary: DataFrame, words_per_task: int) -> DataFrame:
-    """Dealt out evenly: modelling a word costs far more than moving it."""
-    least = vocabulary.sparkSession.sparkContext.defaultParallelism
-    return vocabulary.repartition(max(least, math.ceil(vocabulary.count() / words_per_task)))
+_SUMS = 9
+_COUNTED = ("<i8", *("<i8" for _ in range(_SUMS)))
 
 
-def bit_table(vocabulary: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
-    """Counts of bits 0 and 1 in every slot, over all words as often as they were seen. A task per
-    half million words, at most, makes a table; tables are added block by block."""
-    known = _spread(vocabulary.where("seen > 0").select("word", "seen"), 500_000)
-    schema = "block bigint, counts binary"
-    parts = known.mapInArrow(_count_bits(slot_bits), schema)
-    summed = saved(parts.repartition("block").mapInArrow(_add_blocks, schema), "bits")
-    block = min(BLOCK_BITS, slot_bits)
-    table = np.zeros((2, 1 << slot_bits), np.float32)
-    for number, raw in summed.collect():  # the table has a fixed size
-        part = np.frombuffer(zlib.decompress(bytes(raw)), np.float32).reshape(2, -1)
-        table[:, number << block : (number + 1) << block] = part
-    return table
+def _node_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, key, n) ordered by key, with the counts of the key's context followed by the
+    first 0 to 8 bits of its byte. A context's last rows wait until the next context begins."""
+
+    def summed(block: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        sums = []
+        for bits in range(_SUMS):
+            start, count = runs(key >> (8 - bits))
+            sums.append(np.repeat(np.add.reduceat(n, start), count))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (block, key, *sums)],
+            names=["block", "key", *(f"s{k}" for k in range(_SUMS))],
+        )
+
+    held = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+        if not len(rows[1]):
+            continue
+        context = rows[1] >> 8
+        cut = int(np.searchsorted(context, context[-1]))
+        if cut:
+            yield summed(*(r[:cut] for r in rows))
+        held = [r[cut:] for r in rows]
+    if len(held[1]):
+        yield summed(*held)
+
+
+def block_counts(vocabulary: DataFrame, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
+    """``block``, ``word``, ``seen`` of every word, and ``of_chunk``, ``packed``: for each block the
+    counts of every context and byte its words have."""
+    least = vocabulary.sparkSession.sparkContext.defaultParallelism
+    tasks = max(least, math.ceil(vocabulary.count() / 100_000))
+    ordered = vocabulary.select("word", "seen").repartitionByRange(tasks, "word")
+    blocks = saved(
+        ordered.sortWithinPartitions("word").mapInArrow(
+            _blocks(slot_bits), "block bigint, word binary, seen bigint, key bigint, n bigint"
+        ),
+        "blocks",
+    )
+    counted = (
+        blocks.where("key is not null")
+        .select("block", "key", "n")
+        .withColumn("context", F.shiftright("key", 8))
+        .repartition("context")
+        .drop("context")
+        .sortWithinPartitions("key")
+        .mapInArrow(lambda rows: _packer(_COUNTED)(_node_sums(rows)), "of_chunk bigint, packed array<binary>")
+    )
+    return blocks.where("word is not null").select("block", "word", "seen"), saved(counted, "counts")
 
 
 def _level(total: np.ndarray) -> np.ndarray:
     return sum((total >= n).astype(np.uint8) for n in _LEVELS)
 
 
+def _gate(levels: list[np.ndarray]) -> np.ndarray:
+    return levels[3].astype(np.int64) * (len(_LEVELS) + 1) + levels[2]
+
+
 def _stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.clip(np.log((one + np.float32(0.02)) / (zero + np.float32(0.02))), -12, 12)
 
 
+class _Counts:
+    """What the contexts of a block predict, from their counts."""
+
+    def __init__(self, packed: list[list[bytes]], slot_bits: int):
+        self.slot_bits = slot_bits
+        key, *sums = _unpacked(packed, _COUNTED)
+        self.key, first = np.unique(key, return_index=True)
+        self.sums = [s[first].astype(np.float32) for s in sums]
+        self.level = [_level(s) for s in self.sums[:-1]]
+        # towards the bit that the key's byte has
+        self.stretched = [_stretched(a - b, b) for a, b in zip(self.sums[:-1], self.sums[1:], strict=True)]
+
+    def inputs(self, coded: _Coded, bit: int, leave: bool):
+        """Stretched predictions, gate and bit of every byte; with ``leave`` without one occurrence."""
+        if not hasattr(coded, "places"):
+            coded.places = [np.searchsorted(self.key, k) for k in coded.keys(self.slot_bits)]
+        y = coded.bit(bit)
+        sign = y.astype(np.float32) * 2 - 1
+        stretched, levels = [], []
+        for at in coded.places:
+            if leave:
+                total, same = self.sums[bit][at], self.sums[bit + 1][at]
+                left = np.maximum(same - 1, 0)
+                stretched.append(sign * _stretched(total - same, left))
+                levels.append(_level(total - same + left))
+            else:
+                stretched.append(sign * self.stretched[bit][at])
+                levels.append(self.level[bit][at])
+        return np.stack(stretched), _gate(levels), y
+
+
 class _Slots:
-    """What each slot predicts: made once per task from the shared counts."""
+    """What a table of counts with ``1 << slot_bits`` slots predicts, for tables that fit a task."""
 
     def __init__(self, table: np.ndarray, slot_bits: int):
         self.slot_bits = slot_bits
@@ -266,8 +361,7 @@ class _Slots:
             else:
                 stretched.append(self.stretched[slot])
                 levels.append(self.level[slot])
-        gate = levels[3].astype(np.int64) * (len(_LEVELS) + 1) + levels[2]
-        return np.stack(stretched), gate, y
+        return np.stack(stretched), _gate(levels), y
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -286,20 +380,22 @@ def _first_weights() -> np.ndarray:
 
 
 def learn_weights(
-    vocabulary: DataFrame, table_of, slot_bits: int = SLOT_BITS, rate: float = 0.03
+    words_of: DataFrame, counts: DataFrame, slot_bits: int = SLOT_BITS, rate: float = 0.03
 ) -> np.ndarray:
-    """A weight per gate, bit and context. Every task learns online over its words; the mean of the
-    tasks, weighted by what they saw, is taken."""
+    """A weight per gate, bit and context. Every block of ``block_counts`` learns online over its
+    words, in mixed order; the mean of the blocks, weighted by what they saw, is taken."""
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Slots(table_of.value, slot_bits)
+    def learn(words: pa.Table, packed: pa.Table) -> pa.Table:
+        table = _Counts(packed["packed"].to_pylist(), slot_bits)
         weights = _first_weights()
         steps = np.full(weights.shape, 1e-4)
         seen = np.zeros(GATES * 8)
-        for batch in batches:
-            count = batch.column(1).to_numpy()
-            for lo, hi in _words_of(batch.column(0), 1 << 15):
-                coded = _Coded(batch.column(0).slice(lo, hi - lo))
+        words = words.filter(pc.greater(words["seen"], 0)).sort_by("word")
+        words = words.take(np.random.default_rng(0).permutation(len(words))).combine_chunks()
+        for batch in words.to_batches():
+            word, count = batch.column("word"), batch.column("seen").to_numpy()
+            for lo, hi in _words_of(word, 1 << 15):
+                coded = _Coded(word.slice(lo, hi - lo))
                 c = count[lo:hi][coded.word].astype(float)
                 for bit in range(8):
                     x, gate, y = table.inputs(coded, bit, True)
@@ -312,14 +408,16 @@ def learn_weights(
                     weights += rate * pull / np.sqrt(steps)
                     seen += mass
         used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(seen[used]), *(pa.array((weights[used, k])) for k in range(CONTEXTS))],
-            names=["gate", "mass", *(f"w{k}" for k in range(CONTEXTS))],
+        return pa.table(
+            {
+                "gate": pa.array(used),
+                "mass": pa.array(seen[used]),
+                **{f"w{k}": pa.array(weights[used, k]) for k in range(CONTEXTS)},
+            }
         )
 
     schema = "gate bigint, mass double, " + ", ".join(f"w{k} double" for k in range(CONTEXTS))
-    known = _spread(vocabulary.where("seen > 0").select("word", "seen"), 200_000)
-    parts = known.mapInArrow(learn, schema)
+    parts = words_of.groupBy("block").cogroup(counts.groupBy("of_chunk")).applyInArrow(learn, schema)
     means = [(F.sum(F.col(f"w{k}") * F.col("mass")) / F.sum("mass")).alias(f"w{k}") for k in range(CONTEXTS)]
     weights = _first_weights()
     for row in parts.groupBy("gate").agg(*means).collect():  # one row per gate and bit
@@ -327,7 +425,7 @@ def learn_weights(
     return weights
 
 
-def word_logs(column: pa.Array, table: _Slots, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_logs(column: pa.Array, table: _Counts | _Slots, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural log of the probability of each word's first bytes (a column per entry of ``HEADS``,
     the closing blank included) and of the whole word; and the word's first four bytes as a number."""
     out = np.zeros((len(column), len(HEADS) + 1))
@@ -392,14 +490,14 @@ def _adapted(word: np.ndarray, at: np.ndarray, keys: list, logs: np.ndarray) ->
 _PACKED = ("<u4", "<i8", "<u4", *("<f4" for _ in range(len(HEADS) + 1)))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk's words (chunk, number, count, head, logs) in packed columns, a row per chunk
-    for every ``PACKED_ROWS`` rows read."""
+def _packer(kinds: tuple[str, ...]):
+    """Rows of a chunk or block, its number first, in packed columns: a row per chunk for every
+    ``PACKED_ROWS`` rows read."""
 
     def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         chunk, *columns = (c.to_numpy() for c in pa.Table.from_batches(parts).columns)
         order = np.argsort(chunk, kind="stable")
-        columns = [c[order].astype(kind) for c, kind in zip(columns, _PACKED, strict=True)]
+        columns = [c[order].astype(kind) for c, kind in zip(columns, kinds, strict=True)]
         start, count = runs(chunk[order])
         rows = [
             [_planes(c[a : a + n]) for c in columns]
@@ -410,22 +508,25 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["of_chunk", "packed"],
         )
 
-    parts, size = [], 0
-    for batch in batches:
-        parts.append(batch)
-        size += batch.num_rows
-        if size >= PACKED_ROWS:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            parts.append(batch)
+            size += batch.num_rows
+            if size >= PACKED_ROWS:
+                yield packed(parts)
+                parts, size = [], 0
+        if size:
             yield packed(parts)
-            parts, size = [], 0
-    if size:
-        yield packed(parts)
+
+    return pack
 
 
-def _unpacked(rows: list[list[bytes]]) -> list[np.ndarray]:
-    columns = zip(*rows, strict=True) if rows else [()] * len(_PACKED)
+def _unpacked(rows: list[list[bytes]], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
     return [
         np.concatenate([np.zeros(0, kind), *(_from_planes(x, kind) for x in c)])
-        for c, kind in zip(columns, _PACKED, strict=True)
+        for c, kind in zip(columns, kinds, strict=True)
     ]
 
 
@@ -439,7 +540,7 @@ def _scorer(unseen: float):
     """``unseen``: log10 of N + V + 1."""
 
     def score(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        number, seen, heads, *found_logs = _unpacked(vocabulary["packed"].to_pylist())
+        number, seen, heads, *found_logs = _unpacked(vocabulary["packed"].to_pylist(), _PACKED)
         size = len(number)
         count, logs = np.zeros(size), np.zeros((size, len(HEADS) + 1))
         head = np.zeros(size, np.int64)
@@ -494,23 +595,22 @@ def score_texts(
         F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum(F.expr("int(seen > 0)")), F.lit(0))
     ).first()
     context = docs.sparkSession.sparkContext
-    # of fixed size: two numbers per slot, four weights per gate and bit
-    table = context.broadcast(bit_table(vocabulary, slot_bits))
-    weights = context.broadcast(learn_weights(vocabulary, table, slot_bits))
+    words_of, counts = block_counts(vocabulary, slot_bits)
+    # of fixed size: four weights per gate and bit
+    weights = context.broadcast(learn_weights(words_of, counts, slot_bits))
 
     log_names = [f"log_{k}" for k in range(len(HEADS) + 1)]
 
-    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = _Slots(table.value, slot_bits)
-        for batch in batches:
-            found, heads = word_logs(batch.column(0), slots, weights.value)
-            columns = [pa.array(heads.astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in found.T)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *columns], ["word", "seen", "head", *log_names]
-            )
+    def logs(words: pa.Table, packed: pa.Table) -> pa.Table:
+        column = words["word"].combine_chunks()
+        found, heads = word_logs(column, _Counts(packed["packed"].to_pylist(), slot_bits), weights.value)
+        columns = [pa.array(heads.astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in found.T)]
+        return pa.table([column, words["seen"], *columns], ["word", "seen", "head", *log_names])
 
     modelled = saved(
-        _spread(vocabulary.select("word", "seen"), 100_000).mapInArrow(
+        words_of.groupBy("block")
+        .cogroup(counts.groupBy("of_chunk"))
+        .applyInArrow(
             logs,
             "word binary, seen bigint, head bigint, " + ", ".join(f"{x} float" for x in log_names),
         ),
@@ -520,7 +620,7 @@ def score_texts(
         listed.drop("seen")
         .join(modelled, "word")
         .select("chunk", "number", "seen", "head", *log_names)
-        .mapInArrow(_pack, "of_chunk bigint, packed array<binary>")
+        .mapInArrow(_packer(_PACKED), "of_chunk bigint, packed array<binary>")
     )
     texts = chunked.where("words is not null").select("chunk", "key", "held_out", "n_bytes", "words")
     scored = (

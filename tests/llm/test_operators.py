@@ -331,6 +331,34 @@ def test_word_probabilities_sum_to_one():
     assert math.isclose(np.exp(total[0::2]).sum(), 1, rel_tol=1e-6)
 
 
+def test_every_context_keeps_its_own_counts(spark):
+    rng = random.Random(11)
+    known = {"".join(rng.choices("0123456789abcdef", k=10)).encode(): rng.randint(1, 3) for _ in range(80_000)}
+    known |= {b"": 7, b"the": 900, b"then": 20, b"\xc3\xa9t": 2}
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in known.items()], "word BINARY, seen BIGINT")
+    words_of, counts = context_mixing.block_counts(df)
+    assert {bytes(r.word): r.seen for r in words_of.collect()} == known
+    table = collections.defaultdict(lambda: np.zeros(256, np.int64))
+    for w, n in known.items():
+        w += b" "
+        for i, byte in enumerate(w):
+            for k, at in enumerate((max(i - 1, 0), max(i - 2, 0), max(i - 3, 0), 0)):
+                table[k, w[at:i]][byte] += n
+    held = context_mixing._Counts([[bytes(x) for x in r.packed] for r in counts.collect()], 55)
+    assert len(held.key) == sum((rows > 0).sum() for rows in table.values())
+    # more (context, bit node) pairs than a table of 2^22 slots can tell apart
+    assert sum(len(np.unique(held.key >> (8 - bits))) for bits in range(8)) > 1 << 22
+    for w in rng.sample(sorted(known), 300) + [b"", b"then", b"\xc3\xa9t"]:
+        coded = context_mixing._Coded(pa.array([w], pa.binary()))
+        for k, key in enumerate(coded.keys(55)):
+            for i, byte in enumerate(w + b" "):
+                row = np.searchsorted(held.key, key[i])
+                mine = table[k, (w + b" ")[max(i - k - 1, 0) if k < 3 else 0 : i]]
+                for bits in range(9):
+                    low = byte >> (8 - bits) << (8 - bits)
+                    assert held.sums[bits][row] == mine[low : low + (1 << (8 - bits))].sum()
+
+
 def test_context_mixing_edges(odd, empty):
     held = fold_of(F.col("doc_id"), 7) == 2
     rows = context_mixing.score_texts(odd, held, slot_bits=14).collect()
