@@ -1,4 +1,5 @@
-"""One query per operator, over whole tables with production settings; no SQL can express them."""
+"""One query per operator, over whole tables with production settings, and SQL where it can tell
+the same; most operators learn, sample or need loops that SQL has no words for."""
 
 from __future__ import annotations
 
@@ -8,17 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duecall.llm import (
+    bisector_clusters,
     context_mixing,
     decontaminate,
+    graph_search,
     importance,
     language_id,
     near_dedup,
     quality_rules,
     segmentation,
+    target_resample,
     token_counts,
     token_store,
     toxicity,
 )
+from duecall.llm.sql import CLUSTERS, RESAMPLED
 from duecall.llm.text import fold_of
 from duecall.session import scratch_dir
 
@@ -119,6 +124,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return graph_search.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op12_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector_clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resample.resample(
+        _documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -132,6 +152,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_token_counts,
         op10_language_id,
+        op11_graph_search,
+        op12_bisector_clusters,
+        op13_target_resample,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_bisector_clusters": CLUSTERS,
+    "op13_target_resample": RESAMPLED,
+}
