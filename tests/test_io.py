@@ -130,6 +130,46 @@ def test_turns_of_long_and_short_calls(spark):
             assert short[call] == want
 
 
+def test_crowded_turn_number_is_split(spark):
+    """10^5 turns of one call under one number, and null numbers: no part holds much of them."""
+    n = 100_000
+    crowd = spark.range(n).select(
+        F.when(F.col("id") % 10 < 9, F.lit(1)).alias("conv_id"),
+        F.when(F.col("id") % 2 == 0, F.lit(7)).alias("turn"),
+        F.lit("user").alias("role"),
+        F.concat(F.lit("w"), (F.col("id") % 50).cast("string")).alias("text"),
+    )
+    lines = turns._lines(crowd)
+    placed = turns.in_whole_order(lines, "conv_id")
+    share = placed.groupBy(F.shiftright("_place", 33).alias("part")).count()
+    assert share.count() == 8 and share.agg(F.max("count")).first()[0] < n / 4
+    said = [(None if i % 10 == 9 else 1, (1, 7) if i % 2 == 0 else (0, 0), f"Borrower: w{i % 50}") for i in range(n)]
+    want = {c: " ".join(line for _, line in sorted((t, line) for k, t, line in said if k == c)) for c in (1, None)}
+    got = {r["conv_id"]: r for r in turns.assemble_transcripts(crowd).collect()}
+    assert {c: r["transcript"] for c, r in got.items()} == want
+    assert {c: r["turns"] for c, r in got.items()} == {1: 90_000, None: 10_000}
+    for limit in (5, 3000, 300_000):
+        cut = {r["conv_id"]: r["transcript"] for r in turns.assemble_for_prompt(crowd, limit=limit).collect()}
+        assert cut == {c: t[:limit] + "... [TRUNCATED]" if len(t) > limit else t for c, t in want.items()}
+
+
+@pytest.mark.parametrize("most", [3, 300, 10_000])
+def test_long_and_short_calls_agree(spark, most):
+    said = [(c, t % 400, "user" if t % 3 else None, f"turn {t}") for c in (1, 2, None) for t in range(700)]
+    said += [(3, None, "user", None), (3, None, "user", "x"), (3, 0, "system", "y")]
+    df = spark.createDataFrame(said, "conv_id INT, turn INT, role STRING, text STRING").repartition(4)
+    want = {r["conv_id"]: r for r in turns.assemble_transcripts(df).collect()}
+    assert want[3]["transcript"] == "Borrower:  Borrower: x System: y"
+    assert {r["conv_id"]: r for r in turns.assemble_transcripts(df, turns_per_call=most).collect()} == want
+    for limit in (20, 5000):
+        cut = turns.assemble_for_prompt(df, limit=limit, turns_per_call=most)
+        assert {r["conv_id"]: r["transcript"] for r in cut.collect()} == {
+            c: r["transcript"] if len(r["transcript"]) <= limit else r["transcript"][:limit] + "... [TRUNCATED]"
+            for c, r in want.items()
+        }
+    assert turns.assemble_transcripts(df.limit(0)).count() == 0
+
+
 # --- preparation and generation ----------------------------------------------------------------------
 
 

@@ -63,6 +63,37 @@ def test_known_tail(spark):
     assert (row["p90"], row["p95"]) == pytest.approx((5.4, 5.7))
 
 
+def test_crowded_latencies_stay_spread(spark, monkeypatch):
+    """A million latencies within a thousandth: ranges are cut until few rows are fetched."""
+    from fractions import Fraction
+
+    from duecall.operators import order_stats
+
+    n = 1_000_000
+    close = spark.range(n).select(
+        (F.col("id") % 2).alias("level"),
+        (F.lit(5.0) + F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * 4e-12).alias("latency"),
+    )
+    quantiles = {"median": Fraction(1, 2), "p95": Fraction(19, 20)}
+    present = close.withColumn("value", F.col("latency")).withColumn("range", order_stats.value_range(F.col("value")))
+    assert present.select("range").distinct().count() == 1
+    found = order_stats.located_ranges(present, quantiles, ["level"]).collect()
+    assert {r["level"] for r in found} == {0, 1} and max(r["n"] for r in found) <= order_stats.CROWDED
+    got = {r["level"]: r for r in order_stats.exclusive_quantiles(close, "latency", quantiles, ["level"]).collect()}
+    for level in (0, 1):
+        values = sorted(r[0] for r in close.where(F.col("level") == level).select("latency").collect())
+        m = len(values)
+        for name, share in quantiles.items():
+            at = share * (m + 1)
+            j = int(at)
+            want = values[j - 1] + float(at - j) * (values[j] - values[j - 1])
+            assert got[level][name] == pytest.approx(want, rel=1e-14)
+    # the smallest steps there are, and very many equal values
+    monkeypatch.setattr(order_stats, "CROWDED", 3)
+    tiny = [5e-324 * k for k in (0, 1, 2, 3, 5, 8, 8, 8, 8, 9)] + [1.0 + k * 2**-52 for k in range(10)] + [0.0, -0.0]
+    check_against_library(spark, {1: tiny, 2: [7.5] * 50, 3: [1e300, -1e300, 1e-300] * 4, None: [2.0, 2.0, 2.0 + 2**-51] * 5})
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(0, 60, allow_nan=False), min_size=1, max_size=60))
 def test_any_latencies(spark, values):
