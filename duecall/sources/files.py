@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duecall.schemas import GOLD, LABELLED_OUTPUT, LABELLED_PAIR
+from duecall.sources.json_records import json_records
 from duecall.vocabulary import GOLD_SUFFIX
 
 _TRANSCRIPT_WORDS = ("transcript", "text", "conversation")
@@ -33,42 +32,55 @@ def read_transcripts(
 ) -> DataFrame:
     """Rows of a CSV or JSON file (or folder of files), every value as text.
 
-    A file that cannot be read fails the job. ``whole_files`` allows line breaks inside CSV fields
-    and JSON arrays over many lines, at the price of one task per file; for large files without
-    them pass False, and Spark splits the files. JSON without a ``schema`` costs one more pass to
-    find the keys.
+    A file that cannot be read fails the job. JSON may be an array or one object after another,
+    over any number of lines; many tasks read one file. CSV with ``whole_files`` allows line breaks
+    inside fields, at the price of one task per file. For line-based files pass False: Spark then
+    splits them itself, without the passes that find where records begin. JSON without a ``schema``
+    has the keys as columns in the order in which they first appear, lists and objects as JSON text.
     """
-    reader = spark.read.option("mode", "FAILFAST").option("multiLine", whole_files)
-    if schema is not None:
-        reader = reader.schema(schema)
     kind = file_format(path, fmt)
     if kind == "csv":
+        reader = spark.read.option("mode", "FAILFAST").option("multiLine", whole_files)
         # a file whose header has another order fails instead of being read by position
         reader = reader.option("header", True).option("enforceSchema", False)
         for side in ("Leading", "Trailing"):
             reader = reader.option(f"ignore{side}WhiteSpace", False)
+        if schema is not None:
+            reader = reader.schema(schema)
         return reader.option("escape", '"').csv(path)
     if kind == "json":
-        rows = reader.option("primitivesAsString", True).json(path)
-        return rows if schema is not None else rows.select(*_file_order(spark, path, rows.columns))
+        return _parsed(json_records(spark, path) if whole_files else _json_lines(spark, path), schema)
     raise ValueError(f"unsupported input format: {kind}")
 
 
-def _file_order(spark: SparkSession, path: str, columns: list[str]) -> list[str]:
-    """``columns`` as the keys of the first record; keys it lacks follow as they came.
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a file that has one per line, as ``json_records`` gives them."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    ).where(F.trim("value") != "")
+
+
+def _parsed(records: DataFrame, schema: str | T.StructType | None) -> DataFrame:
+    if schema is None:
+        schema = T.StructType([T.StructField(k, T.StringType()) for k in keys_in_order(records)])
+        if not schema.fields:
+            return records.sparkSession.createDataFrame([], schema)
+    row = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return records.select(row.alias("row")).select("row.*")
+
+
+def keys_in_order(records: DataFrame) -> list[str]:
+    """Keys of the records in the order in which they first appear, wherever that is.
 
-    Schema inference sorts keys. The head of one file tells their order: at most 200 lines of at
-    most 64,000 characters come to the driver.
+    Executors look at whole records; one row per key comes to the driver.
     """
-    lines = spark.read.text(path).select(F.substring("value", 1, 64_000)).limit(200).collect()
-    head = "\n".join(line[0] for line in lines)
-    start = head.find("{")
-    try:
-        keys = list(json.JSONDecoder().raw_decode(head, start)[0]) if start >= 0 else []
-    except ValueError:  # the first record is longer than the head
-        keys = sorted((c for c in columns if json.dumps(c) in head), key=lambda c: head.find(json.dumps(c)))
-    first = [c for c in keys if c in columns]
-    return [f"`{c}`" for c in [*first, *(c for c in columns if c not in first)]]
+    place = F.struct("file", "block", "place", "at")
+    listed = records.select("file", "block", "place", F.posexplode(F.json_object_keys("value")).alias("at", "key"))
+    firsts = listed.groupBy("key").agg(F.min(place).alias("first")).collect()
+    return [r["key"] for r in sorted(firsts, key=lambda r: tuple(r["first"]))]
 
 
 def find_transcript_column(df: DataFrame) -> str:
@@ -82,27 +94,24 @@ def find_transcript_column(df: DataFrame) -> str:
 def read_gold(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Gold records with their ``language``.
 
-    A folder of ``<language>_test.json`` files, one JSON array each; with ``lines`` the folder
-    ``write_gold`` made, with one record per line, which Spark can split.
+    A folder of ``<language>_test.json`` files (or folders of parts), each a JSON array; with
+    ``lines`` the folder ``write_gold`` made, with one record per line.
     """
     if lines:
         strict = spark.read.option("mode", "FAILFAST")
         return strict.schema(f"{GOLD}, language STRING").json(path)
-    language = F.regexp_replace("_metadata.file_name", GOLD_SUFFIX.replace(".", r"\.") + "$", "")
-    records = (
-        spark.read.schema(GOLD)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
-        .option("mode", "FAILFAST")
-        .json(path)
-    )
-    return records.withColumn("language", language)
+    suffix = GOLD_SUFFIX.replace(".", r"\.")
+    records = json_records(spark, f"{path.rstrip('/')}/*.json")
+    row = F.from_json("value", GOLD, {"mode": "FAILFAST"}).alias("row")
+    # the part of the path that is named like a gold file
+    language = F.regexp_extract("file", rf"(?:^|[/=])([^/=]+){suffix}(?:/[^/]*)?$", 1)
+    return records.select(row, language.alias("language")).select("row.*", "language")
 
 
 def read_labelled_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``input`` text and the struct ``labels`` parsed from the JSON text in ``output``."""
-    reader = spark.read.schema(LABELLED_PAIR).option("mode", "FAILFAST")
-    pairs = reader.option("multiLine", not lines).json(path)
+    """``input`` text and the struct ``labels`` parsed from the JSON text in ``output``; an array,
+    or with ``lines`` one pair per line."""
+    pairs = read_transcripts(spark, path, "json", LABELLED_PAIR, whole_files=not lines)
     return pairs.withColumn("labels", parse_json_column("output", LABELLED_OUTPUT))
 
 

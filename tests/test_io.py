@@ -1,6 +1,7 @@
 """Sources, sinks, preparation, generation, whole jobs and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from duecall.operators.parse import split_errors
 from duecall.plans.evaluation import evaluate
 from duecall.plans.predict import predict, predict_file
 from duecall.sources import files, sinks, turns
+from duecall.sources.json_records import json_records
 from duecall.streaming import jobs
 
 ANSWER = '{"disposition":"busy","mood":"calm"}'
@@ -110,6 +112,91 @@ def test_unknown_output_format_starts_no_work(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported output format"):
         sinks.write_predictions(failing, str(tmp_path / "out"), "xlsx")
 
+# --- records of large JSON files -------------------------------------------------------------------
+
+
+def _splits(spark, size):
+    """Lets Spark cut files into ranges of ``size`` bytes."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for key in before:
+        spark.conf.set(key, size)
+    return before
+
+
+@pytest.mark.parametrize("size, indent", [("170", 3), ("700", None), ("10000000", 3)])
+def test_arrays_and_objects_give_equal_records(spark, tmp_path, size, indent):
+    rng = random.Random(int(size))
+    odd = ['a "quoted" } { ] [ , : text', "back\\slash\\", "", "é 日本 😀", "\n\t\r}", "x" * 150, '\\"}', "{}", "[]"]
+    rows = [
+        {"id": i, "text": rng.choice(odd) + str(i), "nested": {"a": [{"b": rng.choice(odd)}, []], "c": {}}}
+        for i in range(14)
+    ]
+    want = [json.loads(json.dumps(r)) for r in rows]
+    (tmp_path / "array.json").write_text("\n" + json.dumps(rows, indent=indent, ensure_ascii=False) + " \n", encoding="utf-8")
+    (tmp_path / "objects.json").write_text("\n".join(json.dumps(r, indent=indent) for r in rows), encoding="utf-8")
+    before = _splits(spark, size)
+    try:
+        for name in ("array.json", "objects.json"):
+            got = json_records(spark, str(tmp_path / name))
+            found = got.orderBy("file", "block", "place").collect()
+            assert [json.loads(r["value"]) for r in found] == want
+            tasks = spark.read.option("lineSep", "}").text(str(tmp_path / name)).rdd.getNumPartitions()
+            assert tasks > 2 if len(size) < 5 else tasks == 1
+            assert len({r["block"] for r in found}) > 2 or size == "10000000"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['[{"a": 1}', '[{"a": 1}, {"a": ', '{"a": 1', '[1, {"a": 1}]', '[[{"a": 1}]]', '[{"a": 1} x]', '{"a": 1}}',
+     '{"a": 1} 5', '["}", {"a": 1}]', '{"a": "b}', "nothing"],
+)
+def test_malformed_files_fail(spark, tmp_path, text):
+    (tmp_path / "calls.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_transcripts(spark, str(tmp_path / "calls.json"), schema="a STRING").collect()
+
+
+@pytest.mark.parametrize("text, want", [("", []), (" \n", []), ("[]", []), ("[ ]\n", []), ('{"a": 1}', ["1"]),
+                                        ('﻿[{"a": "x"},\n{"b": 2}]', ["x", None]), ('{"a":null}{"a":[1, "}"]}', [None, '[1,"}"]'])])
+def test_small_json_files(spark, tmp_path, text, want):
+    (tmp_path / "calls.json").write_text(text, encoding="utf-8")
+    got = files.read_transcripts(spark, str(tmp_path / "calls.json"), schema="a STRING").collect()
+    assert [r["a"] for r in got] == want
+    assert len(files.read_transcripts(spark, str(tmp_path / "calls.json")).columns) == len(set(want) and {"a", "b"} & {c for c in "ab" if f'"{c}"' in text})
+
+
+@pytest.mark.parametrize("lines", [True, False])
+def test_key_order_of_whole_records(spark, tmp_path, lines):
+    """A first field of 70,000 characters does not hide what follows it."""
+    rows = [{"n": "y" * 70_000, "transcript": "said", "context": "c"}] * 2 + [{"conversation": 1, "n": "z"}] * 300
+    text = "\n".join(map(json.dumps, rows)) if lines else json.dumps(rows)
+    (tmp_path / "calls.json").write_text(text)
+    df = files.read_transcripts(spark, str(tmp_path / "calls.json"), whole_files=not lines)
+    assert df.columns == ["n", "transcript", "context", "conversation"]
+    assert files.find_transcript_column(df) == "transcript"
+    assert df.where("transcript = 'said' and length(n) = 70000").count() == 2 and df.count() == 302
+
+
+def test_json_arrays_are_written_and_read(spark, tmp_path):
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 3 == 0, "tamil").otherwise("hindi").alias("language"),
+        F.concat(F.lit("} \" {"), F.col("id").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("transcript"),
+        *[F.lit("v").alias(f"expected_{c}") for c in ("disposition", "payment_disposition", "reason_for_not_paying", "amount", "date", "remarks")],
+    )
+    sinks.write_gold_arrays(df.repartition(3), str(tmp_path / "gold"))
+    for file in (tmp_path / "gold").rglob("part-*"):
+        assert all(r["transcript"] is None for r in json.loads(file.read_text()))
+    back = files.read_gold(spark, str(tmp_path / "gold"))
+    assert sorted(map(tuple, back.select(*df.columns).collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    sinks.write_json_arrays(df.limit(0), str(tmp_path / "none"))
+    sinks.write_json_arrays(df.coalesce(1), str(tmp_path / "some"))
+    assert files.read_transcripts(spark, str(tmp_path / "none"), "json").count() == 0
+    assert files.read_transcripts(spark, str(tmp_path / "some"), "json").columns == df.columns
+
 
 # --- turns ----------------------------------------------------------------------------------------
 
