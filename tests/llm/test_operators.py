@@ -613,5 +613,5 @@ def test_registered(spark):
     import __spark_entry__ as contract
 
     names = [n for n in contract.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in contract.queries() and json.dumps(sorted(contract.oracle_sql()))
