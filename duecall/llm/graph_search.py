@@ -55,6 +55,13 @@ def _apart(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("nmd,nmd->nm", gap, gap)
 
 
+def _once(nodes: np.ndarray) -> np.ndarray:
+    """Every row sorted, with -1 instead of what it holds a second time."""
+    nodes = np.sort(nodes, axis=1)
+    nodes[:, 1:][nodes[:, 1:] == nodes[:, :-1]] = -1
+    return nodes
+
+
 @dataclass
 class Graph:
     """Vectors, edges (-1: none) and entry nodes of a shard."""
@@ -87,8 +94,7 @@ class Graph:
             np.put_along_axis(passed, chosen, True, 1)
             at = np.where(fresh[going], np.take_along_axis(best, chosen, 1)[going], -1)
             met = np.where(at[:, :, None] >= 0, self.edges[at], -1).reshape(len(going), -1)
-            met = np.sort(met, axis=1)
-            met[:, 1:][met[:, 1:] == met[:, :-1]] = -1
+            met = _once(met)
             met[seen[going[:, None], met]] = -1
             seen[going[:, None], met] = True
             far = np.full((n, met.shape[1]), np.inf)
@@ -111,8 +117,7 @@ def prune(
     x: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int, alpha: float
 ) -> np.ndarray:
     """At most ``degree`` diverse neighbours of the nodes ``of`` among the candidates ``found``."""
-    found = np.sort(np.where(found == of[:, None], -1, found), axis=1)
-    found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
+    found = _once(np.where(found == of[:, None], -1, found))
     near = np.where(found >= 0, _apart(x, x[of], found), np.inf)
     order = np.argsort(near, axis=1, kind="stable")
     found, near = np.take_along_axis(found, order, 1), np.take_along_axis(near, order, 1)
@@ -178,7 +183,7 @@ def _link_back(graph: Graph, of: np.ndarray, kept: np.ndarray, alpha: float) ->
                 np.arange(most) < count[some][:, None], back[np.minimum(place, len(back) - 1)], -1
             )
             node = to[start[some]]
-            found = np.hstack([graph.edges[node], new]).astype(np.int64)
+            found = _once(np.hstack([graph.edges[node], new]).astype(np.int64))
             full = (found >= 0).sum(axis=1) > degree
             loose = np.sort(found[~full], axis=1)[:, ::-1][:, :degree]
             graph.edges[node[~full]] = loose
