@@ -19,15 +19,16 @@ def slice_json(text: Column) -> Column:
 _BARE_NUMBER = r"([:\[,]\s*)(-?)(NaN|Infinity)(?=\s*[,}\]])"
 
 
+# A whole string, what lies between strings, or a quote that nothing closes.
+_TOKEN = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|[^"]++|"'
+
+
 def _outside_strings(text: Column, change: Callable[[Column], Column]) -> Column:
-    """``change`` made on the parts of a JSON text that lie outside its strings."""
-    # escaped backslashes and quotes step aside, so that every quote left opens or closes a string
-    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002"))
-    parts = F.transform(
-        F.split(plain, '"'), lambda part, k: F.when(k % 2 == 0, change(part)).otherwise(part)
-    )
-    joined = F.array_join(parts, '"')
-    return F.replace(F.replace(joined, F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
+    """``change`` made on the parts of a JSON text that lie outside its strings; one pass cuts the
+    text, and strings stay as they are, whatever characters they hold."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    kept = F.transform(tokens, lambda t: F.when(t.startswith('"'), t).otherwise(change(t)))
+    return F.array_join(kept, "")
 
 
 def _parse(text: Column, before: str, after: str) -> Column:

@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from duecall.operators.evaluate import match_fields
+from duecall.operators.clean import clean_answers
+from duecall.operators.evaluate import align_gold, match_fields
 from duecall.operators.generate import GeneratorFactory
+from duecall.operators.parse import parse_generations
 from duecall.plans.predict import predict
 
+def align_generations(gold: DataFrame, generations: DataFrame, on: str | list[str]) -> DataFrame:
+    """Every gold row with the outcome of its generation; ``failed`` where there is none.
+
+    Only generations of gold records are parsed and cleaned: their keys are met with those of the
+    gold rows before the first parsing step. Gold sets are small beside a log of generations, and
+    the planner then sends their keys to the tasks that read it.
+    """
+    keys = [on] if isinstance(on, str) else on
+    wanted = generations.join(gold.select(*keys).distinct(), keys, "left_semi")
+    return align_gold(gold, clean_answers(parse_generations(wanted)), keys)
+
+
 GOLD_COLUMNS = [
     "language", "id", "transcript", "expected_disposition", "expected_payment_disposition",
     "expected_reason_for_not_paying", "expected_amount", "expected_date",

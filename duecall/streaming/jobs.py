@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from duecall.operators.clean import clean_answers
@@ -31,8 +32,8 @@ def stream_request_metrics(
 ) -> DataFrame:
     """Request counts, failures and mean latency per tumbling window of ``start``.
 
-    In append mode a window is written once the watermark has passed it and its state is freed;
-    in complete mode all windows are kept.
+    In append mode a window is written once the watermark has passed it and its state is freed; in
+    update mode its row is written whenever a batch has changed it.
     """
     good = succeeded()
     return (
@@ -69,13 +70,43 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The same for an aggregate small enough for a driver-side table, rewritten as a whole."""
+def closed_and_open(closed: DataFrame, log: DataFrame, window: str = "1 hour") -> DataFrame:
+    """Windows that a stream in append mode has written, and those still open, from the ``log``.
+
+    The watermark closes windows in the order of their ends, so the open ones start where the last
+    closed one ends; only that part of the log is read again.
+    """
+    upto = closed.agg(F.max("window_end")).first()[0]
+    rest = log if upto is None else log.where(F.col("start") >= F.lit(upto))
+    return closed.unionByName(stream_request_metrics(rest, window).select(*closed.columns))
+
+
+def run_upserts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Processes what is there and stops; every batch's new and changed rows go to files of their
+    own folder, from the executors.
+
+    A batch that is repeated after a failure replaces its folder, so nothing counts twice. With a
+    watermark in ``stream``, state is freed as windows close.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     return (
-        stream.writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_upserts(
+    spark: SparkSession, path: str, schema: T.StructType, keys: list[str]
+) -> DataFrame:
+    """The newest row of every key that ``run_upserts`` has written."""
+    whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    rest = F.struct(*[name for name in schema.names if name not in keys])
+    rows = spark.read.schema(whole).parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max_by(rest, "batch").alias("row"))
+    return newest.select(*keys, "row.*").select(*schema.names)

@@ -196,3 +196,12 @@ def test_bare_numbers_are_mended_outside_strings_only(spark):
     got = outcomes(spark, [(HELLO, None, answer) for answer in answers])
     assert [row["error"] for row in got] == [None] * 3
     assert [row["remarks"] for row in got] == ["score: NaN, low", "Infinity", 'a "b": NaN, \\']
+
+
+def test_control_characters_are_refused_with_and_without_number_words(spark):
+    """Quoted text stays as it is while bare number words are mended."""
+    texts = [f'{{"confidence_score": {n}, "remarks": "a{c}b"}}' for n in ("NaN", "0.5") for c in "\x00\x01\x02\x1f\n"]
+    texts += ['{"confidence_score": NaN, "remarks": "a\\u0001b"}', '{"a": NaN, "b": "open}', '{"confidence_score": NaN, "remarks": "%s"}' % ("\\\\ \\\" x" * 4000)]
+    got = outcomes(spark, [(HELLO, None, text) for text in texts])
+    assert [row["error"] is None for row in got] == [False] * 10 + [True, False, True]
+    assert got[10]["remarks"] == "a\x01b" and len(got[12]["remarks"]) == 5 * 4000

@@ -198,3 +198,17 @@ def test_audit(spark):
         "ptp_details STRUCT<amount: STRING, date: STRING>, confidence_score DOUBLE, failed BOOLEAN",
     )
     assert [r["call"] for r in follow_up.audit_agent_labels(agent, cleaned, "call").collect()] == [1]
+
+
+def test_only_generations_of_gold_rows_are_parsed(spark):
+    from duecall.plans.evaluation import align_generations
+
+    gold = spark.createDataFrame([(1, "BUSY"), (2, "BUSY"), (2, "BUSY"), (None, "BUSY"), (9, "BUSY")], "id INT, expected_disposition STRING")
+    rows = [(i, "said", "2026-01-27", '{"disposition":"busy"}' if i else "none") for i in (1, 2, 3, 4, 0, None)]
+    schema = "id INT, transcript STRING, current_date STRING, generation STRING"
+    aligned = align_generations(gold, spark.createDataFrame(rows, schema), "id")
+    got = sorted(((r["id"] or 0, r["disposition"], r["failed"]) for r in aligned.collect()))
+    assert got == [(0, None, True), (1, "BUSY", False), (2, "BUSY", False), (2, "BUSY", False), (9, None, True)]
+    plan = aligned._jdf.queryExecution().optimizedPlan().toString().lower()
+    # the tree is printed from the top: the key filter lies below every parsing step
+    assert plan.rindex("leftsemi") > plan.rindex("parsejson")

@@ -397,6 +397,52 @@ def test_append_mode_writes_closed_windows_once(spark, tmp_path):
     assert [r["total"] for r in rows] == [30, 30, 30]
     assert all(r["mean_latency"] == 1.5 for r in rows)
 
+def _log(spark, path, first, last):
+    spark.range(first, last, 60).select(
+        F.timestamp_seconds("id").alias("start"),
+        F.when(F.col("id") % 300 == 0, "error").otherwise("success").alias("status"),
+        (F.col("id") % 7 + 0.5).alias("latency"),
+        F.lit(False).alias("blank"),
+    ).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_upserts_survive_a_restart(spark, tmp_path):
+    """A batch that was written but not committed is written again, and counts once."""
+    source, out, checkpoint = (str(tmp_path / name) for name in ("log", "out", "cp"))
+    keys = ["window_start", "window_end"]
+    _log(spark, source, 0, 5000)
+
+    def stream():
+        return jobs.stream_request_metrics(jobs.read_parquet_stream(spark, source), "30 minutes")
+
+    jobs.run_upserts(stream(), out, checkpoint).awaitTermination()
+    _log(spark, source, 5040, 9000)
+    jobs.run_upserts(stream(), out, checkpoint).awaitTermination()
+    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    # as if the job had died before it could commit what it has written
+    for commit in [p for p in commits if int(p.name) >= 1]:
+        commit.with_name(f".{commit.name}.crc").unlink(missing_ok=True)
+        commit.unlink()
+    jobs.run_upserts(stream(), out, checkpoint).awaitTermination()
+    _log(spark, source, 9000, 12_000)
+    jobs.run_upserts(stream(), out, checkpoint).awaitTermination()
+    got = jobs.read_upserts(spark, out, stream().schema, keys)
+    want = jobs.stream_request_metrics(spark.read.parquet(source), "30 minutes")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.agg(F.sum("total")).first()[0] == spark.read.parquet(source).count()
+
+
+def test_closed_and_open_windows_are_all_windows(spark, tmp_path):
+    source = str(tmp_path / "log")
+    _log(spark, source, 0, 7200)
+    stream = jobs.stream_request_metrics(jobs.read_parquet_stream(spark, source), "30 minutes", "5 minutes")
+    jobs.run_to_files(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    log, closed = spark.read.parquet(source), spark.read.parquet(str(tmp_path / "out"))
+    want = sorted(map(tuple, jobs.stream_request_metrics(log, "30 minutes").collect()))
+    assert closed.count() == 3 and len(want) == 4
+    assert sorted(map(tuple, jobs.closed_and_open(closed, log, "30 minutes").collect())) == want
+    assert sorted(map(tuple, jobs.closed_and_open(closed.limit(0), log, "30 minutes").collect())) == want
+
 
 def test_json_keys_keep_file_order(spark, tmp_path):
     path = tmp_path / "calls.json"

@@ -214,6 +214,38 @@ cleaned AS (
   FROM noted
 )"""
 
+# generations made from the rows
+ANSWERED = r"""plain AS (
+  SELECT doc_id, coalesce(text, '') AS said, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(length(text), 0) AS n,
+    regexp_extract(coalesce(text, ''), '^[A-Za-z]+') AS word,
+    replace(replace(regexp_replace(coalesce(text, ''), '[\x00-\x1f]', ' ', 'g'), '\', '\\'), '"', '\"') AS escaped
+  FROM documents
+),
+dates AS (SELECT *, '2026-' || lpad((n % 14)::VARCHAR, 2, '0') || '-' || lpad((n % 33)::VARCHAR, 2, '0') AS iso FROM plain),
+members AS (
+  SELECT *,
+    '"disposition":' || CASE n % 9 WHEN 0 THEN 'null' WHEN 1 THEN '"' || source || '"' WHEN 2 THEN '"' || lang || ' busy"' WHEN 3 THEN '"' || word || '"'
+      WHEN 4 THEN '"Wrong ' || word || '"' WHEN 5 THEN '"family of ' || source || '"' WHEN 6 THEN '" answered"' WHEN 7 THEN '"x"' END AS m1,
+    '"payment_disposition":' || CASE n % 7 WHEN 0 THEN 'null' WHEN 1 THEN '"promise to pay"' WHEN 2 THEN '"claims ' || word || '"'
+      WHEN 3 THEN '"refused"' WHEN 4 THEN '"' || lang || '"' WHEN 5 THEN '"PTP"' END AS m2,
+    '"reason_for_not_paying":' || CASE n % 5 WHEN 0 THEN 'null' WHEN 1 THEN '"job loss of ' || word || '"' WHEN 2 THEN '"' || source || '"'
+      WHEN 3 THEN '"FUNDS_ISSUE"' END AS m3,
+    '"amount":' || CASE n % 6 WHEN 0 THEN n::VARCHAR WHEN 1 THEN '"' || n || '"' WHEN 2 THEN n || '.75' WHEN 3 THEN '""' WHEN 4 THEN '"Rs ' || n || '"' END AS m4,
+    '"date":' || CASE n % 4 WHEN 0 THEN '"' || iso || '"' WHEN 1 THEN '"' || iso || 'T10:00:00"' WHEN 2 THEN '"on ' || iso || '"' ELSE 'null' END AS m5,
+    '"confidence_score":' || CASE n % 5 WHEN 0 THEN (n // 1000) || '.' || lpad((n % 1000)::VARCHAR, 3, '0') WHEN 1 THEN '"high"' WHEN 2 THEN 'null'
+      WHEN 3 THEN '0.' || lpad((n % 100)::VARCHAR, 2, '0') END AS m6
+  FROM dates
+),
+built AS (
+  SELECT *, '{' || concat_ws(',', m1, m2, m3, '"ptp_details":{' || concat_ws(',', m4, m5) || '}', m6, '"remarks":"' || escaped || '"') || '}' AS js FROM members
+),
+calls AS (
+  SELECT doc_id AS k1, '' AS k2, said AS transcript, '' AS today,
+    CASE n % 11 WHEN 0 THEN said WHEN 1 THEN left(js, length(js) - 2) WHEN 2 THEN js || ' ' || js WHEN 3 THEN word || ' } ' || js
+      ELSE word || ': ' || js || ' - ' || lang END AS g
+  FROM built
+)"""
+ROWS_PARSED = f"{ANSWERED},\n{PARSED}"
 CASES_PARSED = f"{RECORDED},\n{PARSED}"
 CASES_CLEANED = f"{CASES_PARSED},\n{CLEANED}"
 REPLIES_CLEANED = f"{REPLIES},\n{PARSED},\n{CLEANED}"
@@ -260,11 +292,19 @@ oracle(
     "read_transcripts_json",
     "SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS text_md5 FROM documents",
 )
+oracle("read_transcripts_json_lines", ORACLES["read_transcripts_json"])
+oracle(
+    "read_gold_arrays",
+    """SELECT language, id, md5(filled || ' ' || text) AS transcript_md5, exp_disp AS expected_disposition,
+  exp_amt::BIGINT AS expected_amount, exp_date AS expected_date FROM gold""",
+    GOLD,
+)
 oracle(
     "read_labelled_pairs",
     """SELECT doc_id, upper(source) AS disposition, lang AS payment_disposition, n_chars::VARCHAR AS ptp_amount,
   NULL::VARCHAR AS ptp_date, md5(text) AS remarks_md5 FROM documents""",
 )
+oracle("read_labelled_pair_arrays", ORACLES["read_labelled_pairs"])
 _LINES = """lines AS (
   SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'Agent' WHEN 'user' THEN 'Borrower' WHEN 'system' THEN 'System' END
     || ': ' || coalesce(text, '') AS line FROM conversations
@@ -293,7 +333,7 @@ oracle(
 
 BLANKED = f"""blanked AS (
   SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN ' ' || chr(9) || chr(10) || chr(160) || chr(8195) WHEN doc_id % 20 = 10 THEN '' ELSE text END AS transcript,
-    CASE doc_id % 3 WHEN 1 THEN '2026-02-03' ELSE '{RUN_DATE}' END AS today, doc_id % 10 = 0 AS blank
+    CASE coalesce(length(text), 0) % 3 WHEN 1 THEN '2026-02-' || lpad((coalesce(length(text), 0) % 28 + 1)::VARCHAR, 2, '0') ELSE '{RUN_DATE}' END AS today, doc_id % 10 = 0 AS blank
   FROM documents
 ),
 prompts AS (
@@ -363,11 +403,11 @@ FROM cleaned JOIN prompted p ON doc_id = k1""",
 
 # --- parsing ------------------------------------------------------------------------------------------
 
-oracle("slice_json", "SELECT k1 AS doc_id, slice FROM sliced", CASES_PARSED)
+oracle("slice_json", "SELECT k1 AS doc_id, slice FROM sliced", ROWS_PARSED)
 oracle(
     "parse_json_strict",
     "SELECT k1 AS doc_id, parse_error, disp_text AS disposition FROM fields",
-    CASES_PARSED,
+    ROWS_PARSED,
 )
 oracle(
     "route_errors",
@@ -380,24 +420,24 @@ oracle(
 oracle(
     "normalise_call_label",
     f"SELECT k1 AS doc_id, {DISP_SAID} AS said, {call_label(DISP_SAID)} AS label FROM fields WHERE parse_error IS NULL",
-    CASES_PARSED,
+    ROWS_PARSED,
 )
 oracle(
     "normalise_payment_label",
     f"SELECT k1 AS doc_id, {PAY_SAID} AS said, {pay_label(PAY_SAID)} AS label FROM fields WHERE parse_error IS NULL",
-    CASES_PARSED,
+    ROWS_PARSED,
 )
 oracle(
     "map_reason",
     f"SELECT k1 AS doc_id, {REASON} AS reason FROM fields WHERE parse_error IS NULL",
-    CASES_PARSED,
+    ROWS_PARSED,
 )
 oracle(
     "ptp_struct_guard",
     """SELECT k1 AS doc_id, CASE WHEN amt_type IS NULL THEN 'MISSING' WHEN amt_type = 'VARCHAR' THEN 'STRING'
     WHEN amt_type = 'DOUBLE' THEN 'DECIMAL' ELSE 'BIGINT' END AS amount_kind, amt_text AS amount, date_text AS date
 FROM fields WHERE parse_error IS NULL""",
-    CASES_PARSED,
+    ROWS_PARSED,
 )
 oracle(
     "ground_amount",
@@ -408,10 +448,11 @@ oracle(
         ELSE n_chars::VARCHAR END AS amount FROM documents))""",
 )
 DATED = """dated AS (
-  SELECT *, text || CASE doc_id % 5 WHEN 0 THEN ' Parso' WHEN 1 THEN ' Kal' ELSE '' END AS transcript,
-    CASE doc_id % 4 WHEN 0 THEN iso WHEN 1 THEN iso || 'T10:00:00' WHEN 2 THEN iso || ' at noon' ELSE 'on ' || iso END AS written,
-    CASE doc_id % 7 WHEN 0 THEN '2026-2-3' WHEN 1 THEN '2026-02-30' WHEN 2 THEN 'soon' ELSE iso END AS today
-  FROM (SELECT doc_id, text, '2026-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 33)::VARCHAR, 2, '0') AS iso FROM documents)
+  SELECT *, text || CASE n % 5 WHEN 0 THEN ' Parso' WHEN 1 THEN ' Kal' ELSE '' END AS transcript,
+    CASE n % 4 WHEN 0 THEN iso WHEN 1 THEN iso || 'T10:00:00' WHEN 2 THEN iso || ' at noon' ELSE 'on ' || iso END AS written,
+    CASE n % 7 WHEN 0 THEN '2026-2-3' WHEN 1 THEN '2026-02-30' WHEN 2 THEN 'soon' ELSE iso END AS today
+  FROM (SELECT doc_id, text, n, '2026-' || lpad((n % 14)::VARCHAR, 2, '0') || '-' || lpad((n % 33)::VARCHAR, 2, '0') AS iso
+    FROM (SELECT doc_id, text, coalesce(length(text), 0) AS n FROM documents))
 )"""
 oracle(
     "resolve_relative_date",
@@ -439,7 +480,7 @@ oracle(
 oracle(
     "clamp_confidence",
     f"SELECT k1 AS doc_id, {CONFIDENCE} AS confidence FROM fields WHERE parse_error IS NULL",
-    CASES_PARSED,
+    ROWS_PARSED,
 )
 oracle("clean_output", f"SELECT k1 AS doc_id, {FLAT} FROM cleaned", CASES_CLEANED)
 oracle("stream_dispositions", f"SELECT k1 AS doc_id, {FLAT} FROM cleaned", CASES_CLEANED)
@@ -522,7 +563,7 @@ oracle(
     "json_validity_rate",
     """SELECT count(*)::BIGINT AS total, count(parse_error)::BIGINT AS errors,
   round(100.0 * (count(*) - count(parse_error)) / count(*), 6) AS validity_rate FROM parsed""",
-    CASES_PARSED,
+    ROWS_PARSED,
 )
 LABELLED = f"""{CASES_CLEANED},
 aligned AS (
@@ -710,7 +751,6 @@ oracle(
 )
 oracle(
     "stream_metrics_append",
-    f"""SELECT strftime(w, {_STAMP}) AS window_start, total, request_errors FROM windows
-WHERE w + INTERVAL 1 HOUR <= (SELECT max(start) - INTERVAL 10 MINUTE FROM log)""",
+    f"""SELECT strftime(w, {_STAMP}) AS window_start, total, request_errors FROM windows""",
     WINDOWS,
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duecall import configure
@@ -44,6 +44,80 @@ def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorded_calls(table(spark, sf_dir, "documents"))
 
 
+def text_length(text: str = "text") -> Column:
+    return F.coalesce(F.length(text), F.lit(0))
+
+
+def iso_date(number: Column) -> Column:
+    """A date of 2026 that may not exist, from the number."""
+    month, day = F.lpad((number % 14).cast("string"), 2, "0"), F.lpad((number % 33).cast("string"), 2, "0")
+    return F.concat(F.lit("2026-"), month, F.lit("-"), day)
+
+
+def answered_rows(documents: DataFrame) -> DataFrame:
+    """A generation made from every row's own text, source, language and length.
+
+    Keys are there or missing, null, of one type or another; the text follows as remarks. Some
+    generations are the bare text, cut short, doubled, or stand between other words.
+    """
+    n, lit = F.col("n"), F.lit
+
+    def one_of(*values: Column | None) -> Column:
+        chosen = F.lit(None).cast("string")
+        for k, value in enumerate(values):
+            if value is not None:
+                chosen = F.when(n % len(values) == k, value).otherwise(chosen)
+        return chosen
+
+    def text(*parts: Column | str) -> Column:
+        return F.concat(lit('"'), *[lit(x) if isinstance(x, str) else x for x in parts], lit('"'))
+
+    def member(key: str, value: Column) -> Column:
+        return F.concat(lit(f'"{key}":'), value)
+
+    null, number = lit("null"), n.cast("string")
+    source, lang, word = F.col("source"), F.col("lang"), F.col("word")
+    details = F.concat_ws(
+        ",",
+        member("amount", one_of(number, text(number), F.concat(number, lit(".75")), text(), text("Rs ", number), None)),
+        member("date", one_of(text(iso_date(n)), text(iso_date(n), "T10:00:00"), text("on ", iso_date(n)), null)),
+    )
+    thousandths = F.concat(F.floor(n / 1000).cast("string"), lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    members = [
+        member("disposition", one_of(null, text(source), text(lang, " busy"), text(word), text("Wrong ", word), text("family of ", source), text(" answered"), text("x"), None)),
+        member("payment_disposition", one_of(null, text("promise to pay"), text("claims ", word), text("refused"), text(lang), text("PTP"), None)),
+        member("reason_for_not_paying", one_of(null, text("job loss of ", word), text(source), text("FUNDS_ISSUE"), None)),
+        F.concat(lit('"ptp_details":{'), details, lit("}")),
+        member("confidence_score", one_of(thousandths, text("high"), null, F.concat(lit("0."), F.lpad((n % 100).cast("string"), 2, "0")), None)),
+        member("remarks", text(F.col("escaped"))),
+    ]
+    plain = F.regexp_replace("said", r"[\x00-\x1f]", " ")
+    escaped = F.replace(F.replace(plain, lit("\\"), lit("\\\\")), lit('"'), lit('\\"'))
+    rows = documents.select(
+        "doc_id",
+        F.coalesce("text", lit("")).alias("said"),
+        *[F.coalesce(c, lit("")).alias(c) for c in ("lang", "source")],
+        text_length().alias("n"),
+    ).withColumns({"word": F.regexp_extract("said", "^[A-Za-z]+", 0), "escaped": escaped})
+    written = rows.withColumn("js", F.concat(lit("{"), F.concat_ws(",", *members), lit("}")))
+    generation = (
+        F.when(n % 11 == 0, F.col("said"))
+        .when(n % 11 == 1, F.expr("substring(js, 1, length(js) - 2)"))
+        .when(n % 11 == 2, F.concat("js", lit(" "), "js"))
+        .when(n % 11 == 3, F.concat("word", lit(" } "), "js"))
+        .otherwise(F.concat("word", lit(": "), "js", lit(" - "), "lang"))
+    )
+    return written.select("doc_id", generation.alias("generation"))
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answered_rows(table(spark, sf_dir, "documents"))
+
+
+def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_generations(answered(spark, sf_dir))
+
+
 def parsed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_generations(recorded(spark, sf_dir))
 

@@ -13,6 +13,7 @@ from duecall.functions.values import read_fields, whole_number_text
 from duecall.operators import evaluate, follow_up, metrics, prepare, reports, synth
 from duecall.operators.clean import ANSWER_PATHS
 from duecall.operators.generate import generate
+from duecall.plans.evaluation import align_generations
 from duecall.plans.predict import predict, predict_file
 from duecall.schemas import RESPONSE
 from duecall.session import scratch_dir, ship
@@ -84,13 +85,15 @@ def sniff_transcript_column(spark, sf_dir):
     )
 
 
+_GOLD_COLUMNS = [
+    "language", "id", "transcript", "expected_disposition", "expected_payment_disposition",
+    "expected_reason_for_not_paying", "expected_amount", "expected_date", "expected_remarks",
+]
+
+
 def _written_gold(spark, sf_dir) -> str:
     path = scratch_dir(spark, "gold")
-    gold = frames.gold_calls(spark, sf_dir).select(
-        "language", "id", "transcript", "expected_disposition", "expected_payment_disposition",
-        "expected_reason_for_not_paying", "expected_amount", "expected_date", "expected_remarks",
-    )
-    sinks.write_gold(gold, path)
+    sinks.write_gold(frames.gold_calls(spark, sf_dir).select(*_GOLD_COLUMNS), path)
     return path
 
 
@@ -116,12 +119,23 @@ def gold_roundtrip(spark, sf_dir):
 
 
 @query
-def read_transcripts_json(spark, sf_dir):
-    path = scratch_dir(spark, "upload")
-    documents(spark, sf_dir).select(
+def read_gold_arrays(spark, sf_dir):
+    """Gold in files named after their language, each a JSON array."""
+    path = scratch_dir(spark, "gold")
+    sinks.write_gold_arrays(frames.gold_calls(spark, sf_dir).select(*_GOLD_COLUMNS), path)
+    return files.read_gold(spark, path).select(
+        "language", "id", F.md5("transcript").alias("transcript_md5"), "expected_disposition",
+        bigint("expected_amount").alias("expected_amount"), "expected_date",
+    )
+
+
+def _uploaded(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select(
         F.col("text").alias("transcript"), F.col("lang").alias("context"), "doc_id"
-    ).write.json(path)
-    rows = files.read_transcripts(spark, path, "json", whole_files=False)
+    )
+
+
+def _said(rows: DataFrame) -> DataFrame:
     said = F.col(files.find_transcript_column(rows))
     return rows.select(
         bigint("doc_id").alias("doc_id"), bigint(F.length(said)).alias("chars"), F.md5(said).alias("text_md5")
@@ -129,22 +143,51 @@ def read_transcripts_json(spark, sf_dir):
 
 
 @query
-def read_labelled_pairs(spark, sf_dir):
-    path = scratch_dir(spark, "pairs")
+def read_transcripts_json(spark, sf_dir):
+    """An upload of JSON arrays."""
+    path = scratch_dir(spark, "upload")
+    sinks.write_json_arrays(_uploaded(spark, sf_dir), path)
+    return _said(files.read_transcripts(spark, path, "json"))
+
+
+@query
+def read_transcripts_json_lines(spark, sf_dir):
+    path = scratch_dir(spark, "upload")
+    _uploaded(spark, sf_dir).write.json(path)
+    return _said(files.read_transcripts(spark, path, "json", whole_files=False))
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
     labels = F.struct(
         F.upper("source").alias("disposition"), F.col("lang").alias("payment_disposition"),
         F.col("n_chars").cast("string").alias("ptp_amount"), F.col("text").alias("remarks"),
     )
-    documents(spark, sf_dir).select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("input"), F.to_json(labels).alias("output")
-    ).write.json(path)
-    pairs = files.read_labelled_pairs(spark, path, lines=True)
+    )
+
+
+def _pair_columns(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         bigint("input").alias("doc_id"), "labels.disposition", "labels.payment_disposition",
         "labels.ptp_amount", "labels.ptp_date", F.md5("labels.remarks").alias("remarks_md5"),
     )
 
 
+@query
+def read_labelled_pairs(spark, sf_dir):
+    path = scratch_dir(spark, "pairs")
+    _pairs(spark, sf_dir).write.json(path)
+    return _pair_columns(files.read_labelled_pairs(spark, path, lines=True))
+
+
+@query
+def read_labelled_pair_arrays(spark, sf_dir):
+    path = scratch_dir(spark, "pairs")
+    sinks.write_json_arrays(_pairs(spark, sf_dir), path)
+    return _pair_columns(files.read_labelled_pairs(spark, path))
+
+
 @query
 def nested_json_column(spark, sf_dir):
     events = frames.table(spark, sf_dir, "events")
@@ -233,16 +276,16 @@ def eval_pairs(spark, sf_dir):
 
 
 def _blanked(spark, sf_dir) -> DataFrame:
-    """Documents of which every tenth says nothing but white space."""
-    number = F.col("doc_id")
+    """Documents of which every tenth says nothing but white space, with dates from their texts."""
+    number, said = F.col("doc_id"), frames.text_length()
     return documents(spark, sf_dir).select(
         "doc_id",
         F.when(number % 20 == 0, F.lit(" \t\n\u00a0\u2003"))
         .when(number % 20 == 10, F.lit(""))
         .otherwise(F.col("text"))
         .alias("transcript"),
-        F.when(number % 3 == 0, F.lit(""))
-        .when(number % 3 == 1, F.lit("2026-02-03"))
+        F.when(said % 3 == 0, F.lit(""))
+        .when(said % 3 == 1, F.concat(F.lit("2026-02-"), F.lpad((said % 28 + 1).cast("string"), 2, "0")))
         .alias("current_date"),
     )
 
@@ -323,7 +366,7 @@ def predict_uploaded_file(spark, sf_dir):
 
 @query
 def slice_json_text(spark, sf_dir):
-    return frames.recorded(spark, sf_dir).select(
+    return frames.answered(spark, sf_dir).select(
         "doc_id", slice_json(F.col("generation")).alias("slice")
     )
 
@@ -334,7 +377,7 @@ QUERIES["slice_json"] = QUERIES.pop("slice_json_text")
 @query
 def parse_json_strict(spark, sf_dir):
     field = F.try_variant_get("answer", "$.disposition", "string")
-    return frames.parsed_cases(spark, sf_dir).select(
+    return frames.parsed_rows(spark, sf_dir).select(
         "doc_id", "parse_error", field.alias("disposition")
     )
 
@@ -351,8 +394,8 @@ def route_errors(spark, sf_dir):
 
 
 def _fields(spark, sf_dir, *names: str):
-    """Valid recorded answers with the named fields read."""
-    valid = frames.parsed_cases(spark, sf_dir).where(F.col("parse_error").isNull())
+    """Valid answers made from the rows, with the named fields read."""
+    valid = frames.parsed_rows(spark, sf_dir).where(F.col("parse_error").isNull())
     return read_fields(valid, "answer", {name: ANSWER_PATHS[name] for name in names})
 
 
@@ -417,10 +460,9 @@ def ground_amount(spark, sf_dir):
 
 
 def _dated(spark, sf_dir) -> DataFrame:
-    """Whole texts, some with a day word, beside dates that may not exist."""
-    number = F.col("doc_id")
-    month, day = F.lpad((number % 14).cast("string"), 2, "0"), F.lpad((number % 33).cast("string"), 2, "0")
-    date = F.concat(F.lit("2026-"), month, F.lit("-"), day)
+    """Whole texts, some with a day word, beside dates from their lengths that may not exist."""
+    number = frames.text_length()
+    date = frames.iso_date(number)
     return documents(spark, sf_dir).select(
         "doc_id",
         F.concat_ws(
@@ -541,8 +583,9 @@ def extra_keys(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
-    predictions = frames.cleaned_cases(spark, sf_dir).select("doc_id", "disposition", "failed")
-    return evaluate.align_gold(frames.labels_as_gold(spark, sf_dir), predictions, "doc_id")
+    gold = frames.labels_as_gold(spark, sf_dir)
+    aligned = align_generations(gold, frames.recorded(spark, sf_dir), "doc_id")
+    return aligned.select(*gold.columns, "disposition", "failed")
 
 
 @query
@@ -586,7 +629,7 @@ def mismatch_report(spark, sf_dir):
 
 @query
 def json_validity_rate(spark, sf_dir):
-    result = reports.json_validity_rate(frames.parsed_cases(spark, sf_dir))
+    result = reports.json_validity_rate(frames.parsed_rows(spark, sf_dir))
     return result.select("total", "errors", *rounded("validity_rate"))
 
 
@@ -759,12 +802,11 @@ def stream_dispositions(spark, sf_dir):
     return flat(spark.read.parquet(path), "doc_id")
 
 
-def _drained(stream: DataFrame, name: str) -> DataFrame:
+def _drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     spark = stream.sparkSession
-    checkpoint = scratch_dir(spark, "checkpoint")
-    table = f"{name}_{checkpoint.rsplit('-', 1)[1]}"
-    jobs.run_to_table(stream, table, checkpoint).awaitTermination()
-    return spark.table(table)
+    path, checkpoint = scratch_dir(spark, "upserts"), scratch_dir(spark, "checkpoint")
+    jobs.run_upserts(stream, path, checkpoint).awaitTermination()
+    return jobs.read_upserts(spark, path, stream.schema, keys)
 
 
 def _seconds(column: str) -> Column:
@@ -774,7 +816,7 @@ def _seconds(column: str) -> Column:
 @query
 def stream_request_metrics(spark, sf_dir):
     log = frames.as_request_log(_stream(spark, sf_dir, "events"))
-    result = _drained(jobs.stream_request_metrics(log), "request_metrics")
+    result = _drained(jobs.stream_request_metrics(log), ["window_start", "window_end"])
     return result.select(
         _seconds("window_start"), _seconds("window_end"), "total", "successes", "request_errors",
         *rounded("success_rate", "mean_latency", "max_latency"),
@@ -783,14 +825,16 @@ def stream_request_metrics(spark, sf_dir):
 
 @query
 def stream_metrics_append(spark, sf_dir):
-    """The same windows written to files as the watermark closes them."""
+    """The same windows: written to files as the watermark closes them, the open ones from the log."""
     log = frames.as_request_log(_stream(spark, sf_dir, "events"))
     path, checkpoint = scratch_dir(spark, "metrics"), scratch_dir(spark, "checkpoint")
     jobs.run_to_files(jobs.stream_request_metrics(log), path, checkpoint).awaitTermination()
-    return spark.read.parquet(path).select(_seconds("window_start"), "total", "request_errors")
+    closed = spark.read.parquet(path)
+    windows = jobs.closed_and_open(closed, frames.request_log(spark, sf_dir))
+    return windows.select(_seconds("window_start"), "total", "request_errors")
 
 
 @query
 def stream_latest_gauge(spark, sf_dir):
     samples = frames.as_gpu_samples(_stream(spark, sf_dir, "events"))
-    return _drained(jobs.stream_latest_gauge(samples), "gauges")
+    return _drained(jobs.stream_latest_gauge(samples), ["gpu"])
