@@ -16,11 +16,13 @@ longer one makes a longer shard). A shard knows its write task and the tokens be
 task; with the totals of the tasks, one row each, that gives global positions.
 
 Cases: a null text counts as empty and holds only the end id. Null document ids come first; equal
-ids are ordered by a hash of their texts, so a key with very many rows is split over tasks. Special
-strings in a text are ordinary text. An empty table makes an empty store. Other columns of the
+ids are ordered by a hash of their texts, so a key with very many rows is split over tasks. Added
+tokens of the tokenizer are found in a text before anything else. An empty table makes an empty store. Other columns of the
 input are not stored.
 """
 
+import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -111,6 +113,15 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
+def _added_tokens(tokenizer_json: str) -> dict[bytes, int]:
+    """Bytes and ids of the tokens that are found in a text before anything else."""
+    added = json.loads(tokenizer_json).get("added_tokens") or []
+    for token in added:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token with a rule of its own: {token['content']!r}")
+    return {token["content"].encode(): token["id"] for token in added}
+
+
 class Encoder:
     """Ids of texts; pre-tokens seen before are looked up by their 64-bit hash."""
 
@@ -121,6 +132,7 @@ class Encoder:
 
         self.model = Tokenizer.from_str(tokenizer_json).model
         self.letters = _byte_letters()
+        self.added = _added_tokens(tokenizer_json)
         self.clear()
 
     def clear(self) -> None:
@@ -145,7 +157,49 @@ class Encoder:
         self.place = np.insert(self.place, at, place)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows one after another, and how many each row has."""
+        """Ids of all rows one after another, and how many each row has.
+
+        Added tokens are found first, leftmost and longest; the texts between them are encoded
+        each on its own, as the library does.
+        """
+        edges, row, added = self._split(data, offsets)
+        if not (added >= 0).any():
+            return self._encode_plain(data, offsets)
+        ids, size = self._encode_plain(data, edges)
+        first = np.cumsum(size) - size
+        special = np.flatnonzero(added >= 0)
+        ids = ids.copy()
+        ids[first[special]] = added[special]
+        # of the ids of an added token's text only the first place is kept
+        keep = np.ones(len(ids), bool)
+        keep[np.repeat(added >= 0, size)] = False
+        keep[first[special]] = True
+        size[special] = 1
+        return ids[keep], np.bincount(row, size, len(offsets) - 1).astype(np.int64)
+
+    def _split(self, data: np.ndarray, offsets: np.ndarray):
+        """Edges of the pieces that added tokens cut, the row of each, and its id (-1: plain)."""
+        raw = data.tobytes()
+        edges, rows, ids = [0], [], []
+
+        def piece(upto: int, row: int, token: int) -> None:
+            if upto > edges[-1]:
+                edges.append(upto)
+                rows.append(row)
+                ids.append(token)
+
+        if self.added and any(token in raw for token in self.added):
+            pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+            for k in range(len(offsets) - 1):
+                for found in pattern.finditer(raw, int(offsets[k]), int(offsets[k + 1])):
+                    piece(found.start(), k, -1)
+                    piece(found.end(), k, self.added[found.group()])
+                piece(int(offsets[k + 1]), k, -1)
+        return np.array(edges, np.int64), np.array(rows, np.int64), np.array(ids, np.int64)
+
+    def _encode_plain(
+        self, data: np.ndarray, offsets: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
         start, end, row = pre_tokens(data, offsets)
         rows = len(offsets) - 1
         if not len(start):
@@ -346,26 +400,35 @@ def documents_of(shards: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def tokens_at(shards: DataFrame, positions: DataFrame, position: str = "position") -> DataFrame:
-    """``position`` and ``token`` for every row of ``positions`` that lies in the store; only the
-    bytes a rank look-up touches are read from a shard's codes."""
-    wanted = positions.select(F.col(position).alias("position"))
-    inside = (F.col("position") >= F.col("start")) & (
-        F.col("position") < F.col("start") + F.col("n_tokens")
-    )
-    # shards start at most every SHARD_TOKENS or so; an equal key makes this a hash join
+    """``position`` and ``token`` for every distinct ``position`` that lies in the store.
+
+    Positions are gathered per shard, at most as many as it has tokens, and meet its row once; only
+    the bytes a rank look-up touches are read from its codes.
+    """
+    wanted = positions.select(F.col(position).cast("bigint").alias("position")).distinct()
+    # a shard is found by the blocks of positions that it touches: an equal key, a hash join
     block = SHARD_TOKENS
-    spans = shards.select("start", "n_tokens", "levels").withColumn(
-        "block",
-        F.explode(
-            F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_tokens") - 1) / block))
-        ),
+    last = F.col("start") + F.col("n_tokens") - 1
+    blocks = F.sequence(F.floor(F.col("start") / block), F.floor(last / block))
+    spans = shards.where("n_tokens > 0").select("part", "shard", "start", "n_tokens", F.explode(blocks).alias("block"))
+    inside = (F.col("position") >= F.col("start")) & (F.col("position") <= last)
+    hits = (
+        wanted.withColumn("block", F.floor(F.col("position") / block))
+        .join(spans, "block")
+        .where(inside)
+        .groupBy("part", "shard")
+        .agg(F.collect_list("position").alias("positions"))
     )
-    hits = wanted.withColumn("block", F.floor(F.col("position") / block)).join(spans, "block").where(inside)
 
-    @F.arrow_udf("bigint")
-    def look_up(levels: pa.Array, place: pa.Array) -> pa.Array:
-        return pa.array(
-            [token_at(_levels(levels, k), p) for k, p in enumerate(place.to_pylist())], pa.int64()
-        )
-
-    return hits.select("position", look_up("levels", F.col("position") - F.col("start")).alias("token"))
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                levels, start = _levels(batch.column(0), k), batch.column(1)[k].as_py()
+                asked = batch.column(2)[k].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked), pa.array([token_at(levels, p - start) for p in asked])],
+                    names=["position", "token"],
+                )
+
+    found = shards.join(hits, ["part", "shard"]).select("levels", "start", "positions")
+    return found.mapInArrow(look_up, "position bigint, token bigint")

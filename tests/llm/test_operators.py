@@ -168,10 +168,10 @@ def test_store_equals_library(spark, documents, tmp_path):
 
     text = open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read()
     library = Tokenizer.from_str(text)
-    library.encode_special_tokens = True
     rng = random.Random(2)
-    parts = ["a", "'s", "'", "'ll", " ", "  ", "\n", "é", "12", "½", "!", "日", "😀", "　", "<|endoftext|>", "\0"]
+    parts = ["a", "'s", "'", "'ll", " ", "  ", "\n", "é", "12", "½", "!", "日", "😀", "　", "<|endoftext|>", "<|endof", "text|>", "\0"]
     mixed = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    mixed += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "x <|endoftext|"]
     ids, size = token_store.Encoder(text).encode(*flat(pa.array(mixed)))
     cuts = np.split(ids, np.cumsum(size)[:-1])
     assert all(library.encode(t, add_special_tokens=False).ids == c.tolist() for t, c in zip(mixed, cuts))
@@ -187,9 +187,11 @@ def test_store_equals_library(spark, documents, tmp_path):
         assert row.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
         start += len(want)
         every += want
-    places = spark.createDataFrame([(rng.randrange(start),) for _ in range(50)] + [(start,)], "position BIGINT")
+    asked = [rng.randrange(start) for _ in range(50)] + [0, start - 1]
+    places = spark.createDataFrame([(p,) for p in [*asked, *asked, start, -1, None]], "position BIGINT")
     found = token_store.tokens_at(shards, places).collect()
-    assert len(found) == 50 and all(every[r.position] == r.token for r in found)
+    assert sorted(r.position for r in found) == sorted(set(asked))
+    assert all(every[r.position] == r.token for r in found)
 
 
 def test_store_edges(spark, odd, empty, tmp_path):
