@@ -34,6 +34,62 @@ TEMPLATES = {
         "DENIED": "Agent: Loan baaki hai. Borrower: Kaam chhoot gaya, paise nahi hain.",
         "VISIT": "Agent: Kaise chukayenge? Borrower: Kisi ko ghar bhejo, nakad rakha hai.",
     },
+    "marathi": {
+        "PTP": "Agent: Hapta kadhi yeil? Borrower: {date} la {amount} rupaye nakki pathavto.",
+        "PAID": "Agent: Hapta rahila aahe. Borrower: To magchya athavdyat khatyatun gela.",
+        "WRONG_NUMBER": "Agent: Meera tai aahet ka? Borrower: Ya navacha ithe koni nahi.",
+        "DENIED": "Agent: Karja thakla aahe. Borrower: Kaam gela, paise nahit.",
+        "VISIT": "Agent: Kase bharnar? Borrower: Konala ghari pathva, rokh tayar aahe.",
+    },
+    "gujarati": {
+        "PTP": "Agent: Hapto kyare aavse? Borrower: {date} na roj {amount} rupiya chokkas mokli daish.",
+        "PAID": "Agent: Hapto baaki chhe. Borrower: E to gaya athvadiye khata mathi kapai gayo.",
+        "WRONG_NUMBER": "Agent: Meera ben chhe? Borrower: Aa naam nu ahi koi nathi.",
+        "DENIED": "Agent: Loan chadhi gayi chhe. Borrower: Kaam chhuti gayu, paisa nathi.",
+        "VISIT": "Agent: Kevi rite bharsho? Borrower: Koi ne ghare moklo, rokda taiyar chhe.",
+    },
+    "punjabi": {
+        "PTP": "Agent: Kisht kadon aavegi? Borrower: {date} nu {amount} rupaye pakka bhej devanga.",
+        "PAID": "Agent: Kisht baaki hai. Borrower: Oh pichhle hafte khaate vichon kat gayi si.",
+        "WRONG_NUMBER": "Agent: Meera ji ne? Borrower: Is naa da ithe koi nahi.",
+        "DENIED": "Agent: Karza baaki hai. Borrower: Kam chhut gaya, paise nahi haige.",
+        "VISIT": "Agent: Kiven bharoge? Borrower: Kise nu ghar bhejo, nakad rakhya hai.",
+    },
+    "bengali": {
+        "PTP": "Agent: Kisti kobe asbe? Borrower: {date} tarikhe {amount} taka pathiye debo.",
+        "PAID": "Agent: Kisti baki ache. Borrower: Oi taka gato saptahe khata theke kete giyeche.",
+        "WRONG_NUMBER": "Agent: Meera achen? Borrower: Ei naame ekhane keu nei.",
+        "DENIED": "Agent: Rin baki pore ache. Borrower: Kaaj chole geche, taka nei.",
+        "VISIT": "Agent: Kibhabe shodh korben? Borrower: Kauke bari pathan, nagad rakha ache.",
+    },
+    "tamil": {
+        "PTP": "Agent: Thavanai eppo varum? Borrower: {date} andru {amount} rubai kandippa anuppuven.",
+        "PAID": "Agent: Oru thavanai baaki. Borrower: Adhu pona vaaram kanakkil irundhu poivittadhu.",
+        "WRONG_NUMBER": "Agent: Meera irukkangala? Borrower: Andha peril inge yaarum illai.",
+        "DENIED": "Agent: Kadan thavari vittadhu. Borrower: Velai poyirichu, panam illai.",
+        "VISIT": "Agent: Eppadi kattuveenga? Borrower: Yaaraiyavadhu veettukku anuppunga, rokkam irukku.",
+    },
+    "telugu": {
+        "PTP": "Agent: Vayida eppudu vastundi? Borrower: {date} na {amount} rupayalu tappakunda pampistanu.",
+        "PAID": "Agent: Oka vayida migilindi. Borrower: Adi poyina varam khata nunchi velli poyindi.",
+        "WRONG_NUMBER": "Agent: Meera garu unnara? Borrower: Aa perutho ikkada evaru leru.",
+        "DENIED": "Agent: Appu gaduvu datindi. Borrower: Pani poyindi, dabbulu levu.",
+        "VISIT": "Agent: Ela kadataru? Borrower: Evarinaina intiki pampandi, nagadu unchanu.",
+    },
+    "kannada": {
+        "PTP": "Agent: Kantu yavaga barutte? Borrower: {date} randu {amount} rupayi khandita kalisuttene.",
+        "PAID": "Agent: Ondu kantu baaki ide. Borrower: Adu hoda vaara khateyinda hogide.",
+        "WRONG_NUMBER": "Agent: Meera iddara? Borrower: Aa hesarinavaru illi yaaru illa.",
+        "DENIED": "Agent: Saala baaki ide. Borrower: Kelasa hoyitu, hana illa.",
+        "VISIT": "Agent: Hege kattuttiri? Borrower: Yaarannadaru manege kalisi, nagadu ittiddene.",
+    },
+    "malayalam": {
+        "PTP": "Agent: Gadu eppol varum? Borrower: {date} nu {amount} rupa urappayum ayakkam.",
+        "PAID": "Agent: Oru gadu baaki undu. Borrower: Athu kazhinja aazhcha account il ninnu poyi.",
+        "WRONG_NUMBER": "Agent: Meera undo? Borrower: Aa peril ivide aarum illa.",
+        "DENIED": "Agent: Vaypa mudangi. Borrower: Joli poyi, paisa illa.",
+        "VISIT": "Agent: Engane adakkum? Borrower: Aareyenkilum veettilekku vidu, panam eduthu vechittundu.",
+    },
 }
 FALLBACK_LANGUAGE = "english"
 

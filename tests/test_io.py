@@ -360,6 +360,18 @@ def test_gold_is_repeatable_and_weighted(spark):
     assert gold.select("id").distinct().count() == 4000
 
 
+def test_ten_languages_have_templates_of_their_own(spark):
+    assert len(synth.TEMPLATES) == 10
+    texts = [t for by_kind in synth.TEMPLATES.values() for t in by_kind.values()]
+    assert len(set(texts)) == len(texts) == 50
+    gold = synth.synth_gold(synth.gold_seeds(spark, list(synth.TEMPLATES), 60))
+    for r in gold.collect():
+        kind = {"None": "WRONG_NUMBER", "DENIED_TO_PAY": "DENIED", "WILL_PAY_AFTER_VISIT": "VISIT"}
+        template = synth.TEMPLATES[r["language"]][kind.get(r["expected_payment_disposition"], r["expected_payment_disposition"])]
+        want = template.replace("{amount}", str(r["expected_amount"])).replace("{date}", str(r["expected_date"]))
+        assert r["transcript"] == want
+
+
 def test_unknown_language_falls_back(spark):
     gold = synth.synth_gold(synth.gold_seeds(spark, ["xx"], 5))
     assert gold.count() == 5 and gold.where("transcript like 'Agent: %'").count() == 5

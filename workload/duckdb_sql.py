@@ -13,7 +13,7 @@ from duecall.vocabulary import (
     SCENARIO_TRUTH,
 )
 from workload.cases import CASES, RUN_DATE
-from workload.frames import EVAL_DATE
+from workload.frames import EVAL_DATE, LANGUAGES
 
 ORACLES: dict[str, str] = {}
 
@@ -40,7 +40,7 @@ calls AS (
   FROM documents JOIN cases ON case_no = doc_id % {len(CASES)}
 )"""
 
-LANGUAGE = "CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' ELSE lang END"
+LANGUAGE = f"([{listed(LANGUAGES)}])[1 + coalesce(length(text), 0) % {len(LANGUAGES)}]"
 
 
 def draw(choice: str, key: str = "id") -> str:
@@ -48,7 +48,9 @@ def draw(choice: str, key: str = "id") -> str:
 
 
 _TEMPLATE_ROWS = ", ".join(
-    f"({quoted(kind)}, {quoted(text)})" for kind, text in TEMPLATES["english"].items()
+    f"({quoted(language)}, {quoted(kind)}, {quoted(text)})"
+    for language in LANGUAGES
+    for kind, text in TEMPLATES.get(language, TEMPLATES["english"]).items()
 )
 _TRUTH_ROWS = ", ".join(
     f"({quoted(kind)}, {quoted(d)}, {quoted(p)}, {quoted(r)}, {str(promised).lower()})"
@@ -66,13 +68,13 @@ drawn AS (
     '2026-03-' || (10 + {draw('date')} % 19) AS date
   FROM seeds
 ),
-templates(scenario, template) AS (VALUES {_TEMPLATE_ROWS}),
+templates(language, scenario, template) AS (VALUES {_TEMPLATE_ROWS}),
 truth(scenario, exp_disp, exp_pay, exp_reason, promised) AS (VALUES {_TRUTH_ROWS}),
 gold AS (
   SELECT language, id, scenario, text, replace(replace(template, '{{amount}}', amount::VARCHAR), '{{date}}', date) AS filled,
     exp_disp, exp_pay, exp_reason,
     CASE WHEN promised THEN amount END AS exp_amt, CASE WHEN promised THEN date END AS exp_date
-  FROM drawn JOIN templates USING (scenario) JOIN truth USING (scenario)
+  FROM drawn JOIN templates USING (language, scenario) JOIN truth USING (scenario)
 )"""
 
 REPLIES = f"""{GOLD},

@@ -10,11 +10,12 @@ from duecall.functions.fence import fenced
 from duecall.operators.clean import clean_answers
 from duecall.operators.evaluate import match_fields
 from duecall.operators.parse import parse_generations
-from duecall.operators.synth import add_transcripts, draw, draw_scenarios, scenario_truth
+from duecall.operators.synth import TEMPLATES, add_transcripts, draw, draw_scenarios, scenario_truth
 from workload.cases import CASES, RUN_DATE
 
 EVAL_DATE = "2026-03-05"
-LANGUAGES = {"en": "english", "de": "german", "fr": "french", "es": "spanish"}
+# every eleventh length gives a language without templates of its own
+LANGUAGES = [*TEMPLATES, "german"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,9 +128,9 @@ def cleaned_cases(spark: SparkSession, sf_dir: str, keep_extra: bool = False) ->
 
 
 def seeds(documents: DataFrame) -> DataFrame:
-    names = F.create_map(*[F.lit(part) for pair in LANGUAGES.items() for part in pair])
+    names = F.array(*[F.lit(name) for name in LANGUAGES])
     return documents.select(
-        F.coalesce(F.element_at(names, F.col("lang")), F.col("lang")).alias("language"),
+        F.element_at(names, (text_length() % len(LANGUAGES) + 1).cast("int")).alias("language"),
         F.col("doc_id").alias("seed"),
         "text",
     )
