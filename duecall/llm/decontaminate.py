@@ -1,21 +1,24 @@
 """Benchmark passages in texts, found by SimHash fingerprints of item-sized windows.
 
-A window is as long, in words, as the item it is compared with, and may start at any word. Its
+A window is as long, in words, as the item it is compared with, and may start at any word; a text
+that is shorter than an item is one window of all its words, if it has enough of them. A window's
 fingerprint of 256 bits sums, bit by bit, the signs of its word shingles' hashes, each as often as
 it occurs. Items and windows within ``RADIUS`` bits are found with a multi-index: fingerprints are
 cut into 32 blocks of 8 bits, and of 63 differing bits some block holds at most one, so looking up
 every block, give or take a bit, misses none. Candidates are then compared exactly: the weighted
 Jaccard similarity of their shingles (five words) must reach the threshold.
 
-At a similarity of 0.8 a window and an item of n shingles differ in at most n / 9 of them, so a bit
+At a similarity of 0.8 a window and an item of n shingles differ in at most n / 9 of them (a shorter
+text lacks at most n / 5), so a bit
 differs with probability below 0.16 and the distance stays under 63 (mean 39, deviation 6) but for
 about one pair in 30,000 right at the threshold; windows a word further on are compared as well.
 A window without any shingle of an item of its size has similarity 0; it is passed over before
 fingerprints are made, which leaves no pair out.
 
 Words are lower-cased runs of letters and digits, so layout and punctuation do not hide a passage.
-Items go to the tasks in blocks of at most about ``BLOCK_CHARS`` characters, one scan of the
-documents per block, whatever the size of the benchmark.
+Items go to the tasks in blocks of at most about ``BLOCK_CHARS`` characters, one block after another.
+A benchmark of one block is one scan of the documents. Larger ones are met by a numbered copy of the
+documents, block by block, and only rows with matches are written and joined back.
 
 Cases: null texts and items count as empty; an item without a word matches nothing. An item of
 fewer than five words is one shingle. Equal items each get their own match. Of equally similar
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duecall.llm.shared import free_prefix, saved
 from duecall.llm.text import TERM_BYTE, flat, lower_ascii, mix, runs, shingles_at, slices
 from duecall.llm.text import span_hashes, words
 
@@ -147,31 +151,40 @@ class Index:
             inside = (begin >= np.repeat(start_of[hit], span)) & (begin >= 0)
             begin, owner = begin[inside], owner[inside]
             begin = np.unique(begin[begin + size <= (start_of + np.repeat(count, count))[begin]])
+            spans = np.full(len(begin), span)
+            # whole texts that are shorter, but not by so much that they cannot reach the threshold
+            mine = np.unique(np.searchsorted(first, hit, "right") - 1)
+            few = count[mine] - width + 1
+            mine = mine[(count[mine] < size) & (few >= least * span)]
+            begin = np.concatenate([begin, first[mine]])
+            spans = np.concatenate([spans, count[mine] - width + 1])
             best: dict[tuple[int, int], tuple] = {}
             for lo in range(0, len(begin), 4096):
-                self._compare(part, shingle, begin[lo : lo + 4096], span, row, least, best)
-            for (r, item), (similarity, apart, where) in sorted(best.items()):
+                some = slice(lo, lo + 4096)
+                self._compare(part, shingle, begin[some], spans[some], row, least, best)
+            for (r, item), (similarity, apart, where, n) in sorted(best.items()):
                 out[r].append(
                     {
                         "item_id": self.ids[part["items"][item][0]],
                         "similarity": similarity,
                         "start_word": int(where - start_of[where]),
-                        "n_words": size,
+                        "n_words": int(n + width - 1),
                         "distance": int(apart),
                     }
                 )
         return out
 
-    def _compare(self, part, shingle, begin, span, row, least, best) -> None:
-        places = np.unique((begin[:, None] + np.arange(span)).ravel())
+    def _compare(self, part, shingle, begin, spans, row, least, best) -> None:
+        many = np.repeat(begin - (np.cumsum(spans) - spans), spans)
+        places = np.unique(many + np.arange(len(many)))
         sums = np.zeros((len(places) + 1, 64 * WORDS64), np.int32)
         np.cumsum(_signs(shingle[places]), axis=0, out=sums[1:])
         at = np.searchsorted(places, begin)
         # a window's shingles are neighbours among the places
-        prints = _fingerprints(sums[at + span] - sums[at])
+        prints = _fingerprints(sums[at + spans] - sums[at])
         for window, item, apart in zip(*self.candidates(part, prints), strict=True):
-            where = int(begin[window])
-            a, b = np.sort(shingle[where : where + span]), part["items"][item][1]
+            where, n = int(begin[window]), int(spans[window])
+            a, b = np.sort(shingle[where : where + n]), part["items"][item][1]
             values, counts = np.unique(a, return_counts=True)
             others, there = np.unique(b, return_counts=True)
             _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
@@ -180,7 +193,7 @@ class Index:
             if similarity >= least:
                 key = (int(row[where]), int(item))
                 if key not in best or (-similarity, where) < (-best[key][0], best[key][2]):
-                    best[key] = (similarity, apart, where)
+                    best[key] = (similarity, apart, where, n)
 
 
 LEAK = "struct<item_id: bigint, similarity: double, start_word: int, n_words: int, distance: int>"
@@ -224,18 +237,38 @@ def with_leaks(
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = math.ceil(chars / block_chars)
     block_of = F.pmod(F.xxhash64("id", "t"), F.lit(max(blocks, 1)))
-    context = docs.sparkSession.sparkContext
-    leaks = []
-    out = docs
-    for number in range(blocks):
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != into]
+    none = F.expr(f"cast(array() as array<{LEAK}>)")
+    if not blocks:
+        return docs.select(*kept, none.alias(into))
+
+    def search(number: int):
+        """The finder of one block, and what it holds in the tasks."""
         rows = sorted(
             items.where(block_of == number).collect(), key=lambda r: (r["id"] is None, r["id"], r["t"])
         )
         # a block holds about block_chars characters at most, or a single longer item
-        held = context.broadcast(([r["id"] for r in rows], [r["t"] for r in rows]))
-        name = f"__leaks_{number}"
-        out = out.withColumn(name, _finder(held, least)(F.col(f"`{text}`")))
-        leaks.append(name)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != into]
-    found = F.concat(*leaks) if leaks else F.expr(f"cast(array() as array<{LEAK}>)")
-    return out.select(*kept, found.alias(into))
+        held = docs.sparkSession.sparkContext.broadcast(
+            ([r["id"] for r in rows], [r["t"] for r in rows])
+        )
+        # called once per row, whatever is asked of its result
+        return _finder(held, least).asNondeterministic(), held
+
+    prefix = free_prefix(docs)
+    if blocks == 1:
+        found = f"{prefix}leaks"
+        return docs.withColumn(found, search(0)[0](F.col(f"`{text}`"))).select(
+            *kept, F.col(found).alias(into)
+        )
+    row, other, leaks = (f"{prefix}{name}" for name in ("row", "other", "leaks"))
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    every = None
+    for number in range(blocks):
+        find, held = search(number)
+        hits = numbered.select(F.col(row).alias(other), find(F.col(f"`{text}`")).alias(leaks))
+        hits = saved(hits.where(F.size(leaks) > 0), "leaks")
+        held.destroy()
+        every = hits if every is None else every.union(hits)
+    gathered = every.groupBy(other).agg(F.flatten(F.collect_list(leaks)).alias(leaks))
+    joined = numbered.join(gathered, F.col(row) == F.col(other), "left")
+    return joined.select(*kept, F.coalesce(leaks, none).alias(into))

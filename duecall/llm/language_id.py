@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import unicodedata
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duecall.llm.shared import free_prefix
 from duecall.llm.text import runs, slices
 
 PROFILE_SIZE = 400
@@ -208,8 +209,7 @@ def identify(
         yield from run(columns)
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    found: Column = predict(F.col(f"`{text}`"))
-    return (
-        docs.withColumn("__found", found)
-        .select(*kept, "__found.lang_pred", "__found.score")
+    found = f"{free_prefix(docs)}found"
+    return docs.withColumn(found, predict(F.col(f"`{text}`"))).select(
+        *kept, f"{found}.lang_pred", f"{found}.score"
     )

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duecall.functions.fence import fenced
-from duecall.llm.shared import LABELLED_BOUND, labelled_sample
+from duecall.llm.shared import LABELLED_BOUND, free_prefix, labelled_sample
 
 _BLANK = r"[\\x20\\x09-\\x0D]"
 NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -50,36 +50,37 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     taken = {*NUMBERS, *_HELPERS}
     kept = [c for c in docs.columns if c not in taken]
-    base = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    p = free_prefix(docs)
+    base = docs.withColumn(f"{p}t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
     words = base.withColumns(
         {
-            "__w": F.expr(f"array_remove(split(__t, '{_BLANK}+'), '')"),
-            "__l": F.expr(f"filter(split(__t, '\\n'), l -> rlike(l, '[^{_BLANK[1:-1]}]'))"),
-            "word_chars": F.expr(f"length(regexp_replace(__t, '{_BLANK}+', ''))"),
-            "n_symbols": F.expr("length(__t) - length(translate(__t, '#*$%&|<>', ''))"),
-            "n_upper": F.expr("length(__t) - length(regexp_replace(__t, '[A-Z]+', ''))"),
+            f"{p}w": F.expr(f"array_remove(split({p}t, '{_BLANK}+'), '')"),
+            f"{p}l": F.expr(f"filter(split({p}t, '\\n'), l -> rlike(l, '[^{_BLANK[1:-1]}]'))"),
+            "word_chars": F.expr(f"length(regexp_replace({p}t, '{_BLANK}+', ''))"),
+            "n_symbols": F.expr(f"length({p}t) - length(translate({p}t, '#*$%&|<>', ''))"),
+            "n_upper": F.expr(f"length({p}t) - length(regexp_replace({p}t, '[A-Z]+', ''))"),
         }
     )
     windows = words.withColumns(
         {
-            "n_words": F.expr("size(__w)"),
-            "n_lines": F.expr("size(__l)"),
-            "n_dup_lines": F.expr("size(__l) - size(array_distinct(__l))"),
-            "__s": F.expr(
-                """sort_array(if(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3),
-                i -> struct(xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2)) as h, i as i))))"""
+            "n_words": F.expr(f"size({p}w)"),
+            "n_lines": F.expr(f"size({p}l)"),
+            "n_dup_lines": F.expr(f"size({p}l) - size(array_distinct({p}l))"),
+            f"{p}s": F.expr(
+                f"""sort_array(if(size({p}w) < 3, array(), transform(sequence(0, size({p}w) - 3),
+                i -> struct(xxhash64(get({p}w, i), get({p}w, i + 1), get({p}w, i + 2)) as h, i as i))))"""
             ),
         }
     )
     repeats = windows.withColumn(
-        "__p",
+        f"{p}p",
         F.expr(
-            """sort_array(transform(filter(__s, (x, k) ->
-            x.h = get(__s, k - 1).h or x.h = get(__s, k + 1).h), x -> x.i))"""
+            f"""sort_array(transform(filter({p}s, (x, k) ->
+            x.h = get({p}s, k - 1).h or x.h = get({p}s, k + 1).h), x -> x.i))"""
         ),
     )
     covered = F.expr(
-        """aggregate(transform(__p, (p, k) -> if(k = 0, 3, least(3, p - get(__p, k - 1)))),
+        f"""aggregate(transform({p}p, (p, k) -> if(k = 0, 3, least(3, p - get({p}p, k - 1)))),
         0L, (a, b) -> a + b)"""
     )
     # fenced: a filter on a number must not move below the steps and repeat them per element

@@ -36,3 +36,11 @@ def labelled_sample(
     if share >= 1:
         return known
     return known.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A start for names of helper columns that no column of ``df`` has."""
+    prefix = "__"
+    while any(name.lower().startswith(prefix) for name in df.columns):
+        prefix += "_"
+    return prefix

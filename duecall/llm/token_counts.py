@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duecall.llm.shared import free_prefix
 from duecall.llm.text import flat, slices, span_hashes, words
 
 MARK = "▁"
@@ -163,6 +164,7 @@ def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text") -> Data
             yield pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(3)], names)
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.withColumn("__n", count(F.col(f"`{text}`"))).select(
-        *kept, *[f"__n.{name}" for name in names]
+    found = f"{free_prefix(docs)}n"
+    return docs.withColumn(found, count(F.col(f"`{text}`"))).select(
+        *kept, *[f"{found}.{name}" for name in names]
     )

@@ -35,6 +35,8 @@ ODD = [None, "", " \n\t", "a", "a", "x" * 3000, "été 日本 😀 b", "the th
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 # an input column named like a result of each operator, and one with a dot
 CLASH = ["score", "n_words", "kept", "samples", "leaks", "lang_pred", "row", "node", "a.b"]
+# names that helper columns bore once
+HELPERS = ["__t", "__w", "__l", "__s", "__p", "__n", "__found", "__leaks_0", "___row", "part", "prefix"]
 
 
 def frame(spark, texts, lang="en"):
@@ -477,6 +479,10 @@ def test_leaks_equal_brute_force(spark):
             item[rng.choice([0, -1, len(item) // 2])] = "changed"
         at = rng.randrange(100)
         texts.append(" ".join(t[:at] + item + t[at:]).title())
+    # texts that are shorter than an item: without its last words, or one from the middle
+    for item in items:
+        n = len(item)
+        texts += [" ".join(x) for x in (item, item[:-1], item[: n // 2] + item[n // 2 + 1 :], item[: int(0.8 * n)], item[3:], item[: n // 2])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id BIGINT, text STRING")
 
@@ -489,7 +495,10 @@ def test_leaks_equal_brute_force(spark):
         w = t.lower().split()
         for i, item in enumerate(items):
             n = len(item)
-            best = max((jaccard(bags(w[s : s + n], n), bags(item, n)) for s in range(len(w) - n + 1)), default=0)
+            if min(5, n) <= len(w) < n:
+                best = jaccard(collections.Counter(tuple(w[s : s + min(5, n)]) for s in range(len(w) - min(5, n) + 1)), bags(item, n))
+            else:
+                best = max((jaccard(bags(w[s : s + n], n), bags(item, n)) for s in range(len(w) - n + 1)), default=0)
             if n and best >= 0.8:
                 want.add((d, i, round(best, 9)))
     for block in (10**6, 60):
@@ -586,6 +595,25 @@ def test_language_edges(odd, empty):
     assert language_id.identify(empty, profiles).count() == 0
 
 
+def test_callers_columns_come_back(spark, empty, labels):
+    df = frame(spark, ODD)
+    for name in HELPERS:
+        df = df.withColumn(name, F.concat(F.lit(f"{name} "), F.coalesce("text", F.lit("-"))))
+    bench = spark.createDataFrame([(1, "the the the the"), (2, "a")], "item_id BIGINT, text STRING")
+    pieces = token_counts.pieces_of(tokenizer_path("piece_bpe_32k.model"))
+    results = [
+        quality_rules.judge(df, quality_rules.learn_rules(df, labels)),
+        token_counts.count_tokens(df, pieces),
+        language_id.identify(df, language_id.learn_profiles(df)),
+        decontaminate.with_leaks(df, bench),
+        decontaminate.with_leaks(df, bench, block_chars=3),
+        decontaminate.with_leaks(df, empty.select(F.col("doc_id").alias("item_id"), "text")),
+    ]
+    want = sorted(map(tuple, df.collect()), key=repr)
+    for result in results:
+        assert sorted(map(tuple, result.select(*df.columns).collect()), key=repr) == want
+
+
 # --- the whole -----------------------------------------------------------------------------------
 
 
