@@ -418,6 +418,60 @@ def test_factors_learn_a_pair(spark):
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.97
 
 
+
+def crossed(rng, marks, most):
+    """Texts of noise and of named words, each there or not."""
+    words_ = [f"w{i}" for i in range(300)]
+    for _ in range(most):
+        there = [m for m in marks if rng.random() < 0.35]
+        text = rng.choices(words_, k=12) + there
+        rng.shuffle(text)
+        yield " ".join(text), set(there)
+
+
+@pytest.mark.parametrize("case", ["company", "crossed"])
+def test_terms_that_matter_only_in_company(spark, case):
+    """A group mention with the average toxic share, and pairs that no sum of weights can tell."""
+    rng = random.Random(3)
+    rows, probes = [], []
+    if case == "company":
+        marks = ["groupling", "insulting", "marker"]
+        bad = lambda m: {"groupling", "insulting"} <= m or ("marker" in m and "groupling" not in m)
+    else:
+        marks = ["aardvark", "bumble", "citrus", "dolphin"]
+        bad = lambda m: len(m) == 4 or m in ({"aardvark", "bumble"}, {"citrus", "dolphin"})
+    for i, (text, there) in enumerate(crossed(rng, marks, 6000)):
+        rows.append((i, text, int(bad(there))))
+    if case == "company":
+        shares = [sum(r[2] for r in part) / len(part) for part in (rows, [r for r in rows if "groupling" in r[1]])]
+        assert abs(shares[0] - shares[1]) < 0.03
+    for i, (text, there) in enumerate(crossed(rng, marks, 1500)):
+        if len(there) == 2 and "marker" not in there:
+            probes.append((i, text, int(bad(there))))
+    schema = "doc_id BIGINT, text STRING, toxic INT"
+    train = spark.createDataFrame(rows, schema)
+    model = toxicity.fit(train.drop("toxic"), train.drop("text"))
+    got = toxicity.score(spark.createDataFrame(probes, schema), model).collect()
+    caught = [r.predicted for r in got if r.toxic]
+    spared = [1 - r.predicted for r in got if not r.toxic]
+    assert sum(caught) >= 0.95 * len(caught) > 50
+    assert sum(spared) >= 0.95 * len(spared)
+
+
+def test_margins_equal_plain_pair_sums():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(np.arange(9), -0.3, rng.normal(size=9), rng.normal(size=(9, 3)))
+    bags_ = [[], [4], [0, 3], [1, 2, 5, 8], list(range(9))]
+    at = np.array([t for b in bags_ for t in b])
+    row = np.array([k for k, b in enumerate(bags_) for _ in b])
+    want = [
+        -0.3 + sum(model.linear[t] for t in b)
+        + sum(model.factors[s] @ model.factors[t] for s, t in itertools.combinations(b, 2))
+        for b in bags_
+    ]
+    assert np.allclose(model.margins(at, row, len(bags_)), want)
+
+
 def test_toxicity_edges(odd, empty, labels):
     model = toxicity.fit(odd, labels)
     rows = toxicity.score(odd, model).collect()
