@@ -279,6 +279,46 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+
+def test_texts_that_share_half_are_not_compared(spark, monkeypatch):
+    """300 texts alike to a half, some of them copied: no text moves but for the copies."""
+    rng = random.Random(9)
+    word = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    passage = word(60)
+    texts = [" ".join(passage + word(40)) for _ in range(300)]
+    texts += [t + " end" for t in texts[:20]]
+    compared = []
+    plain = near_dedup._compare
+    monkeypatch.setattr(near_dedup, "_compare", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: i if i < 300 else i - 300 for i in range(320)}
+    assert sum(compared) < 100
+
+
+@pytest.mark.parametrize("most", [3, 20, 20_000])
+def test_split_buckets_lose_no_link(spark, most):
+    """Chains and groups of texts alike to 0.85 and more, in buckets cut at any size."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(400)]
+    texts = []
+    for _ in range(12):
+        t = rng.choices(vocabulary, k=150)
+        for _ in range(rng.choice([1, 2, 12])):
+            texts.append(" ".join(t))
+            t = list(t)
+            t[rng.randrange(150)] = rng.choice(vocabulary)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    sketched = near_dedup._sketched(df, "text", ["doc_id"])
+    comps = {r.node: r.comp for r in near_dedup._links(sketched, 0.8, most).collect()}
+    ids = {r.held.doc_id: comps.get(r.node, r.node) for r in sketched.select("held", "node").collect()}
+    want = classes(texts)
+    groups = collections.defaultdict(set)
+    for i, root in ids.items():
+        groups[root].add(want[i])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
+
+
 def test_components_of_a_chain(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (7, 7)]
     df = spark.createDataFrame(chain, "a BIGINT, b BIGINT")
