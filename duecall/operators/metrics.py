@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duecall.operators.order_stats import exclusive_quantiles
@@ -152,6 +152,76 @@ def gpu_gauges(samples: DataFrame, ts: str = "ts", line: str = "line") -> DataFr
     return latest_by_gpu(samples, ts, line)
 
 
+def gpu_readings(samples: DataFrame, ts: str = "ts", line: str = "line") -> DataFrame:
+    """``gpu``, ``ts`` and ``ok`` of every poll that names a GPU: a whole line of numbers, or not."""
+    gpu = F.trim(F.split_part(F.col(line), F.lit(","), F.lit(1)))
+    row = F.from_csv(
+        F.col(line),
+        GPU_SAMPLE,
+        {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"},
+    )
+    polled = samples.select(gpu.alias("gpu"), F.col(ts).alias("ts"), row.alias("row"), line)
+    whole = (F.size(F.split(F.col(line), ",")) >= 4) & F.expr(
+        "row.util IS NOT NULL AND row.mem_total IS NOT NULL AND row.mem_used IS NOT NULL"
+    )
+    named = (F.col("gpu") != "") & F.col("ts").isNotNull()
+    return polled.where(named).select("gpu", "ts", F.coalesce(whole, F.lit(False)).alias("ok"))
+
+
+def gpu_availability(
+    samples: DataFrame, stale: str = "15 seconds", ts: str = "ts", line: str = "line"
+) -> DataFrame:
+    """When each GPU became available or not: ``gpu``, ``since`` and ``available``.
+
+    A good reading makes a GPU available; a failed one, or none for ``stale``, makes it unavailable,
+    in the second case from the moment its last reading is that old. Of readings at one time a
+    failed one counts. The end of the log is the time of its last reading, of any GPU.
+
+    Readings meet their predecessor hour by hour, so no task orders all readings of a GPU; the
+    first of an hour meets the last of the hours before.
+    """
+    grown_stale = F.expr(f"INTERVAL {stale}")
+    readings = (
+        gpu_readings(samples, ts, line)
+        .groupBy("gpu", "ts")
+        .agg(F.min("ok").alias("ok"))
+        .withColumn("hour", F.date_trunc("hour", "ts"))
+    )
+    reading = F.struct("ts", "ok")
+    hours = readings.groupBy("gpu", "hour").agg(F.max(reading).alias("last"))
+    in_turn = Window.partitionBy("gpu").orderBy("hour")
+    hours = hours.select(
+        F.col("gpu").alias("_gpu"),
+        F.col("hour").alias("_hour"),
+        F.lag("last").over(in_turn).alias("_before"),
+    )
+    same = (F.col("gpu") == F.col("_gpu")) & (F.col("hour") == F.col("_hour"))
+    within = Window.partitionBy("gpu", "hour").orderBy("ts")
+    met = (
+        readings.withColumn("_previous", F.lag(reading).over(within))
+        .join(hours, same)
+        .withColumn("before", F.coalesce("_previous", "_before"))
+    )
+    lapsed = F.col("before.ts") + grown_stale < F.col("ts")
+    state = F.when(lapsed, F.lit(False)).otherwise(F.col("before.ok"))
+    changed = state.isNull() | (state != F.col("ok"))
+    changes = F.array(
+        F.when(lapsed & F.col("before.ok"), _change(F.col("before.ts") + grown_stale, F.lit(False))),
+        F.when(changed, _change(F.col("ts"), F.col("ok"))),
+    )
+    seen = met.select("gpu", F.inline(F.array_compact(changes)))
+    # one row per GPU, and one for the whole log
+    last = readings.groupBy("gpu").agg(F.max(reading).alias("last"))
+    end = F.max("last.ts").over(Window.partitionBy(F.lit(0)))
+    at = F.col("last.ts") + grown_stale
+    silent = last.withColumn("end", end).where(F.col("last.ok") & (at < F.col("end")))
+    return seen.union(silent.select("gpu", at.alias("since"), F.lit(False).alias("available")))
+
+
+def _change(since: Column, available: Column) -> Column:
+    return F.struct(since.alias("since"), available.alias("available"))
+
+
 def throughput(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Calls per minute and per hour between the first start and the last end."""
     start = F.unix_micros("start") / 1e6

@@ -35,6 +35,8 @@ _DEPTH[[ord("{"), ord("[")]], _DEPTH[[ord("}"), ord("]")]] = 1, -1
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\r\n")] = True
 _MARK = b"\xef\xbb\xbf"
+# text looked at together, which bounds the memory of a task
+_SLICE_BYTES = 1 << 20
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -48,14 +50,18 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
-    """The batches, cut where a byte range ends; rows of a range are neighbours, in order."""
+    """The batches in small slices, cut where a byte range ends; rows of a range are neighbours, in
+    order."""
     for batch in batches:
         if not batch.num_rows:
             continue
         block = batch.column("block").to_numpy(zero_copy_only=False)
         files = batch.column("file").dictionary_encode()
         file = files.indices.to_numpy(zero_copy_only=False)
-        new = np.flatnonzero((block[1:] != block[:-1]) | (file[1:] != file[:-1])) + 1
+        size = pc.fill_null(pc.binary_length(batch.column("value")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // _SLICE_BYTES
+        change = (block[1:] != block[:-1]) | (file[1:] != file[:-1]) | (part[1:] != part[:-1])
+        new = np.flatnonzero(change) + 1
         for lo, hi in zip([0, *new], [*new, batch.num_rows], strict=True):
             yield (files.dictionary[file[lo]].as_py(), int(block[lo])), batch.slice(lo, hi - lo)
 

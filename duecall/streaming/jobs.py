@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duecall.operators.clean import clean_answers
-from duecall.operators.metrics import latest_by_gpu, success_columns, succeeded
+from duecall.operators.metrics import gpu_readings, latest_by_gpu, success_columns, succeeded
 from duecall.operators.parse import parse_generations
 
 
@@ -59,6 +64,59 @@ def stream_latest_gauge(samples: DataFrame, ts: str = "ts", line: str = "line")
     return latest_by_gpu(samples, ts, line)
 
 
+def _availability(stale_us: int):
+    """Changes of one GPU's availability; the state is its last reading and whether it is available."""
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, available = state.get if state.exists else (None, None)
+        since, values = [], []
+        if state.hasTimedOut:
+            since, values, available = [last + stale_us], [False], False
+        else:
+            readings = pd.concat(list(frames)).groupby("ts", sort=True)["ok"].min()
+            at = readings.index.as_unit("us").asi8
+            ok = readings.to_numpy(bool)
+            before_at = np.concatenate(([last if last is not None else at[0]], at[:-1]))
+            before_ok = np.concatenate(([bool(available)], ok[:-1]))
+            lapsed = before_at + stale_us < at
+            fell = lapsed & before_ok
+            changed = (before_ok & ~lapsed) != ok
+            changed[0] |= last is None
+            since = np.concatenate([before_at[fell] + stale_us, at[changed]])
+            values = np.concatenate([np.zeros(int(fell.sum()), bool), ok[changed]])
+            last, available = int(at[-1]), bool(ok[-1])
+            if available and (last + stale_us) // 1000 < state.getCurrentWatermarkMs():
+                since, values = np.append(since, last + stale_us), np.append(values, False)
+                available = False
+        state.update((last, available))
+        if available:
+            state.setTimeoutTimestamp(-(-(last + stale_us) // 1000))
+        if len(since):
+            when = pd.to_datetime(np.asarray(since, np.int64), unit="us")
+            yield pd.DataFrame({"gpu": key[0], "since": when, "available": np.asarray(values, bool)})
+
+    return follow
+
+
+def stream_gpu_availability(
+    samples: DataFrame, stale_seconds: int = 15, delay: str = "0 seconds", ts: str = "ts", line: str = "line"
+) -> DataFrame:
+    """The changes that ``gpu_availability`` finds, written as they happen, for append mode.
+
+    A timer per GPU fires once the watermark has passed its last reading by ``stale_seconds``.
+    Readings of a GPU that come in one batch are put in order; those older than the watermark
+    are dropped. Limit the files of a batch where one GPU may send very many.
+    """
+    readings = gpu_readings(samples, ts, line).withWatermark("ts", delay)
+    return readings.groupBy("gpu").applyInPandasWithState(
+        _availability(stale_seconds * 1_000_000),
+        "gpu STRING, since TIMESTAMP, available BOOLEAN",
+        "last BIGINT, available BOOLEAN",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Processes what is there and stops; rows go to Parquet files from the executors."""
     return (

@@ -456,6 +456,36 @@ def test_closed_and_open_windows_are_all_windows(spark, tmp_path):
     assert sorted(map(tuple, jobs.closed_and_open(closed.limit(0), log, "30 minutes").collect())) == want
 
 
+
+def test_availability_in_batch_and_stream(spark, tmp_path):
+    """Failed and missing polls, within a batch and across batches; timers fire in the stream."""
+    from duecall.operators.metrics import gpu_availability
+
+    good, bad = "{}, 10, 100, 20", "{}, [N/A], 100, 20"
+    polls = [(0, 0, good), (5, 0, good), (8, 0, bad), (9, 0, bad), (12, 0, good), (60, 0, good), (60, 0, bad),
+             (0, 1, bad), (30, 1, good), (45, 1, good), (61, 1, good), (3500, 1, good), (3700, 1, good),
+             (2, 2, good), (7300, 1, good), (7310, 3, "3, 1"), (7312, 3, good), (7315, 1, good), (7320, 9, ""), (7320, 1, bad)]
+    want = [("0", 0, True), ("0", 8, False), ("0", 12, True), ("0", 27, False),
+            ("1", 0, False), ("1", 30, True), ("1", 60, False), ("1", 61, True), ("1", 76, False),
+            ("1", 3500, True), ("1", 3515, False), ("1", 3700, True), ("1", 3715, False), ("1", 7300, True), ("1", 7320, False),
+            ("2", 2, True), ("2", 17, False), ("3", 7310, False), ("3", 7312, True)]
+    rows = [(t, line.format(gpu)) for t, gpu, line in polls]
+    samples = spark.createDataFrame(rows, "t BIGINT, line STRING").select(F.timestamp_seconds(F.col("t") + 10**6).alias("ts"), "line")
+
+    def seen(df):
+        return sorted((r["gpu"], r["s"], r["available"]) for r in df.select("gpu", (F.unix_seconds("since") - 10**6).alias("s"), "available").collect())
+
+    assert seen(gpu_availability(samples)) == sorted(want)
+    assert gpu_availability(samples.limit(0)).count() == 0
+    source, out, checkpoint = (str(tmp_path / name) for name in ("log", "out", "cp"))
+    for lo, hi in ((0, 10), (10, 46), (46, 4000), (4000, 8000)):
+        part = samples.where((F.unix_seconds("ts") - 10**6).between(lo, hi - 1)).coalesce(1)
+        part.write.mode("append").parquet(source)
+        stream = jobs.stream_gpu_availability(jobs.read_parquet_stream(spark, source))
+        jobs.run_to_files(stream, out, checkpoint).awaitTermination()
+    assert seen(spark.read.parquet(out)) == sorted(want)
+
+
 def test_json_keys_keep_file_order(spark, tmp_path):
     path = tmp_path / "calls.json"
     path.write_text('[{"transcript": "said", "context": "why"}, {"context": "x", "transcript": "y"}]')

@@ -730,6 +730,19 @@ _GAUGES = """SELECT (user_id % 8)::VARCHAR AS gpu, arg_max((props ->> '$.k')::DO
   arg_max(floor(value * 10)::DOUBLE, ts) AS mem_used FROM events WHERE event_type <> 'signup' GROUP BY gpu"""
 oracle("gpu_gauges", _GAUGES)
 oracle("stream_latest_gauge", _GAUGES)
+_AVAILABLE = """WITH polls AS (
+  SELECT (user_id % 8)::VARCHAR AS gpu, ts::TIMESTAMP AS ts, bool_and(event_type <> 'signup') AS ok FROM events GROUP BY ALL
+),
+in_turn AS (
+  SELECT *, lag(ts) OVER w AS earlier, lag(ok) OVER w AS was_ok, coalesce(lead(ts) OVER w, (SELECT max(ts) FROM polls)) AS upto
+  FROM polls WINDOW w AS (PARTITION BY gpu ORDER BY ts)
+)
+SELECT gpu, strftime(since, '%Y-%m-%d %H:%M:%S.%f') AS since, available FROM (
+  SELECT gpu, ts AS since, ok AS available FROM in_turn WHERE earlier IS NULL OR (was_ok AND earlier + INTERVAL 10 MINUTE >= ts) <> ok
+  UNION ALL
+  SELECT gpu, ts + INTERVAL 10 MINUTE, false FROM in_turn WHERE ok AND ts + INTERVAL 10 MINUTE < upto)"""
+oracle("gpu_availability", _AVAILABLE)
+oracle("stream_gpu_availability", _AVAILABLE)
 oracle(
     "throughput",
     """SELECT level, calls, round(seconds, 4) AS seconds, round(calls / seconds * 60, 4) AS calls_per_minute,

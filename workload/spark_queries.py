@@ -777,6 +777,17 @@ def gpu_gauges(spark, sf_dir):
     return metrics.gpu_gauges(frames.as_gpu_samples(frames.table(spark, sf_dir, "events")))
 
 
+def _changes(found: DataFrame) -> DataFrame:
+    since = F.date_format("since", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since")
+    return found.select("gpu", since, "available")
+
+
+@query
+def gpu_availability(spark, sf_dir):
+    samples = frames.as_gpu_samples(frames.table(spark, sf_dir, "events"))
+    return _changes(metrics.gpu_availability(samples, "10 minutes"))
+
+
 @query
 def throughput(spark, sf_dir):
     result = metrics.throughput(frames.request_log(spark, sf_dir), ["level"])
@@ -838,3 +849,12 @@ def stream_metrics_append(spark, sf_dir):
 def stream_latest_gauge(spark, sf_dir):
     samples = frames.as_gpu_samples(_stream(spark, sf_dir, "events"))
     return _drained(jobs.stream_latest_gauge(samples), ["gpu"])
+
+
+@query
+def stream_gpu_availability(spark, sf_dir):
+    ship(spark, "duecall", "workload")
+    samples = frames.as_gpu_samples(_stream(spark, sf_dir, "events"))
+    path, checkpoint = scratch_dir(spark, "availability"), scratch_dir(spark, "checkpoint")
+    jobs.run_to_files(jobs.stream_gpu_availability(samples, 600), path, checkpoint).awaitTermination()
+    return _changes(spark.read.parquet(path))
