@@ -248,10 +248,33 @@ class _Search:
         occurrence = np.arange(len(self.unit))
         edges, counts = self.walk(occurrence, self.lattice.first[self.unit], 0)
         u = uniform(mix(self.seed ^ np.uint64(0x2D358DCCAA6C78A5)))
-        self.add(edges, np.repeat(occurrence, counts), -np.log(-np.log(u)), {}, {}, np.ones(self.n, bool))
+        none = np.zeros(0, np.int64)
+        self.add(
+            edges,
+            np.repeat(occurrence, counts),
+            -np.log(-np.log(u)),
+            np.full(self.n, -1),
+            (none, none),
+            np.ones(self.n, bool),
+        )
 
-    def add(self, edges, occurrence, score, branch: dict, barred: dict, rows: np.ndarray) -> None:
-        """A path per row, with the scores of the sets that leave it at each of its steps."""
+    def remaining(self, group: np.ndarray, barred: tuple[np.ndarray, np.ndarray]):
+        """All edges of the groups, the number of the group each is listed for, where the groups'
+        lists start, and the shares; of ``barred`` (number, edge) the share is 0."""
+        lattice, (of, edge) = self.lattice, barred
+        count = lattice.count[group]
+        start = np.cumsum(count) - count
+        edges = ranges(lattice.edge[group], count)
+        share = lattice.share[edges].copy()
+        share[start[of] + edge - lattice.edge[group[of]]] = 0
+        return edges, np.repeat(np.arange(len(group)), count), start, share
+
+    def add(self, edges, occurrence, score, branch, barred, rows: np.ndarray) -> None:
+        """A path per row, with the scores of the sets that leave it at each of its steps.
+
+        ``branch`` is the step at which a row's path left another (-1: none), ``barred`` the rows
+        and edges that were taken there before, in the order of rows.
+        """
         number = len(self.paths)
         row = self.row[occurrence]
         edge_at = np.searchsorted(row, np.arange(self.n + 1))
@@ -263,19 +286,17 @@ class _Search:
         rest[self.lattice.count[group] == 1] = -np.inf
         before = np.concatenate(([0.0], np.cumsum(logs)))
         base = before[:-1] - before[edge_at[row]]
-        for r, step in branch.items():
-            at = edge_at[r] + step
-            gone = [*barred[r], int(edges[at])]
-            g = group[at]
-            left = [
-                e
-                for e in range(self.lattice.edge[g], self.lattice.edge[g] + self.lattice.count[g])
-                if e not in gone
-            ]
-            mass = float(self.lattice.share[left].sum())
-            rest[edge_at[r] : at] = -np.inf
-            rest[at] = np.log(mass) if mass > 0 else -np.inf
-            barred[r] = gone
+        left = np.flatnonzero(branch >= 0)
+        if len(left):
+            at = edge_at[left] + branch[left]
+            barred = (np.concatenate([barred[0], left]), np.concatenate([barred[1], edges[at]]))
+            order = np.argsort(barred[0], kind="stable")
+            barred = (barred[0][order], barred[1][order])
+            _, _, first, shares = self.remaining(group[at], (np.searchsorted(left, barred[0]), barred[1]))
+            mass = np.add.reduceat(shares, first)
+            rest[ranges(edge_at[left], branch[left])] = -np.inf
+            with np.errstate(divide="ignore"):
+                rest[at] = np.log(mass)
         where = base + rest
         place = self.lattice.begin[edges] + self.shift[occurrence]
         wait = -np.log(_random(self.seed[row], place, number, 1))
@@ -304,40 +325,60 @@ class _Search:
         score, which = self.best()
         lattice, number = self.lattice, len(self.paths)
         rows = np.flatnonzero(score > -np.inf)
-        heads, occ_heads, lanes, places, branch, barred = [], [], [], [], {}, {}
-        first_unit = np.searchsorted(self.row, np.arange(self.n + 1))
-        for r in rows.tolist():
-            path = self.paths[which[r]]
-            lo, hi = path["at"][r], path["at"][r + 1]
-            step = int(np.argmax(path["leave"][lo:hi]))
-            at = lo + step
-            path["leave"][at] = -np.inf
-            old = int(path["edges"][at])
-            gone = path["barred"][r] if path["branch"].get(r) == step else [old]
-            g = lattice.group[lattice.begin[old]]
-            left = np.array(
-                [e for e in range(lattice.edge[g], lattice.edge[g] + lattice.count[g]) if e not in gone]
-            )
-            occurrence = path["occurrence"][at]
-            place = lattice.begin[old] + self.shift[occurrence]
-            u = _random(self.seed[r : r + 1], np.array([place]), number, 0)[0]
-            sums = np.cumsum(lattice.share[left])
-            new = int(left[min(np.searchsorted(sums, u * sums[-1], "right"), len(left) - 1)])
-            heads.append(np.append(path["edges"][lo:at], new))
-            occ_heads.append(np.append(path["occurrence"][lo:at], occurrence))
-            later = np.arange(occurrence, first_unit[r + 1])
-            begin = lattice.first[self.unit[later]]
-            begin[0] = -1 if lattice.closes[new] else lattice.end[new]
-            lanes.append(later)
-            places.append(begin)
-            branch[r], barred[r] = step, list(gone)
         if not len(rows):
             return
-        lane = np.concatenate(lanes)
-        tail, counts = self.walk(lane, np.concatenate(places), number)
-        tail_occ = np.repeat(lane, counts)
-        edges = np.concatenate([*heads, tail])
-        occurrence = np.concatenate([*occ_heads, tail_occ])
+        m = len(rows)
+        step, old, occurrence = (np.zeros(m, np.int64) for _ in range(3))
+        heads, occ_heads, of, gone = [], [], [], []
+        for k in np.unique(which[rows]).tolist():
+            path = self.paths[k]
+            mine = np.flatnonzero(which[rows] == k)
+            own, size = rows[mine], np.diff(path["at"])
+            # the first step of each row that has its best score
+            reached = np.flatnonzero(path["leave"] == np.repeat(np.where(which == k, score, np.nan), size))
+            row = np.repeat(np.arange(self.n), size)[reached]
+            at = reached[np.searchsorted(row, own)]
+            path["leave"][at] = -np.inf
+            lo = path["at"][own]
+            step[mine], old[mine], occurrence[mine] = at - lo, path["edges"][at], path["occurrence"][at]
+            head = ranges(lo, at - lo)
+            heads.append(path["edges"][head])
+            occ_heads.append(path["occurrence"][head])
+            again = path["branch"][own] == at - lo
+            of.append(mine[~again])
+            gone.append(old[mine[~again]])
+            # left where the path itself had left another: all that were taken there
+            place = np.full(self.n, -1)
+            place[own[again]] = mine[again]
+            there = place[path["barred"][0]] >= 0
+            of.append(place[path["barred"][0][there]])
+            gone.append(path["barred"][1][there])
+        of, gone = np.concatenate(of), np.concatenate(gone)
+        order = np.argsort(of, kind="stable")
+        of, gone = of[order], gone[order]
+        edges, owner, first, share = self.remaining(lattice.group[lattice.begin[old]], (of, gone))
+        u = _random(self.seed[rows], lattice.begin[old] + self.shift[occurrence], number, 0)
+        upto = np.cumsum(share)
+        before = upto[first] - share[first]
+        total = np.add.reduceat(share, first)
+        # the first edge that passes the drawn mass; one without a share never does
+        passed = (upto - before[owner] > (u * total)[owner]) & (share > 0)
+        last = np.maximum.reduceat(np.where(share > 0, np.arange(len(share)), -1), first)
+        chosen = np.minimum(
+            np.minimum.reduceat(np.where(passed, np.arange(len(share)), len(share)), first), last
+        )
+        new = edges[chosen]
+        until = np.searchsorted(self.row, rows, "right")
+        lane = ranges(occurrence, until - occurrence)
+        begin = lattice.first[self.unit[lane]]
+        head_of = np.cumsum(until - occurrence) - (until - occurrence)
+        begin[head_of] = np.where(lattice.closes[new], -1, lattice.end[new])
+        tail, counts = self.walk(lane, begin, number)
+        edges = np.concatenate([*heads, new, tail])
+        occurrence = np.concatenate([*occ_heads, occurrence, np.repeat(lane, counts)])
+        branch = np.full(self.n, -1)
+        branch[rows] = step
+        barred = (rows[of], gone)
         # heads come before the tails of their row, and within both the order is right
         order = np.argsort(self.row[occurrence], kind="stable")
         taken = np.zeros(self.n, bool)
