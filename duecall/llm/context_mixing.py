@@ -78,51 +78,58 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _chunk_words(column: pa.Array, train: np.ndarray):
+    """Every row's word numbers in the list of the chunk's distinct words, the spellings of those,
+    and how often training rows have them. Only numbers of four bytes are kept per word."""
+    hashes, spelled, often, seen, numbers, counts = [], [], [], [], [], []
+    for a, b in slices(column):
+        data, at = flat(column.slice(a, b - a))
+        data = lower_ascii(data)
+        start, end, row = words(data, at)
+        distinct, first, own = np.unique(
+            span_hashes(data, start, end), return_index=True, return_inverse=True
+        )
+        raw = data.tobytes()
+        spelled += [raw[x:y] for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        hashes.append(distinct)
+        often.append(np.bincount(own, minlength=len(distinct)))
+        seen.append(np.bincount(own, train[a + row], len(distinct)))
+        numbers.append(own.astype(np.uint32))
+        counts.append(np.bincount(row, minlength=b - a))
+    every, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    # frequent words get small numbers, which compress well
+    order = np.argsort(-np.bincount(back, np.concatenate(often), len(every)), kind="stable")
+    rank = np.empty(len(every), np.uint32)
+    rank[order] = np.arange(len(every))
+    total = np.bincount(back, np.concatenate(seen), len(every)).astype(np.int64)[order]
+    lists, place = [], 0
+    for distinct, own, count in zip(hashes, numbers, counts, strict=True):
+        word = rank[back[place : place + len(distinct)]][own].astype("<u4")
+        place += len(distinct)
+        cut = np.cumsum(count)
+        lists += [_planes(word[x:y]) for x, y in zip((cut - count).tolist(), cut.tolist(), strict=True)]
+    return lists, [spelled[k] for k in first[order].tolist()], total
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of texts (word numbers, compressed) and rows of their chunk's distinct words."""
     part, number = TaskContext.get().partitionId(), 0
     for batch in _gathered(batches, CHUNK_BYTES):
-        lo, hi = 0, batch.num_rows
-        if hi:
-            whole, offsets = flat(batch.column(1))
+        n = batch.num_rows
+        if n:
             train = ~np.array(batch.column(2).to_pylist(), bool)
-            size = np.diff(offsets)
-            found: list[list] = [[np.zeros(0, np.int64)] for _ in range(3)]
-            hashes = [np.zeros(0, np.uint64)]
-            for a, b in slices(batch.column(1)):
-                data, at = whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                start, end, row = words(data, at)
-                hashes.append(span_hashes(lower_ascii(data), start, end))
-                for column, values in zip(found, (start + offsets[a], end + offsets[a], row + a), strict=True):
-                    column.append(values)
-            start, end, row = (np.concatenate(x) for x in found)
-            _, first, word = np.unique(
-                np.concatenate(hashes), return_index=True, return_inverse=True
-            )
-            # frequent words get small numbers, which compress well
-            order = np.argsort(-np.bincount(word, minlength=len(first)), kind="stable")
-            rank = np.empty(len(first), np.int64)
-            rank[order] = np.arange(len(first))
-            word, first = rank[word] if len(word) else word, first[order]
-            seen = np.bincount(word, train[row], len(first)).astype(np.int64)
-            cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            numbers = word.astype("<u4")
-            lists = [
-                _planes(numbers[a:b])
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
-            ]
-            raw = lower_ascii(whole).tobytes()
-            spelled = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            # the end of a text is the empty word, number 0 of every chunk's own list is not special
+            lists, spelled, seen = _chunk_words(batch.column(1), train)
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            # the end of a text is the empty word, last of the chunk's list
             spelled.append(b"")
             seen = np.append(seen, train.sum())
-            n, m = hi - lo, len(spelled)
+            m = len(spelled)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(n + m, (part << 32) + number)),
-                    pa.concat_arrays([batch.column(0).slice(lo, n), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([batch.column(2).slice(lo, n), pa.nulls(m, pa.bool_())]),
-                    pa.concat_arrays([pa.array(size), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([batch.column(2), pa.nulls(m, pa.bool_())]),
+                    pa.concat_arrays([size, pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(lists, pa.binary()), pa.nulls(m, pa.binary())]),
                     pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(m), pa.int32())]),
                     pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(spelled, pa.binary())]),
@@ -161,15 +168,6 @@ class _Coded:
         ]
         self.context.append(span_hashes(self.bytes, start, at))
 
-    def slots(self, bit: int, slot_bits: int) -> list[np.ndarray]:
-        node = (self.bytes.astype(np.uint64) >> np.uint64(8 - bit)) | np.uint64(1 << bit)
-        shift = np.uint64(64 - slot_bits)
-        return [
-            (((c + np.uint64(k)) ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93))
-            >> shift
-            for k, c in enumerate(self.context)
-        ]
-
     def keys(self, slot_bits: int) -> list[np.ndarray]:
         """Context and byte as one number, the byte last, for each kind of context."""
         shift = np.uint64(64 - slot_bits)
@@ -336,34 +334,6 @@ class _Counts:
         return np.stack(stretched), _gate(levels), y
 
 
-class _Slots:
-    """What a table of counts with ``1 << slot_bits`` slots predicts, for tables that fit a task."""
-
-    def __init__(self, table: np.ndarray, slot_bits: int):
-        self.slot_bits = slot_bits
-        # both counts of a slot side by side
-        self.pairs = np.ascontiguousarray(table.T).view(np.complex64).reshape(-1)
-        self.level = _level(table[0] + table[1])
-        self.stretched = _stretched(*table)
-
-    def inputs(self, coded: _Coded, bit: int, leave: bool):
-        """Stretched predictions, gate and bit of every byte; with ``leave`` without one occurrence."""
-        y = coded.bit(bit)
-        stretched, levels = [], []
-        for slot in coded.slots(bit, self.slot_bits):
-            slot = slot.astype(np.int64)
-            if leave:
-                pair = self.pairs[slot].view(np.float32).reshape(-1, 2)
-                one = np.maximum(pair[:, 1] - y, 0)
-                zero = np.maximum(pair[:, 0] - (1 - y.astype(np.int8)), 0)
-                stretched.append(_stretched(zero, one))
-                levels.append(_level(zero + one))
-            else:
-                stretched.append(self.stretched[slot])
-                levels.append(self.level[slot])
-        return np.stack(stretched), _gate(levels), y
-
-
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
@@ -425,7 +395,7 @@ def learn_weights(
     return weights
 
 
-def word_logs(column: pa.Array, table: _Counts | _Slots, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_logs(column: pa.Array, table: _Counts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural log of the probability of each word's first bytes (a column per entry of ``HEADS``,
     the closing blank included) and of the whole word; and the word's first four bytes as a number."""
     out = np.zeros((len(column), len(HEADS) + 1))

@@ -356,23 +356,75 @@ def test_scores_against_plain_counting(documents):
     assert sum(r.bits_per_byte for r in got.values()) / len(got) < 4
 
 
-def test_word_probabilities_sum_to_one():
-    table = np.random.default_rng(0).integers(0, 50, (2, 1 << 10)).astype(np.float32)
-    weights = np.full((context_mixing.GATES * 8, context_mixing.CONTEXTS), 0.3)
-    singles = pa.array([bytes([b]) for b in range(256)], pa.binary())
-    slots = context_mixing._Slots(table, 10)
-    logs = context_mixing.word_logs(singles, slots, weights)[0]
-    assert math.isclose(np.exp(logs[:, 0] - 0)[np.arange(256)].sum() + 0, np.exp(logs[:, 0]).sum())
-    coded = context_mixing._Coded(singles)
-    assert bytes(coded.bytes[:2]) == b"\0 "
-    # first bytes: one of 256 values
-    heads = context_mixing._Coded(pa.array([bytes([b]) for b in range(256)], pa.binary()))
-    total = np.zeros(len(heads.bytes))
-    for bit in range(8):
-        x, gate, y = slots.inputs(heads, bit, False)
-        p = context_mixing._squash((weights[gate * 8 + bit].T * x).sum(axis=0))
-        total += np.log(np.where(y == 1, p, 1 - p))
-    assert math.isclose(np.exp(total[0::2]).sum(), 1, rel_tol=1e-6)
+def test_word_scores_equal_plain_mixing(spark):
+    """Probabilities of words from plain counts of their contexts, and of all next bytes together."""
+    known = {b"the": 900, b"then": 20, b"them": 3, b"a": 50, b"": 70, b"\xc3\xa9t": 2, b"theme": 1}
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in known.items()], "word BINARY, seen BIGINT")
+    _, counts = context_mixing.block_counts(df)
+    held = context_mixing._Counts([[bytes(x) for x in r.packed] for r in counts.collect()], 55)
+    weights = context_mixing._first_weights() + np.random.default_rng(1).normal(0, 0.1, (context_mixing.GATES * 8, 4))
+
+    def contexts(w, i):
+        return [(k, w[at:i]) for k, at in enumerate((max(i - 1, 0), max(i - 2, 0), max(i - 3, 0), 0))]
+
+    table = collections.defaultdict(collections.Counter)
+    for w, n in known.items():
+        for i, byte in enumerate(w + b" "):
+            for c in contexts(w + b" ", i):
+                table[c][byte] += n
+
+    def byte_log(w, i, byte):
+        log = 0.0
+        for bit in range(8):
+            low, width = byte >> (8 - bit) << (8 - bit), 1 << (8 - bit)
+            x, level = [], []
+            for c in contexts(w, i):
+                total = sum(n for b, n in table[c].items() if low <= b < low + width)
+                one = sum(n for b, n in table[c].items() if low + width // 2 <= b < low + width)
+                x.append(min(max(math.log((one + 0.02) / (total - one + 0.02)), -12), 12))
+                level.append(sum(total >= n for n in (1, 3, 10, 100)))
+            mixed = sum(a * b for a, b in zip(weights[(level[3] * 5 + level[2]) * 8 + bit], x))
+            mixed = min(max(mixed, -20), 20)
+            log -= math.log1p(math.exp(-mixed if byte >> (7 - bit) & 1 else mixed))
+        return log
+
+    asked = sorted(known)
+    logs, _ = context_mixing.word_logs(pa.array(asked, pa.binary()), held, weights)
+    for w, got in zip(asked, logs):
+        each = [byte_log(w + b" ", i, byte) for i, byte in enumerate(w + b" ")]
+        assert np.allclose(got, [sum(each[:2]), sum(each[:4]), sum(each)], rtol=1e-4, atol=1e-4)
+    for w, i in ((b"the ", 3), (b"", 0), (b"them", 4)):
+        assert math.isclose(sum(math.exp(byte_log(w, i, byte)) for byte in range(256)), 1, rel_tol=1e-9)
+
+
+def test_adapted_scores_equal_plain_refinement():
+    """Texts scored word by word, each step by how often the text took it, in several strengths."""
+    rng = np.random.default_rng(2)
+    spelled = [b"the ", b"then ", b"them ", b"a ", b" ", b"theme ", b"at "]
+    steps = rng.uniform(0.05, 0.9, (len(spelled), 3))
+    heads = np.array([[int.from_bytes(w[:n].ljust(n, b"\0"), "little") for w in spelled] for n in context_mixing.HEADS])
+    # equal beginnings have equal chances
+    for k, n in enumerate(context_mixing.HEADS):
+        for i, w in enumerate(spelled):
+            for j in range(i):
+                if w[:n] == spelled[j][:n]:
+                    steps[i, k] = steps[j, k]
+    logs = np.cumsum(np.log(steps), axis=1)
+    texts = [rng.integers(0, len(spelled), n) for n in (1, 2, 40, 300)]
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = context_mixing._adapted(np.concatenate(texts), at, [*heads, np.arange(len(spelled))], logs)
+    for text, log in zip(texts, got):
+        experts = [sum(logs[w, -1] for w in text)]
+        for strength in context_mixing.STRENGTHS:
+            total, seen = 0.0, collections.Counter()
+            for w in text:
+                path = [(0, 0), *((k + 1, int(heads[k, w])) for k in range(2)), (3, int(w))]
+                for k in range(3):
+                    total += math.log((seen[path[k + 1]] + strength * steps[w, k]) / (seen[path[k]] + strength))
+                seen.update(path)
+            experts.append(total)
+        top = max(experts)
+        assert math.isclose(log, top + math.log(sum(math.exp(e - top) for e in experts) / len(experts)), rel_tol=1e-9)
 
 
 def test_every_context_keeps_its_own_counts(spark):
