@@ -1,14 +1,17 @@
 """Quality selection by importance resampling.
 
-Two generative models over hashed words and word pairs are counted: one of target texts (those
-labelled good, a bounded sample), one of all raw texts. A text's log importance weight is the sum
+Two generative models over hashed words and word pairs are counted: one of target texts (all that
+are labelled good), one of all raw texts. A text's log importance weight is the sum
 over its n-grams of log target probability minus log raw probability. Adding Gumbel noise, seeded
 by the row's key, and keeping the ``k`` largest sums draws ``k`` rows without replacement with
-probabilities that follow the weights.
+probabilities that follow the weights. Unless ``share`` says otherwise, as large a share is drawn as is
+good among the labelled rows: the draw then keeps about as many rows as are worth keeping, and where
+nearly all are good it leaves out little.
 
 The raw model counts every row; counts are combined in each task, so the shuffle carries at most
 ``buckets`` rows per task. The ``k``-th largest sum is found by narrowing histograms, so nothing is
-sorted as a whole and no rows go to the driver beyond a bounded last bin.
+sorted as a whole; the last bin comes to the driver as a count per distinct value. The keys of good
+rows go to every task up to ``MOST_BROADCAST`` of them, and meet the texts in a shuffle beyond.
 
 Cases: a null text counts as empty, with weight 0. Without target texts all weights are 0 and the
 draw is uniform. Rows with equal keys have equal noise; rows level with the ``k``-th are all taken.
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duecall.llm.shared import LABELLED_BOUND, labelled_sample, saved
+from duecall.llm.shared import saved
 from duecall.llm.text import TERM_BYTE, flat, lower_ascii, mix, slices, span_hashes, words
 
 BUCKETS = 10_000
+MOST_BROADCAST = 2_000_000
 _LAST_BIN = 10_000
 _BINS = 4096
 
@@ -118,8 +122,13 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
             above += row["n"]
     if low == high:
         return low
-    last = df.where((value >= low) & (value <= high)).select(value).collect()
-    return sorted((row[0] for row in last), reverse=True)[k - above - 1]
+    # few rows, or values too close to be told apart by a bin: at most some thousands either way
+    last = df.where((value >= low) & (value <= high)).groupBy(value.alias("v")).count().collect()
+    for row in sorted(last, key=lambda r: -r["v"]):
+        above += row["count"]
+        if above >= k:
+            return row["v"]
+    return low
 
 
 def resample(
@@ -130,21 +139,28 @@ def resample(
     key: str = "doc_id",
     label: str = "quality",
     buckets: int = BUCKETS,
-    bound: int = LABELLED_BOUND,
     seed: int = 0,
 ) -> DataFrame:
     """``key``, ``log_weight``, ``gumbel_key`` and ``selected`` for every row of ``docs``.
 
-    ``share`` of the rows is drawn; unset, the share of good rows among the labelled ones. The
-    target model reads at most about ``bound`` labelled rows.
+    ``share`` of the rows is drawn; unset, the share of good rows (``label`` 1) among all labelled
+    ones. Keys with several labels take the largest; null keys and labels are left out.
     """
-    sample = labelled_sample(labels, label, bound, key)
+    known = saved(
+        labels.select(F.col(key), F.col(label))
+        .where(F.col(key).isNotNull() & F.col(label).isNotNull())
+        .groupBy(key)
+        .agg((F.max(label) == 1).alias("good")),
+        "labelled",
+    )
+    n_good, n_known = known.agg(F.count_if("good"), F.count("*")).first()
     if share is None:
-        share = sample.agg(F.avg(F.expr(f"double({label} = 1)"))).first()[0]
-        share = 1.0 if share is None else share
-    good = sample.where(F.col(label) == 1).select(key, F.lit(True).alias("good"))
+        share = n_good / n_known if n_known else 1.0
+    good = known.where("good").select(key, "good")
+    if n_good <= MOST_BROADCAST:
+        good = F.broadcast(good)
     rows = docs.select(F.col(key), F.col(text).alias("text"))
-    marked = rows.join(F.broadcast(good), key, "left").withColumn("good", F.expr("good is not null"))
+    marked = rows.join(good, key, "left").withColumn("good", F.expr("good is not null"))
     ratios = log_ratios(count_ngrams(marked, buckets), buckets)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52))
     noise = -F.log(-F.log((draw + 0.5) / float(1 << 52)))

@@ -489,6 +489,52 @@ def test_importance_weights(spark):
     assert sum(r.selected for r in rows if r.doc_id < 60) >= 55
 
 
+
+def test_weights_equal_plain_counting(spark):
+    """Log weights, keys with noise and the draw from plain n-gram counts of all labelled texts."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["Red", "green", "blue", "x1", "é", "a-b"], k=rng.randrange(1, 30)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, rows[0][1]), (202, rows[1][1])]
+    labels_ = [(i, i % 3 % 2) for i in range(120)] + [(3, 1), (None, 1), (5, None), (999, 1)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
+    marks = spark.createDataFrame(labels_, "doc_id BIGINT, quality INT")
+
+    def grams(text):
+        w = re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or "")
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in w]
+        return w + list(zip(w, w[1:]))
+
+    best = {}
+    for i, q in labels_:
+        if i is not None and q is not None:
+            best[i] = max(best.get(i, 0), q)
+    raw = collections.Counter(g for _, t in rows for g in grams(t))
+    target = collections.Counter(g for i, t in rows if best.get(i) == 1 for g in grams(t))
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    # so many buckets that no two of these n-grams share one
+    got = importance.resample(df, marks, buckets=1 << 22).collect()
+    want = {}
+    for i, t in rows:
+        weight = sum(math.log((target[g] + 1000 * raw[g] / n_raw) / (n_target + 1000) / (raw[g] / n_raw)) for g in grams(t))
+        want.setdefault(i, []).append(round(weight, 6))
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r.doc_id].append(round(r.log_weight, 6))
+    assert {i: sorted(v) for i, v in found.items()} == {i: sorted(v) for i, v in want.items()}
+    share = sum(best.values()) / len(best)
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    least = keys[round(share * len(rows)) - 1]
+    assert all(r.selected == (r.gumbel_key >= least) for r in got)
+
+
+def test_kth_largest_of_values_that_no_bin_tells_apart(spark, monkeypatch):
+    monkeypatch.setattr(importance, "_LAST_BIN", 10)
+    values = [1.0 + k * 2**-52 for k in range(6)] * 40 + [2.0]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    for k in (1, 2, 41, 42, 200, 241, 500):
+        assert importance.kth_largest(df, "v", k) == sorted(values, reverse=True)[min(k, len(values)) - 1]
+
+
 def test_importance_edges(odd, empty, labels):
     for target in (labels, labels.limit(0)):
         assert importance.resample(odd, target).count() == odd.count()
