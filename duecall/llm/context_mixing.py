@@ -7,7 +7,10 @@ it so far; each looks up, under its context and the bits of the byte so far, how
 and added with weights chosen by a gate: how often the two longest contexts were seen. The weights
 are learned online, over the training words in batches, each word without one of its own
 occurrences. Within a text the result is refined as the text goes on: words seen before in it
-become likelier, in several strengths, and the strengths are weighed by how well they did so far.
+become likelier, and those that followed the previous word before still more, in several strengths,
+and the strengths are weighed by how well they did so far. So the order of words counts, but which
+word follows which is learned from the text at hand alone: pairs of words counted over the corpus
+would need more shuffled data than the corpus itself.
 
 All statistics come from all training texts. Texts become lists of word numbers in chunks of about
 ``CHUNK_BYTES``, each with its own list of distinct words; the words meet the vocabulary in one
@@ -45,6 +48,9 @@ CHUNK_BYTES = 24 << 20
 PACKED_ROWS = 1 << 18
 CONTEXTS = 4
 STRENGTHS = (2.0, 10.0, 50.0, 250.0)
+# of the previous word's followers, on top of each of these
+PAIR_STRENGTHS = (1.0, 8.0)
+PAIRED = (10.0, 50.0)
 HEADS = (2, 4)  # bytes of a word's beginnings that texts adapt to
 _LEVELS = np.array([1, 3, 10, 100])
 GATES = (len(_LEVELS) + 1) ** 2
@@ -433,11 +439,17 @@ def _adapted(word: np.ndarray, at: np.ndarray, keys: list, logs: np.ndarray) ->
     """Log probability of each text (words ``at[i]`` to ``at[i + 1]``).
 
     A word is its first bytes, more of them, and the whole: each step given the one before has the
-    model's probability, refined by how often the text took that step so far.
+    model's probability, refined by how often the text took that step so far. What comes out is
+    refined once more by how often the word followed the one before it.
     """
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     above = np.arange(len(word)) - at[row]
     counts = [above, *(_seen_before(key[word], row) for key in keys)]
+    before = np.concatenate(([0], word[:-1])) + 1
+    before[at[:-1][np.diff(at) > 0]] = 0
+    _, pair = np.unique(before * (len(logs) + 1) + word, return_inverse=True)
+    followed, followers = _seen_before(pair, row), _seen_before(before, row)
+    never = followed == 0
     steps = np.diff(logs, axis=1, prepend=0.0)
     chances = np.exp(steps)[word]
     steps = steps[word]
@@ -451,6 +463,10 @@ def _adapted(word: np.ndarray, at: np.ndarray, keys: list, logs: np.ndarray) ->
             mixed = np.log((counts[k + 1] + strength * np.where(new, 1.0, chances[:, k])) / bottom)
             total += mixed + np.where(new, steps[:, k], 0.0)
         experts.append(np.bincount(row, total, len(at) - 1))
+        for more in PAIR_STRENGTHS if strength in PAIRED else ():
+            chance = np.where(never, 1.0, np.exp(total))
+            mixed = np.log((followed + more * chance) / (followers + more)) + np.where(never, total, 0.0)
+            experts.append(np.bincount(row, mixed, len(at) - 1))
     # weighing by success so far, from equal weights on, multiplies out to the mean of the products
     stacked = np.stack(experts)
     top = stacked.max(axis=0)

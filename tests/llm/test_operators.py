@@ -416,13 +416,22 @@ def test_adapted_scores_equal_plain_refinement():
     for text, log in zip(texts, got):
         experts = [sum(logs[w, -1] for w in text)]
         for strength in context_mixing.STRENGTHS:
-            total, seen = 0.0, collections.Counter()
-            for w in text:
-                path = [(0, 0), *((k + 1, int(heads[k, w])) for k in range(2)), (3, int(w))]
+            seen, followers = collections.Counter(), collections.defaultdict(collections.Counter)
+            more = context_mixing.PAIR_STRENGTHS if strength in context_mixing.PAIRED else ()
+            totals, before = [0.0] * (1 + len(more)), None
+            for w in text.tolist():
+                path = [(0, 0), *((k + 1, int(heads[k, w])) for k in range(2)), (3, w)]
+                chance = 1.0
                 for k in range(3):
-                    total += math.log((seen[path[k + 1]] + strength * steps[w, k]) / (seen[path[k]] + strength))
+                    chance *= (seen[path[k + 1]] + strength * steps[w, k]) / (seen[path[k]] + strength)
                 seen.update(path)
-            experts.append(total)
+                totals[0] += math.log(chance)
+                known = followers[before]
+                for k, m in enumerate(more, 1):
+                    totals[k] += math.log((known[w] + m * chance) / (known.total() + m))
+                known[w] += 1
+                before = w
+            experts += totals
         top = max(experts)
         assert math.isclose(log, top + math.log(sum(math.exp(e - top) for e in experts) / len(experts)), rel_tol=1e-9)
 
@@ -455,6 +464,23 @@ def test_every_context_keeps_its_own_counts(spark):
                     assert held.sums[bits][row] == mine[low : low + (1 << (8 - bits))].sum()
 
 
+
+def test_order_of_words_counts(spark):
+    """Texts with turns of phrase score higher than the same words in any order."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
+    rows = []
+    for i in range(60):
+        phrases = [rng.choices(vocabulary, k=5) for _ in range(6)]
+        rows.append((i, " ".join(w for _ in range(30) for w in rng.choice(phrases))))
+    mixed = [(1000 + i, " ".join(rng.sample(w := t.split(), len(w)))) for i, t in rows]
+    df = spark.createDataFrame(rows + mixed, "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r for r in context_mixing.score_texts(df, F.col("doc_id") % 1000 >= 20).collect()}
+    held = range(20, 60)
+    assert all(got[i].score > got[1000 + i].score + 20 for i in held)
+    assert all(math.isclose(got[i].base_score, got[1000 + i].base_score) for i in held)
+
+
 def test_context_mixing_edges(odd, empty):
     held = fold_of(F.col("doc_id"), 7) == 2
     rows = context_mixing.score_texts(odd, held, slot_bits=14).collect()
