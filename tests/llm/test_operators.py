@@ -856,6 +856,27 @@ def test_pipeline_keeps_clean_documents(spark, documents):
     assert len(kept["segmentation"]) == len(set(kept["segmentation"])) > 100
     assert docs.where("not samples[0].intact").count() == 0
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id BIGINT, text STRING").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "samples"} <= set(out.columns)
+
+
+def test_ties(spark):
+    """Equal windows: the first counts. Equal distances: the first language by name."""
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six")], "item_id BIGINT, text STRING")
+    text = "x one two three four five six y one two three four five six"
+    df = spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING")
+    found = decontaminate.with_leaks(df, bench).select(F.inline("leaks")).collect()
+    assert sorted((r.item_id, r.similarity, r.start_word) for r in found) == [(1, 1.0, 1), (2, 1.0, 1)]
+    both = spark.createDataFrame([(1, "abc abd", "xx"), (2, "abc abd", "aa")], "doc_id BIGINT, text STRING, lang STRING")
+    profiles = language_id.learn_profiles(both)
+    assert {r.lang_pred for r in language_id.identify(both, profiles).collect()} == {"aa"}
+
 
 def test_registered(spark):
     import __spark_entry__ as contract
