@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duecall.schemas import GOLD, LABELLED_OUTPUT, LABELLED_PAIR
+from duecall.sources.csv_records import read_csv
 from duecall.sources.json_records import json_records
 from duecall.vocabulary import GOLD_SUFFIX
 
@@ -33,12 +34,14 @@ def read_transcripts(
     """Rows of a CSV or JSON file (or folder of files), every value as text.
 
     A file that cannot be read fails the job. JSON may be an array or one object after another,
-    over any number of lines; many tasks read one file. CSV with ``whole_files`` allows line breaks
-    inside fields, at the price of one task per file. For line-based files pass False: Spark then
-    splits them itself, without the passes that find where records begin. JSON without a ``schema``
+    over any number of lines, and CSV fields may hold line breaks; many tasks read one file (but for
+    CSV with a ``schema``: one task then). For line-based files pass ``whole_files=False``: Spark
+    then splits them itself, without the passes that find where records begin. JSON without a ``schema``
     has the keys as columns in the order in which they first appear, lists and objects as JSON text.
     """
     kind = file_format(path, fmt)
+    if kind == "csv" and whole_files and schema is None:
+        return read_csv(spark, path)
     if kind == "csv":
         reader = spark.read.option("mode", "FAILFAST").option("multiLine", whole_files)
         # a file whose header has another order fails instead of being read by position

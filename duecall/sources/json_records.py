@@ -49,7 +49,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
     """The batches in small slices, cut where a byte range ends; rows of a range are neighbours, in
     order."""
     for batch in batches:
@@ -109,7 +109,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=[c.split()[0] for c in _SUMMARY.split(", ")],
         )
 
-    for key, batch in _ranges(batches):
+    for key, batch in ranges(batches):
         if key != own:
             if own is not None:
                 yield row()
@@ -220,62 +220,52 @@ class _Cutter:
             yield ("middle" if self.headless else "tail"), bytes(self.open)
 
 
+PARTS = "file string, block bigint, place bigint, kind string, value binary"
+
+
+def record_batches(
+    own: tuple[str, int], place: int, found: list[tuple[str, bytes]]
+) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PARTS`` for what was found in a range, from ``place`` on."""
+    if found:
+        n = len(found)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([own[0]] * n, pa.string()),
+                pa.array([own[1]] * n, pa.int64()),
+                pa.array(range(place, place + n), pa.int64()),
+                pa.array([kind for kind, _ in found]),
+                pa.array([text for _, text in found], pa.binary()),
+            ],
+            names=[c.split()[0] for c in PARTS.split(", ")],
+        )
+
+
 def _cut_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own, cutter, place = None, None, 0
-
-    def rows(found: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-        nonlocal place
-        kinds, texts = [], []
-        for kind, text in found:
-            kinds.append(kind)
-            texts.append(text)
-        if kinds:
-            n = len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([own[0]] * n, pa.string()),
-                    pa.array([own[1]] * n, pa.int64()),
-                    pa.array(range(place, place + n), pa.int64()),
-                    pa.array(kinds),
-                    pa.array(texts, pa.binary()),
-                ],
-                names=["file", "block", "place", "kind", "value"],
-            )
-            place += n
-
-    for key, batch in _ranges(batches):
+    for key, batch in ranges(batches):
         if key != own:
             if cutter:
-                yield from rows(cutter.rest())
+                yield from record_batches(own, place, list(cutter.rest()))
             begins = batch.column("begins")[0].as_py()
             own, place = key, 0
             cutter = _Cutter(begins["inside"] == 1, begins["depth"], begins["level"])
-        yield from rows(cutter.cut(_bytes(batch)))
+        found = list(cutter.cut(_bytes(batch)))
+        yield from record_batches(own, place, found)
+        place += len(found)
     if cutter:
-        yield from rows(cutter.rest())
+        yield from record_batches(own, place, list(cutter.rest()))
 
 
-def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``block``, ``place`` and ``value`` (JSON text) of every record under ``path``.
-
-    The table of byte ranges goes to every task: about a hundred bytes per range of, by default,
-    128 MB. The records are written once, as their readers ask for keys and values.
-    """
-    pieces = _pieces(spark, path)
-    begins = F.broadcast(_beginnings(pieces))
-    same = (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
-    known = pieces.join(begins, same).select("file", "block", "value", "begins")
-    cut = known.mapInArrow(
-        _cut_ranges, "file string, block bigint, place bigint, kind string, value binary"
-    )
+def put_together(parts: DataFrame, unclosed: str) -> DataFrame:
+    """Whole records from ``PARTS``: a record that crosses ranges belongs to the one it begins in."""
     text = F.col("value").cast("string")
-    parts = written(cut, "records")
     records = parts.where("kind = 'record'").select("file", "block", "place", text.alias("value"))
-    # a record that crosses ranges belongs to the range it begins in
     order = Window.partitionBy("file").orderBy("block", "place")
     began = F.last(F.when(F.col("kind") == "tail", F.struct("block", "place")), ignorenulls=True)
     crossing = parts.where("kind <> 'record'").withColumn("of", began.over(order))
     piece = F.struct("block", "place", "kind", "value")
+    whole = F.array_join(F.transform("pieces", lambda p: p["value"].cast("string")), "")
     joined = (
         crossing.groupBy("file", "of")
         .agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
@@ -283,12 +273,23 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
             "file",
             "of.block",
             "of.place",
-            F.when(
-                F.element_at("pieces", -1)["kind"] == "head",
-                F.array_join(F.transform("pieces", lambda p: p["value"].cast("string")), ""),
-            )
-            .otherwise(F.raise_error(F.lit("malformed JSON: the last record of a file is cut short")))
+            F.when(F.element_at("pieces", -1)["kind"] == "head", whole)
+            .otherwise(F.raise_error(F.lit(unclosed)))
             .alias("value"),
         )
     )
     return records.union(joined)
+
+
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``block``, ``place`` and ``value`` (JSON text) of every record under ``path``.
+
+    The table of byte ranges goes to every task: about a hundred bytes per range of, by default,
+    128 MB. The records are written once, as their readers ask for keys and values.
+    """
+    pieces = _pieces(spark, path)
+    begins = F.broadcast(_beginnings(pieces))
+    same = (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))
+    known = pieces.join(begins, same).select("file", "block", "value", "begins")
+    parts = written(known.mapInArrow(_cut_ranges, PARTS), "records")
+    return put_together(parts, "malformed JSON: the last record of a file is cut short")

@@ -12,6 +12,7 @@ from duecall.operators.parse import split_errors
 from duecall.plans.evaluation import evaluate
 from duecall.plans.predict import predict, predict_file
 from duecall.sources import files, sinks, turns
+from duecall.sources.csv_records import csv_records
 from duecall.sources.json_records import json_records
 from duecall.streaming import jobs
 
@@ -168,6 +169,50 @@ def test_small_json_files(spark, tmp_path, text, want):
     assert len(files.read_transcripts(spark, str(tmp_path / "calls.json")).columns) == len(set(want) and {"a", "b"} & {c for c in "ab" if f'"{c}"' in text})
 
 
+
+@pytest.mark.parametrize("size", ["150", "10000000"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_with_line_breaks_is_read_by_many_tasks(spark, tmp_path, size, end):
+    import csv
+    import io
+
+    rng = random.Random(int(size))
+    odd = ['a "quoted", field', "two\nlines", "\n\n", "", 'ends with "', '"', "é 日本", " blank ", "1,2", "x" * 200, "a\n\"b\nc\"\n"]
+    rows = [[str(i), rng.choice(odd), rng.choice(odd), '5" pipe' if i % 2 else "7'"] for i in range(25)]
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=end)
+    writer.writerows([["id", "call text", "a.b", "last"], *rows[:-1]])
+    # a quote inside a field that does not begin with one is a plain character
+    text = out.getvalue().replace('"5"" pipe"', '5" pipe') + end + end + '24,x,y,z'
+    rows[-1] = ["24", "x", "y", "z"]
+    (tmp_path / "calls.csv").write_bytes(text.encode())
+    before = _splits(spark, size)
+    try:
+        df = files.read_transcripts(spark, str(tmp_path / "calls.csv"))
+        assert df.columns == ["id", "call text", "a.b", "last"]
+        got = sorted((tuple(v or "" for v in r) for r in df.collect()), key=lambda r: int(r[0]))
+        assert got == [tuple(r) for r in rows]
+        blocks = csv_records(spark, str(tmp_path / "calls.csv")).select("block").distinct().count()
+        assert blocks > 3 if size == "150" else blocks == 1
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_csv_edges(spark, tmp_path):
+    def read(text):
+        path = tmp_path / f"{random.random()}.csv"
+        path.write_text(text, encoding="utf-8")
+        return files.read_transcripts(spark, str(path))
+
+    assert read("").columns == [] and read("a,b\n").count() == 0
+    assert read("a,,a\n1,2,3").columns == ["a0", "_c1", "a2"]
+    assert [tuple(r) for r in read("\ufeffa,b\n\n1,\n").collect()] == [("1", None)]
+    for broken in ('a,b\n1,"open\n2,3\n', "a,b\n1,2,3\n"):
+        with pytest.raises(Exception, match="(?i)not closed|malformed"):
+            read(broken).collect()
+
+
 @pytest.mark.parametrize("lines", [True, False])
 def test_key_order_of_whole_records(spark, tmp_path, lines):
     """A first field of 70,000 characters does not hide what follows it."""
