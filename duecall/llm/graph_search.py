@@ -40,13 +40,14 @@ from duecall.llm.shared import saved
 
 K = 10
 SHARD_ROWS = 8192
-DEGREE = 32
-BEAM = 64
+DEGREE = 48
+BEAM = 96
 ALPHA = 1.2
 BLOCK = 16_384
 MOST_PARTS = 100_000
 _WIDTH = 4  # nodes whose edges are followed in one step
 _BATCH = 256  # searches that advance together
+_GAPS = 8_000_000  # distances between candidates that are held at once
 
 
 def _apart(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,8 +123,15 @@ def prune(
     order = np.argsort(near, axis=1, kind="stable")
     found, near = np.take_along_axis(found, order, 1), np.take_along_axis(near, order, 1)
     used = max(int((found >= 0).sum(axis=1).max(initial=0)), 1)
+    step = max(1, _GAPS // used**2)
+    if len(of) > step:
+        parts = range(0, len(of), step)
+        return np.concatenate(
+            [prune(x, of[k : k + step], found[k : k + step, :used], degree, alpha) for k in parts]
+        )
     found, near = found[:, :used], near[:, :used]
-    points = x[found]
+    # as seen from the node, so that vectors that lie close together can be told apart
+    points = x[found] - x[of][:, None, :]
     square = np.einsum("nmd,nmd->nm", points, points)
     between = square[:, :, None] + square[:, None, :] - 2 * points @ points.transpose(0, 2, 1)
     alive = found >= 0

@@ -125,6 +125,26 @@ def test_hot_vector_and_ties(spark):
     assert len({g[2] for g in got if g[0] == 1} & {w[2] for w in want if w[0] == 1}) >= 9
 
 
+
+def test_recall_beside_a_crowd_of_near_copies(spark):
+    """Vectors all over a sphere, a third of them close around one point."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] + rng.normal(size=(1000, 64)) * 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x.astype(np.float32).astype(float)
+    df = frame(spark, list(enumerate(x.tolist())))
+    got = defaultdict(set)
+    for r in graph_search.nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 20):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(got[q] & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 1500
+
+
 def test_graph_search_edges(spark):
     vectors = some_vectors(6)
     rows = [(i if i else None, v) for i, v in enumerate(ODD)] + [(100 + i, v) for i, v in enumerate(vectors)]
