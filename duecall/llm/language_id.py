@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import unicodedata
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

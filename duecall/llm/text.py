@@ -154,10 +154,3 @@ def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def uniform(seed: np.ndarray) -> np.ndarray:
     """A number in (0, 1) for each 64-bit seed."""
     return ((mix(seed) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-
-
-def seed_of(name: str) -> int:
-    """Fixed 64-bit number of a name."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(name)
