@@ -18,8 +18,9 @@ texts to components. A bucket whose texts then lie in one component is settled.
 task each, signatures only, to find the texts that agree enough with one of another component; a
 pair belongs to the first bucket it shares. Those texts, once per bucket, meet in a task that
 compares their bags and gives the links that join components, so a group of n texts gives at most
-n - 1 links, however many pairs were compared. An unsettled bucket of more than ``CROWDED`` texts is
-split by a further band that its texts share, and again if need be.
+n - 1 links, however many pairs were compared. An unsettled bucket of more than ``CROWDED`` texts goes
+to several tasks: its texts are dealt into blocks, and every two blocks meet in one of them, so each of
+its pairs is compared, in bounded memory.
 
 Exact copies (equal word sequences) are one node from the start. Hot buckets and hot nodes only
 meet in joins whose other side is one row per key and a fresh exchange, which the runtime can
@@ -232,51 +233,50 @@ def _fits(least: float) -> Column:
     return F.expr(f"least(size, other) >= {least} * greatest(size, other)")
 
 
-def _close_pairs(key: int, table: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a bucket, across components, that agree and belong to this bucket; all pairs
-    of a row come together."""
-    size, comp = table["size"].to_numpy(), table["comp"].to_numpy()
+def _close_pairs(table: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a tile, across components, that agree and belong to its bucket; all pairs of
+    a row come together. In a tile of two blocks each pair has a row of either."""
+    size, comp, block = (table[c].to_numpy() for c in ("size", "comp", "block"))
     n = len(size)
+    key, two = table["key"][0].as_py(), block.min() != block.max()
     sign = np.frombuffer(b"".join(table["sign"].to_pylist()), "<u2").reshape(n, -1)
     bands = pc.list_flatten(table["bands"].combine_chunks()).to_numpy().reshape(n, -1)
-    # parts of a split bucket have a key of their own: all their pairs belong to them
-    whole = (bands[0] == key).any()
     step = max(1, 1_000_000 // n)
     for lo in range(0, n, step):
         some = slice(lo, lo + step)
         other = comp[some, None] != comp[None, :]
         other &= np.minimum(size[some, None], size) >= least * np.maximum(size[some, None], size)
         other &= np.arange(n) > np.arange(n)[some, None]
+        if two:
+            other &= block[some, None] != block[None, :]
         left, right = [], []
         i, j = np.nonzero(other)
         for at in range(0, len(i), 50_000):
             x, y = i[at : at + 50_000] + lo, j[at : at + 50_000]
             close = (sign[x] == sign[y]).sum(axis=1) >= LEAST_AGREE
             x, y = x[close], y[close]
-            if whole and len(x):
-                shared = (bands[x] == bands[y]).argmax(axis=1)
-                own = bands[x, shared] == key
-                x, y = x[own], y[own]
-            left.append(x)
-            right.append(y)
+            shared = (bands[x] == bands[y]).argmax(axis=1)
+            own = bands[x, shared] == key
+            left.append(x[own])
+            right.append(y[own])
         if left:
             yield np.concatenate(left), np.concatenate(right)
 
 
 def _met(least: float):
-    def find(key: tuple, table: pa.Table) -> pa.Table:
+    def find(table: pa.Table) -> pa.Table:
         met = np.zeros(table.num_rows, bool)
-        for x, y in _close_pairs(key[0].as_py(), table, least):
+        for x, y in _close_pairs(table, least):
             met[x] = met[y] = True
-        return table.select(["key", "node"]).filter(pa.array(met))
+        return table.select(["tile", "node"]).filter(pa.array(met))
 
     return find
 
 
 def _joining(least: float):
-    """Links of a bucket's texts that join components."""
+    """Links of a tile's texts that join components."""
 
-    def join(key: tuple, table: pa.Table) -> pa.Table:
+    def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
         shingle, weight, row, _ = bags(*flat(table["text"].combine_chunks()))
@@ -285,7 +285,7 @@ def _joining(least: float):
         total = np.bincount(row, weight, len(node))
         names, group = np.unique(comp, return_inverse=True)
         left, right = [], []
-        for x, y in _close_pairs(key[0].as_py(), table, least):
+        for x, y in _close_pairs(table, least):
             mine = np.zeros(len(kinds))
             start, count = runs(x)
             for at, n in zip(start.tolist(), count.tolist(), strict=True):
@@ -311,27 +311,21 @@ def _joining(least: float):
     return join
 
 
-def _split(rest: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """``rest`` with buckets of more than ``most`` texts split by further bands of their texts.
+def _tiled(rest: DataFrame, most: int) -> DataFrame:
+    """``rest`` (``key``, ``node``, ``size``) with the task each row goes to: ``tile`` and ``block``.
 
-    Texts that are alike share a band in three, so a pair of them meets again in some part; a part
-    that is still too large is split once more, up to five bands in all.
+    A bucket of more than ``most`` texts is dealt into blocks of about half as many, and a tile holds
+    two blocks, or one for the pairs within it; so every pair of a bucket meets in exactly one tile.
     """
-    kept = None
-    parts = rest.select(F.array("key").alias("keys"), *[c for c in rest.columns if c != "key"])
-    for depth in range(5):
-        counted = parts.groupBy("keys").agg(F.count("*").alias("n")).where("n > 1")
-        sized = saved(parts.join(counted, "keys"), "parts")
-        fine = sized.where(F.col("n") <= most) if depth < 4 else sized
-        fine = fine.withColumn("key", F.xxhash64("keys")).drop("keys", "n")
-        kept = fine if kept is None else kept.union(fine)
-        large = sized.where(F.col("n") > most).drop("n")
-        if depth == 4 or large.isEmpty():
-            return kept
-        further = large.join(nodes.select("node", "bands"), "node")
-        band = F.explode(F.array_except("bands", "keys")).alias("band")
-        wider = further.select("*", band).withColumn("keys", F.array_sort(F.array_append("keys", "band")))
-        parts = saved(wider.drop("bands", "band").distinct(), "wider")
+    counted = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = saved(rest.join(counted, "key"), "parts")
+    whole = sized.where(F.col("n") <= most).drop("n")
+    whole = whole.select("*", F.col("key").alias("tile"), F.lit(0).cast("bigint").alias("block"))
+    blocks = F.expr(f"bigint(ceil(2 * n / {most}))")
+    dealt = sized.where(F.col("n") > most).withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return whole.union(met.select(*rest.columns, tile.alias("tile"), "block"))
 
 
 def _links(sketched: DataFrame, least: float, most_texts: int = CROWDED) -> DataFrame:
@@ -372,21 +366,21 @@ def _links(sketched: DataFrame, least: float, most_texts: int = CROWDED) -> Data
     compared = _compare(saved(close(pairs.distinct()), "pairs"), texts, least)
     comps = saved(components(compared.where("linked").select("a", "b")), "components")
 
-    def unsettled(buckets: DataFrame) -> DataFrame:
-        """Rows of the buckets whose texts lie in several components."""
-        placed = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    def unsettled(rows: DataFrame, of: str) -> DataFrame:
+        """Rows of the buckets or tiles whose texts lie in several components."""
+        placed = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         placed = saved(placed, "placed")
-        spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        mixed = saved(spread.where("low <> high").select("key"), "mixed")
-        return placed.join(mixed, "key")
+        spread = placed.groupBy(of).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        mixed = saved(spread.where("low <> high").select(of), "mixed")
+        return placed.join(mixed, of)
 
-    rest = _split(unsettled(members.select("key", "node", "size")).drop("comp"), nodes, most_texts)
+    tiles = _tiled(unsettled(members.select("key", "node", "size"), "key").drop("comp"), most_texts)
     facts = nodes.select("node", "sign", "bands")
-    spread = saved(unsettled(rest.select("key", "node", "size")).join(facts, "node"), "spread")
-    spread = spread.select("key", "node", "size", "comp", "sign", "bands")
-    met = spread.groupBy("key").applyInArrow(_met(least), "key bigint, node bigint")
-    whole = spread.join(saved(met, "met"), ["key", "node"]).join(texts, "node")
-    joining = whole.groupBy("key").applyInArrow(_joining(least), "a bigint, b bigint")
+    spread = saved(unsettled(tiles, "tile").join(facts, "node"), "spread")
+    spread = spread.select("tile", "key", "block", "node", "size", "comp", "sign", "bands")
+    met = spread.groupBy("tile").applyInArrow(_met(least), "tile bigint, node bigint")
+    whole = spread.join(saved(met, "met"), ["tile", "node"]).join(texts, "node")
+    joining = whole.groupBy("tile").applyInArrow(_joining(least), "a bigint, b bigint")
     links = compared.where("linked").select("a", "b").union(saved(joining, "joining"))
     return saved(components(links), "components")
 

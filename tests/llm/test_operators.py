@@ -319,6 +319,25 @@ def test_split_buckets_lose_no_link(spark, most):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
 
 
+def test_crowded_bucket_compares_all_its_pairs(spark):
+    """Texts that share one bucket and no other band: its links are found, however it is dealt."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(15):
+        base = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(120)]
+        texts += [" ".join(base), " ".join([*base, "end"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    sketched = near_dedup._sketched(df, "text", ["doc_id"])
+    alone = F.transform(F.sequence(F.lit(1), F.lit(near_dedup.BANDS - 1)), lambda k: F.xxhash64("node", k))
+    sketched = near_dedup.saved(sketched.withColumn("bands", F.concat(F.array(F.lit(7).cast("bigint")), alone)), "one")
+    ids = {r.node: r.held.doc_id for r in sketched.select("held", "node").collect()}
+    for most in (4, 20, 1000):
+        groups = collections.defaultdict(set)
+        for r in near_dedup._links(sketched, 0.8, most).collect():
+            groups[r.comp].add(ids[r.node])
+        assert sorted(map(sorted, groups.values())) == [[k, k + 1] for k in range(0, 30, 2)]
+
+
 def test_components_of_a_chain(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (7, 7)]
     df = spark.createDataFrame(chain, "a BIGINT, b BIGINT")
