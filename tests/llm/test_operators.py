@@ -602,6 +602,24 @@ def test_factors_learn_a_pair(spark):
 
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    """Shards of about 500 rows: terms that single shards hardly know are learned from all of them."""
+    rng, rows = random.Random(8), []
+    for i in range(6000):
+        rare, insult, group = rng.randrange(30), rng.random() < 0.4, rng.random() < 0.4
+        w = rng.choices([f"w{k}" for k in range(40)], k=8) + [f"bad{rare}x"] * (i % 4 == 0) + [f"good{rare}x"] * (i % 4 == 1)
+        rows.append((i, " ".join(w + ["insult"] * insult + ["group"] * group), int(i % 4 == 0 or (insult and group))))
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT")
+    train, held = df.where("doc_id % 5 <> 0"), df.where("doc_id % 5 = 0")
+    models = [toxicity.fit(train, df.select("doc_id", "toxic"), bound=500) for _ in range(2)]
+    for k in range(30):
+        term, _ = toxicity.hashed_terms(*flat(pa.array([f"bad{k}x"])))
+        assert models[0].linear[models[0].find(term)[0]].sum() > 0
+    got = toxicity.score(held, models[0]).collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
+    assert [r.score for r in got] == [r.score for r in toxicity.score(held, models[1]).collect()]
+
+
 def crossed(rng, marks, most):
     """Texts of noise and of named words, each there or not."""
     words_ = [f"w{i}" for i in range(300)]
