@@ -557,3 +557,19 @@ def test_missing_template_raises(spark):
     with pytest.raises(ValueError, match="no template"):
         synth.synth_gold(seeds, {"hindi": {"PTP": "x"}})
     assert synth.synth_gold(seeds, {"tamil": synth.TEMPLATES["hindi"]}).count() == 5
+
+
+def test_python_gets_bounded_batches(spark):
+    """20 MB of text in one partition reach Python in batches of some megabytes."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from duecall import configure
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    rows = configure(spark).range(0, 4000, 1, 1).select(F.expr("repeat('x', 5000)").alias("text"))
+    found = [r["size"] for r in rows.mapInArrow(sizes, "size bigint").collect()]
+    assert sum(found) >= 20_000_000 and max(found) < 6_000_000
