@@ -36,7 +36,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\r\n")] = True
 _MARK = b"\xef\xbb\xbf"
 # text looked at together, which bounds the memory of a task
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
