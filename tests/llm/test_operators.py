@@ -338,6 +338,25 @@ def test_crowded_bucket_compares_all_its_pairs(spark):
         assert sorted(map(sorted, groups.values())) == [[k, k + 1] for k in range(0, 30, 2)]
 
 
+def test_pipeline_drops_every_copy_of_a_crowded_bucket(spark, monkeypatch):
+    """Texts that share one bucket and no other band, in a bucket far over the bound: one of each pair stays."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(15):
+        base = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(120)]
+        texts += [" ".join(base), " ".join([*base, "end"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    links, sketch = near_dedup._links, near_dedup._sketched
+    alone = F.transform(F.sequence(F.lit(1), F.lit(near_dedup.BANDS - 1)), lambda k: F.xxhash64("node", k))
+    bands = F.concat(F.array(F.lit(7).cast("bigint")), alone)
+    monkeypatch.setattr(near_dedup, "_sketched", lambda *a: near_dedup.saved(sketch(*a).withColumn("bands", bands), "one"))
+    monkeypatch.setattr(near_dedup, "_links", lambda sketched, least: links(sketched, least, 4))
+    kept = corpus_pipeline.apply_near_dedup(spark, df, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 30, 2))
+
+
 def test_components_of_a_chain(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (7, 7)]
     df = spark.createDataFrame(chain, "a BIGINT, b BIGINT")
