@@ -22,6 +22,9 @@ n - 1 links, however many pairs were compared. An unsettled bucket of more than
 to several tasks: its texts are dealt into blocks, and every two blocks meet in one of them, so each of
 its pairs is compared, in bounded memory.
 
+Texts and signatures are moved only for nodes that share a bucket, and at the end for rows that may
+have to go: a filter of hashed keys goes ahead of these joins, so what is written grows with the copies.
+
 Exact copies (equal word sequences) are one node from the start. Hot buckets and hot nodes only
 meet in joins whose other side is one row per key and a fresh exchange, which the runtime can
 split. Nothing but counts comes to the driver.
@@ -41,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duecall.llm.shared import saved
+from duecall.llm.shared import likely, saved, without
 from duecall.llm.text import flat, mix, runs, shingles, slices, span_hashes, uniform, words
 
 SHINGLE = 5
@@ -342,7 +345,7 @@ def _links(sketched: DataFrame, least: float, most_texts: int = CROWDED) -> Data
         keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"),
         "buckets",
     )
-    crowded = saved(keyed.join(shared, "key"), "crowded")
+    crowded = saved(likely(keyed, shared, "key").join(shared, "key"), "crowded")
     # a text that shares many places with others is likely what they are copies of
     places = saved(crowded.groupBy("node").agg(F.sum("n").alias("rank")), "ranks")
     ranked = crowded.drop("n").join(places, "node")
@@ -350,9 +353,13 @@ def _links(sketched: DataFrame, least: float, most_texts: int = CROWDED) -> Data
     first_of = ranked.groupBy("key").agg(F.max_by("node", F.struct("rank", "node")).alias("leader"))
     members = saved(ranked.drop("rank").join(saved(first_of, "leaders"), "key"), "members")
 
+    # from here on only nodes that share a bucket
+    named = saved(members.select("node").distinct(), "named")
+    nodes = saved(likely(nodes, named, "node").join(named, "node", "left_semi"), "met_nodes")
     signs = nodes.select("node", "sign")
-    wanted = nodes.select("node", "row").join(members.select("node").distinct(), "node", "left_semi")
-    texts = saved(sketched.select("row", "text").join(wanted, "row").select("node", "text"), "texts")
+    wanted = nodes.select("node", "row")
+    whole = likely(sketched.select("row", "text"), wanted, "row")
+    texts = saved(whole.join(wanted, "row").select("node", "text"), "texts")
 
     def close(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose signatures agree; a leader is met as often as it leads."""
@@ -379,7 +386,8 @@ def _links(sketched: DataFrame, least: float, most_texts: int = CROWDED) -> Data
     spread = saved(unsettled(tiles, "tile").join(facts, "node"), "spread")
     spread = spread.select("tile", "key", "block", "node", "size", "comp", "sign", "bands")
     met = spread.groupBy("tile").applyInArrow(_met(least), "tile bigint, node bigint")
-    whole = spread.join(saved(met, "met"), ["tile", "node"]).join(texts, "node")
+    met = saved(met, "met")
+    whole = likely(spread, met, "tile", "node").join(met, ["tile", "node"]).join(texts, "node")
     joining = whole.groupBy("tile").applyInArrow(_joining(least), "a bigint, b bigint")
     links = compared.where("linked").select("a", "b").union(saved(joining, "joining"))
     return saved(components(links), "components")
@@ -433,8 +441,10 @@ def drop_near_duplicates(
     """The rows of ``docs`` that are kept: one of each class, with all columns."""
     columns = [c for c in docs.columns if c != text]
     sketched = _sketched(docs, text, columns)
-    _, classes = _classes(sketched.withColumn(key, F.col(f"held.`{key}`")), key, least)
-    chosen = sketched.join(classes.select("row"), "row")
+    rooted, classes = _classes(sketched.withColumn(key, F.col(f"held.`{key}`")), key, least)
+    first = classes.select("root", F.col("row").alias("first"))
+    gone = saved(rooted.join(first, "root").where("row <> first").select("row"), "gone")
+    chosen = without(sketched.select("row", "held", "text"), gone, "row")
     return chosen.select(
         *[
             F.col("text").alias(c) if c == text else F.col(f"held.`{c}`").alias(c)

@@ -27,6 +27,7 @@ from duecall.llm import (
     toxicity,
 )
 from duecall.llm.queries import model_proto, tokenizer_path
+from duecall.llm.shared import likely, without
 from duecall.llm.text import flat, fold_of, shingles, slices, span_hashes, words
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -357,6 +358,46 @@ def test_pipeline_drops_every_copy_of_a_crowded_bucket(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == list(range(0, 30, 2))
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Tables count as too large to be sent to all tasks unasked."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_filters_ahead_of_joins_lose_no_row(spark, no_broadcast):
+    df = spark.range(20_000).selectExpr("nullif(id, 5) as `a.b`", "id as __word", "string(id % 7) as c")
+    for keys in (df.where("__word % 10 = 3 or __word = 5"), df.limit(0)):
+        want = sorted(r["__word"] for r in keys.collect())
+        for on in (["a.b"], ["a.b", "c"]):
+            got = likely(df, keys, *on)
+            ids = {r["__word"] for r in got.collect()}
+            assert got.columns == df.columns and ids >= set(want) and len(ids) < 1.2 * len(want) + 1
+        rest = without(df.withColumnRenamed("a.b", "k"), keys.select(F.col("`a.b`").alias("k")), "k")
+        assert rest.columns == ["k", "__word", "c"]
+        # a null is not among any keys
+        assert sorted(r["__word"] for r in rest.collect()) == sorted({*range(20_000)} - set(want) | {5})
+
+
+def test_texts_without_copies_stay_where_they_are(spark, monkeypatch, no_broadcast):
+    """Of 300 texts only the ten that have a copy, and their copies, go into a join with their texts."""
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts[:10]])), "doc_id BIGINT, text STRING")
+    moved = []
+
+    plain = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, other, *a, **k: (
+        moved.append(self.count()) if "text" in self.columns and "__mask" not in self.columns else None
+    ) or plain(self, other, *a, **k))
+    kept = near_dedup.drop_near_duplicates(df).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(300))
+    assert moved and max(moved) < 60
+
+
 def test_components_of_a_chain(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (7, 7)]
     df = spark.createDataFrame(chain, "a BIGINT, b BIGINT")
