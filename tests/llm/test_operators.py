@@ -680,6 +680,21 @@ def test_all_labelled_rows_are_learned_from(spark):
     assert [r.score for r in got] == [r.score for r in toxicity.score(held, models[1]).collect()]
 
 
+def test_texts_are_not_moved_to_their_labels(spark, monkeypatch, no_broadcast):
+    """Labels go to the shards of term lists; rows without one hardly go there."""
+    rows = [(i, f"word{i % 50} text{i % 3}", i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT")
+    plans, lists = [], []
+    plain = toxicity.saved
+    monkeypatch.setattr(toxicity, "saved", lambda d, label: plans.append((label, d._jdf.queryExecution().toString())) or plain(d, label))
+    pick = toxicity.likely
+    monkeypatch.setattr(toxicity, "likely", lambda *a: lists.append(pick(*a)) or lists[-1])
+    model = toxicity.fit(df.drop("toxic"), df.where("doc_id % 10 < 3").drop("text"))
+    assert "SortMergeJoin" not in dict(plans)["shards"]
+    assert 600 <= lists[0].count() < 700
+    assert model.bias < 0.1
+
+
 def crossed(rng, marks, most):
     """Texts of noise and of named words, each there or not."""
     words_ = [f"w{i}" for i in range(300)]
