@@ -40,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duecall.llm.shared import saved
-from duecall.llm.text import flat, lower_ascii, mix, runs, slices, span_hashes, words
+from duecall.llm.text import distinct, flat, lower_ascii, mix, runs, slices, span_hashes, words
 
 SLOT_BITS = 55  # of hash per context; a byte follows in the key
 BLOCK_BYTES = 1 << 20
 CHUNK_BYTES = 24 << 20
 PACKED_ROWS = 1 << 18
+TEXTS = 64  # scored together
 CONTEXTS = 4
 STRENGTHS = (2.0, 10.0, 50.0, 250.0)
 # of the previous word's followers, on top of each of these
@@ -92,26 +93,24 @@ def _chunk_words(column: pa.Array, train: np.ndarray):
         data, at = flat(column.slice(a, b - a))
         data = lower_ascii(data)
         start, end, row = words(data, at)
-        distinct, first, own = np.unique(
-            span_hashes(data, start, end), return_index=True, return_inverse=True
-        )
+        different, first, own = distinct(span_hashes(data, start, end))
         raw = data.tobytes()
         spelled += [raw[x:y] for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        hashes.append(distinct)
-        often.append(np.bincount(own, minlength=len(distinct)))
-        seen.append(np.bincount(own, train[a + row], len(distinct)))
+        hashes.append(different)
+        often.append(np.bincount(own, minlength=len(different)))
+        seen.append(np.bincount(own, train[a + row], len(different)))
         numbers.append(own.astype(np.uint32))
         counts.append(np.bincount(row, minlength=b - a))
-    every, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    every, first, back = distinct(np.concatenate(hashes))
     # frequent words get small numbers, which compress well
     order = np.argsort(-np.bincount(back, np.concatenate(often), len(every)), kind="stable")
     rank = np.empty(len(every), np.uint32)
     rank[order] = np.arange(len(every))
     total = np.bincount(back, np.concatenate(seen), len(every)).astype(np.int64)[order]
     lists, place = [], 0
-    for distinct, own, count in zip(hashes, numbers, counts, strict=True):
-        word = rank[back[place : place + len(distinct)]][own].astype("<u4")
-        place += len(distinct)
+    for different, own, count in zip(hashes, numbers, counts, strict=True):
+        word = rank[back[place : place + len(different)]][own].astype("<u4")
+        place += len(different)
         cut = np.cumsum(count)
         lists += [_planes(word[x:y]) for x, y in zip((cut - count).tolist(), cut.tolist(), strict=True)]
     return lists, [spelled[k] for k in first[order].tolist()], total
@@ -426,12 +425,25 @@ def word_logs(column: pa.Array, table: _Counts, weights: np.ndarray) -> tuple[np
 
 
 def _seen_before(key: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """How often each key (below 2^32) occurred before in its row."""
-    both = (row << 32) | key
-    order = np.argsort(both, kind="stable")
-    start = np.flatnonzero(np.diff(both[order], prepend=-1))
-    before = np.empty(len(key))
-    before[order] = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
+    """How often each key occurred before in its row."""
+    n = len(key)
+    if not n:
+        return np.zeros(0)
+    wide, low = int(key.max()).bit_length(), n.bit_length()
+    if int(row.max()).bit_length() + wide + low > 63:
+        _, key = np.unique(key, return_inverse=True)
+        both = (row << 32) | key
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+    else:
+        # with its place in the lowest bits a key needs no stable sort, which takes far longer
+        both = (((row << wide) | key) << low) | np.arange(n)
+        both.sort()
+        order = both & ((1 << low) - 1)
+        both >>= low
+    start, count = runs(both)
+    before = np.empty(n)
+    before[order] = np.arange(n) - np.repeat(start, count)
     return before
 
 
@@ -447,24 +459,28 @@ def _adapted(word: np.ndarray, at: np.ndarray, keys: list, logs: np.ndarray) ->
     counts = [above, *(_seen_before(key[word], row) for key in keys)]
     before = np.concatenate(([0], word[:-1])) + 1
     before[at[:-1][np.diff(at) > 0]] = 0
-    _, pair = np.unique(before * (len(logs) + 1) + word, return_inverse=True)
+    pair = before * (len(logs) + 1) + word
     followed, followers = _seen_before(pair, row), _seen_before(before, row)
     never = followed == 0
-    steps = np.diff(logs, axis=1, prepend=0.0)
-    chances = np.exp(steps)[word]
-    steps = steps[word]
-    experts = [np.bincount(row, logs[word, -1], len(at) - 1)]
+    logs = logs[word].T
+    experts = [np.bincount(row, logs[-1], len(at) - 1)]
+    # a new step's chance may be too small for a number: its log is at hand
+    chances, fresh = [], np.zeros(len(word))
+    for k, step in enumerate(np.diff(logs, axis=0, prepend=0.0)):
+        new = counts[k + 1] == 0
+        chances.append(np.where(new, 1.0, np.exp(step)))
+        fresh += np.where(new, step, 0.0)
     for strength in STRENGTHS:
-        total = np.zeros(len(word))
-        for k in range(len(keys)):
-            bottom = counts[k] + strength
-            new = counts[k + 1] == 0
-            # a new step's chance may be too small for a number: its log is at hand
-            mixed = np.log((counts[k + 1] + strength * np.where(new, 1.0, chances[:, k])) / bottom)
-            total += mixed + np.where(new, steps[:, k], 0.0)
+        taken, of = np.ones(len(word)), np.ones(len(word))
+        for k, chance in enumerate(chances):
+            taken *= counts[k + 1] + strength * chance
+            of *= counts[k] + strength
+        total = np.log(taken / of) + fresh
         experts.append(np.bincount(row, total, len(at) - 1))
-        for more in PAIR_STRENGTHS if strength in PAIRED else ():
-            chance = np.where(never, 1.0, np.exp(total))
+        if strength not in PAIRED:
+            continue
+        chance = np.where(never, 1.0, np.exp(total))
+        for more in PAIR_STRENGTHS:
             mixed = np.log((followed + more * chance) / (followers + more)) + np.where(never, total, 0.0)
             experts.append(np.bincount(row, mixed, len(at) - 1))
     # weighing by success so far, from equal weights on, multiplies out to the mean of the products
@@ -536,11 +552,11 @@ def _scorer(unseen: float):
         keys = [head & ((1 << 8 * n) - 1) for n in HEADS] + [np.arange(size)]
         columns: list[list] = [[] for _ in range(4)]
         lists = texts["words"].to_pylist()
-        for lo in range(0, len(lists), 512):
+        for lo in range(0, len(lists), TEXTS):
             # the end of a text is the last word of the chunk's list
             found = [
                 np.append(_from_planes(x, "<u4"), np.uint32(size - 1)).astype(np.int64)
-                for x in lists[lo : lo + 512]
+                for x in lists[lo : lo + TEXTS]
             ]
             at = np.concatenate(([0], np.cumsum([len(x) for x in found])))
             word = np.concatenate(found)

@@ -476,6 +476,18 @@ def test_word_scores_equal_plain_mixing(spark):
         assert math.isclose(sum(math.exp(byte_log(w, i, byte)) for byte in range(256)), 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("top", [5, 1 << 33, 1 << 55])
+def test_seen_before_counts_keys_of_any_size(top):
+    rng = random.Random(top)
+    row = np.sort(np.array([rng.randrange(9) for _ in range(700)]))
+    some = [rng.randrange(top) for _ in range(6)]
+    key = np.array([rng.choice(some) for _ in row])
+    times = collections.Counter()
+    for r, k, got in zip(row.tolist(), key.tolist(), context_mixing._seen_before(key, row), strict=True):
+        assert got == times[r, k]
+        times[r, k] += 1
+
+
 def test_adapted_scores_equal_plain_refinement():
     """Texts scored word by word, each step by how often the text took it, in several strengths."""
     rng = np.random.default_rng(2)
