@@ -34,8 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duecall.llm.text import mix, runs, slices, span_hashes, uniform
-from duecall.llm.token_counts import Automaton
+from duecall.llm.text import distinct, mix, runs, slices, span_hashes, uniform
 
 SAMPLES = 3
 SLICE = 1 << 19  # bytes of text searched together
@@ -52,56 +51,115 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (total - size), size) + np.arange(total[-1])
 
 
+class Trie:
+    """Pieces as a trie of bytes, packed: a byte leads from a node to the place ``base[node] + byte``,
+    if that place's ``parent`` is the node. Nodes are places, the root is 0; ``base`` is 0 for a leaf.
+
+    A table of all nodes and bytes would be a hundred times as large and mostly empty.
+    """
+
+    def __init__(self, texts: list[str]):
+        steps: list[dict[int, int]] = [{}]
+        spelled = [-1]
+        for k, text in enumerate(texts):
+            node = 0
+            for byte in text.encode():
+                if byte not in steps[node]:
+                    steps[node][byte] = len(steps)
+                    steps.append({})
+                    spelled.append(-1)
+                node = steps[node][byte]
+            spelled[node] = k
+        spelled[0] = -1
+        taken = bytearray(256)
+        taken[0] = 1
+        place, base = [0] * len(steps), [0] * len(steps)
+        # nodes with many children first, those with one fill what is left between them
+        front, many = 1, True
+        for node in sorted(range(len(steps)), key=lambda n: -len(steps[n])):
+            below = sorted(steps[node])
+            if not below:
+                break
+            if many and len(below) == 1:
+                front, many = 1, False
+            tried, at = 0, max(front, below[0] + 1) - 1
+            while True:
+                at = taken.find(0, at + 1)
+                if at < 0 or at + 256 > len(taken):
+                    taken.extend(bytes(len(taken)))
+                    at = taken.find(0, max(front, below[0] + 1)) if at < 0 else at
+                if not any(taken[at - below[0] + byte] for byte in below):
+                    break
+                tried += 1
+            if tried > 50:
+                front = at
+            base[node] = at - below[0]
+            for byte in below:
+                taken[base[node] + byte] = 1
+                place[steps[node][byte]] = base[node] + byte
+            front = max(taken.find(0, front), front)
+        size = max(base) + 256
+        self.base, self.parent, self.piece = np.zeros(size, np.int64), *np.full((2, size), -1)
+        self.base[place], self.piece[place] = base, spelled
+        for node, below in enumerate(steps):
+            for child in below.values():
+                self.parent[place[child]] = place[node]
+
+
 class Lattice:
     """Edges of units, grouped by the place where they start."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, pieces: "Pieces"):
         self.first = np.cumsum(size) - size  # where each unit starts in `text`
         self.text = data[ranges(start, size)]
-        unit = np.repeat(np.arange(len(size)), size)
-        stop = (self.first + size)[unit]
         heads = np.flatnonzero((self.text & 0xC0) != 0x80)
-        after = np.minimum(np.append(heads[1:], len(self.text)), stop[heads])
-        source, cur, node = heads, heads, np.zeros(len(heads), np.int32)
-        found = []
-        trie = pieces.trie
-        while len(cur):
-            node = trie.go[node, trie.column[self.text[cur]]]
-            alive = node >= 0
-            source, cur, node = source[alive], cur[alive] + 1, node[alive]
-            piece = trie.piece[node]
-            hit = piece >= 0
-            found.append((source[hit], cur[hit], piece[hit]))
-            more = cur < stop[source]
-            source, cur, node = source[more], cur[more], node[more]
-        begin, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        whole = np.full(len(self.text) + 1, -1)
-        whole[heads] = after
-        single = np.zeros(len(self.text) + 1, bool)
-        single[begin[whole[begin] == end]] = True
-        bare = ~single[heads]
-        begin = np.concatenate([begin, heads[bare]])
-        end = np.concatenate([end, after[bare]])
-        piece = np.concatenate([piece, np.full(bare.sum(), -1, np.int32)])
-        weight = np.where(piece >= 0, pieces.log[piece], pieces.byte_log * (end - begin))
-        left = stop[begin] - begin
-        order = np.lexsort((begin, left))
-        begin, end, piece, weight, left = (x[order] for x in (begin, end, piece, weight, left))
-        self.closes = end == stop[begin]
-        place, count = runs(begin)
+        stop = np.repeat(self.first + size, size)[heads]
+        after = np.minimum(np.append(heads[1:], len(self.text)), stop)
+        # groups of edges, one per head, in the order in which backward sums need them
+        left = stop - heads
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        heads, stop, after, left = (x[order] for x in (heads, stop, after, left))
+        ends, single, used = self._edges(heads, stop, after, pieces.trie)
+        bare = np.flatnonzero(~single)
+        used[bare] += 1
+        count = used
+        place = np.cumsum(count) - count
+        end = np.empty(int(count.sum()), np.int64)
+        piece = np.full(len(end), -1)
+        for source, nth, to, which in ends:
+            at = place[source] + nth
+            end[at], piece[at] = to, which
+        end[(place + count - 1)[bare]] = after[bare]
+        begin = np.repeat(heads, count)
+        weight = pieces.log[piece]
+        lone = np.flatnonzero(piece < 0)
+        weight[lone] = pieces.byte_log * (end[lone] - begin[lone])
+        self.closes = end == np.repeat(stop, count)
         self.group = np.zeros(len(self.text) + 1, np.int64)
-        self.group[begin[place]] = np.arange(len(place))
+        self.group[heads] = np.arange(len(heads))
         self.edge, self.count = place, count
-        beta = np.zeros(len(self.text) + 1)
-        share = np.zeros(len(begin))
-        block, sizes = runs(left[place])
+        # what closes a unit goes to a place of its own
+        onward = np.where(self.closes, len(self.text), end)
+        chance, mass, share = np.exp(weight), np.zeros(len(self.text) + 1), np.empty(len(begin))
+        mass[-1], beta = 1.0, None
+        block, sizes = runs(left)
         for a, n in zip(block.tolist(), sizes.tolist(), strict=True):
             lo, hi = place[a], place[a + n - 1] + count[a + n - 1]
-            w = weight[lo:hi] + np.where(self.closes[lo:hi], 0.0, beta[end[lo:hi]])
             at = place[a : a + n] - lo
+            if left[a] <= pieces.plain:
+                w = chance[lo:hi] * mass[onward[lo:hi]]
+                total = np.add.reduceat(w, at)
+                mass[heads[a : a + n]] = total
+                share[lo:hi] = w / np.repeat(total, count[a : a + n])
+                continue
+            # a sum over many bytes is too small for a number: its log is kept
+            if beta is None:
+                with np.errstate(divide="ignore"):
+                    beta = np.log(mass)
+            w = weight[lo:hi] + beta[onward[lo:hi]]
             top = np.maximum.reduceat(w, at)
             total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, count[a : a + n])), at))
-            beta[begin[place[a : a + n]]] = total
+            beta[heads[a : a + n]] = total
             share[lo:hi] = np.exp(w - np.repeat(total, count[a : a + n]))
         # likely edges first, so that a draw looks at few of them
         order = np.argsort(np.repeat(2.0 * np.arange(len(place)), count) - share)
@@ -111,6 +169,25 @@ class Lattice:
         self.upto = sums[1:] - np.repeat(sums[place], count)
         self.upto[place + count - 1] = 2.0  # the last edge takes what rounding leaves
 
+    def _edges(self, heads: np.ndarray, stop: np.ndarray, after: np.ndarray, trie: Trie):
+        """Per length the pieces found (number of the head, how many it had before, end, piece);
+        whether a head has a piece of one character, and how many pieces it has."""
+        source, cur, node = np.arange(len(heads)), heads, np.zeros(len(heads), np.int64)
+        single, used, found = np.zeros(len(heads), bool), np.zeros(len(heads), np.int64), []
+        while len(source):
+            to = trie.base[node] + self.text[cur]
+            on = np.flatnonzero(trie.parent[to] == node)
+            source, cur, node = source[on], cur[on] + 1, to[on]
+            piece = trie.piece[node]
+            hit = np.flatnonzero(piece >= 0)
+            of, end = source[hit], cur[hit]
+            found.append((of, used[of], end, piece[hit]))
+            used[of] += 1
+            single[of[end == after[of]]] = True
+            more = np.flatnonzero((cur < stop[source]) & (trie.base[node] > 0))
+            source, cur, node = source[more], cur[more], node[more]
+        return found, single, used
+
     def draw(self, group: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each group, with its probability."""
         at = self.edge[group]
@@ -147,8 +224,10 @@ class Pieces:
         else:
             self.log = exponent * score
         self.byte_log = float(self.log.min())
+        # bytes whose probability is still a number, however unlikely
+        self.plain = int(600 / max(-self.byte_log, 1e-9))
         self.ids = np.array(plain, np.int32)
-        self.trie = Automaton(text)
+        self.trie = Trie(text)
         self.bytes = np.zeros(256, np.int32)
         spelled = [b""] * n
         for i, t in zip(plain, text, strict=True):
@@ -185,12 +264,14 @@ class Pieces:
     def spell(self, edges: np.ndarray, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of edges, and how many ids each edge has (a fallback has one per byte)."""
         piece = lattice.piece[edges]
-        bare = piece < 0
-        size = np.where(bare, lattice.end[edges] - lattice.begin[edges], 1)
-        ids = np.repeat(np.where(bare, 0, self.ids[piece]), size)
-        if bare.any():
-            at = ranges((np.cumsum(size) - size)[bare], size[bare])
-            ids[at] = self.bytes[lattice.text[ranges(lattice.begin[edges[bare]], size[bare])]]
+        bare = np.flatnonzero(piece < 0)
+        size = np.ones(len(piece), np.int64)
+        if not len(bare):
+            return self.ids[piece], size
+        size[bare] = lattice.end[edges[bare]] - lattice.begin[edges[bare]]
+        ids = np.repeat(self.ids[piece], size)
+        at = ranges((np.cumsum(size) - size)[bare], size[bare])
+        ids[at] = self.bytes[lattice.text[ranges(lattice.begin[edges[bare]], size[bare])]]
         return ids.astype(np.int32), size
 
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
@@ -205,9 +286,13 @@ class Pieces:
         return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
-def _random(seed: np.ndarray, place: np.ndarray, draw: int, use: int) -> np.ndarray:
-    step = np.uint64((2 * draw + use + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)
-    return uniform(mix(seed + step) + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+def _seeds(seed: np.ndarray, draw: int, use: int) -> np.ndarray:
+    """Of a draw, per row."""
+    return mix(seed + np.uint64((2 * draw + use + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+
+
+def _random(seeds: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return uniform(seeds + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 class _Search:
@@ -218,7 +303,7 @@ class _Search:
         self.n = len(offsets) - 1
         start, size, self.row = pieces.units(data, offsets)
         hashes = span_hashes(data, start, start + size)
-        _, first, self.unit = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, self.unit = distinct(hashes)
         self.lattice = Lattice(data, start[first], size[first], pieces)
         # from a place in a unit to the place in the row's text
         self.shift = start - offsets[self.row] - self.lattice.first[self.unit]
@@ -228,12 +313,12 @@ class _Search:
         """Edges from place ``at`` to the end of each occurrence, and how many each has."""
         lattice, lane, steps = self.lattice, np.arange(len(occurrence)), []
         counts = np.zeros(len(occurrence), np.int64)
-        seed = self.seed[self.row[occurrence]]
+        seed = _seeds(self.seed, draw, 0)[self.row[occurrence]]
         lane = lane[at >= 0]
         at = at[lane]
         while len(lane):
             place = at + self.shift[occurrence[lane]]
-            edge = lattice.draw(lattice.group[at], _random(seed[lane], place, draw, 0))
+            edge = lattice.draw(lattice.group[at], _random(seed[lane], place))
             steps.append((lane, edge))
             counts[lane] += 1
             go = ~lattice.closes[edge]
@@ -282,8 +367,7 @@ class _Search:
         with np.errstate(divide="ignore"):
             logs = np.log(share)
             rest = np.log(1 - share)
-        group = self.lattice.group[self.lattice.begin[edges]]
-        rest[self.lattice.count[group] == 1] = -np.inf
+        begin = self.lattice.begin[edges]
         before = np.concatenate(([0.0], np.cumsum(logs)))
         base = before[:-1] - before[edge_at[row]]
         left = np.flatnonzero(branch >= 0)
@@ -292,16 +376,17 @@ class _Search:
             barred = (np.concatenate([barred[0], left]), np.concatenate([barred[1], edges[at]]))
             order = np.argsort(barred[0], kind="stable")
             barred = (barred[0][order], barred[1][order])
-            _, _, first, shares = self.remaining(group[at], (np.searchsorted(left, barred[0]), barred[1]))
+            group = self.lattice.group[begin[at]]
+            _, _, first, shares = self.remaining(group, (np.searchsorted(left, barred[0]), barred[1]))
             mass = np.add.reduceat(shares, first)
             rest[ranges(edge_at[left], branch[left])] = -np.inf
             with np.errstate(divide="ignore"):
                 rest[at] = np.log(mass)
         where = base + rest
-        place = self.lattice.begin[edges] + self.shift[occurrence]
-        wait = -np.log(_random(self.seed[row], place, number, 1))
-        with np.errstate(invalid="ignore"):
-            g = where - np.logaddexp(where - score[row], np.log(wait))
+        place = begin + self.shift[occurrence]
+        wait = -np.log(_random(_seeds(self.seed, number, 1)[row], place))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = where - np.log(np.exp(where - score[row]) + wait)
         g[np.isneginf(where)] = -np.inf
         self.paths.append(
             {
@@ -357,7 +442,7 @@ class _Search:
         order = np.argsort(of, kind="stable")
         of, gone = of[order], gone[order]
         edges, owner, first, share = self.remaining(lattice.group[lattice.begin[old]], (of, gone))
-        u = _random(self.seed[rows], lattice.begin[old] + self.shift[occurrence], number, 0)
+        u = _random(_seeds(self.seed[rows], number, 0), lattice.begin[old] + self.shift[occurrence])
         upto = np.cumsum(share)
         before = upto[first] - share[first]
         total = np.add.reduceat(share, first)

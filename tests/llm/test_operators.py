@@ -139,6 +139,40 @@ def test_samples_are_drawn_without_replacement(pieces):
         assert abs(second[s] / n - q) < 0.02
 
 
+def test_packed_trie_takes_the_steps_of_its_pieces(pieces):
+    texts = ["▁ab", "a", "ab", "abc", "b", "bcd", "é", "日本", "abc"]
+    trie = segmentation.Trie(texts)
+    found = {}
+
+    def walk(node, spelled):
+        found[spelled] = int(trie.piece[node])
+        for byte in range(256):
+            to = trie.base[node] + byte
+            if trie.parent[to] == node:
+                walk(to, spelled + bytes([byte]))
+
+    walk(0, b"")
+    prefixes = {t.encode()[:n] for t in texts for n in range(len(t.encode()) + 1)}
+    number = {t.encode(): k for k, t in enumerate(texts)}
+    assert found == {p: number.get(p, -1) for p in prefixes}
+    # every worker of a task holds one
+    assert sum(x.nbytes for x in vars(pieces.trie).values()) < 4 << 20
+
+
+def test_sums_of_numbers_and_of_logs_agree(pieces):
+    data = np.frombuffer("▁the▁interesting日本▁😀▁en".encode(), np.uint8)
+    start, size, _ = pieces.units(data, np.array([0, len(data)]))
+    plain = segmentation.Lattice(data, start, size, pieces)
+    assert pieces.plain > 20
+    kept, pieces.plain = pieces.plain, 3
+    try:
+        mixed = segmentation.Lattice(data, start, size, pieces)
+    finally:
+        pieces.plain = kept
+    assert np.allclose(plain.share, mixed.share, rtol=1e-9, atol=0)
+    assert np.array_equal(plain.end, mixed.end) and np.array_equal(plain.piece, mixed.piece)
+
+
 def test_few_segmentations_come_out_whole(pieces):
     (row,) = segmentation.sample_slice(pieces, ["a"], np.array([5], np.uint64), 4)
     assert len(row) == len(all_segmentations(pieces, "▁a")) == 2
