@@ -2,7 +2,8 @@
 
 Every stage takes the documents its predecessor kept and returns those it keeps, with the columns
 of ``documents``; the last one returns their sampled segmentations. Stages learn from their own
-input. Null texts count as empty and fail the rules; an empty table stays empty.
+input. Null texts count as empty and fail the rules; an empty table stays empty. Every stage sets the
+session up, so that Python workers get small batches of texts.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 from duecall.llm import decontaminate, language_id, near_dedup, quality_rules, segmentation
 from duecall.llm.queries import model_proto
 from duecall.llm.shared import saved
+from duecall.session import configure
 
 LEAST_LANGUAGE_SCORE = 0.2
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the list learned from ``labels``."""
+    configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rules = quality_rules.learn_rules(docs, labels)
     return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
@@ -28,6 +31,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def apply_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned, not too far from its profile."""
+    configure(spark)
     found = language_id.identify(docs, language_id.learn_profiles(docs))
     known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return found.where(known).select(*docs.columns)
@@ -35,17 +39,20 @@ def apply_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    configure(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def apply_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
+    configure(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.with_leaks(docs, benchmark).where("size(leaks) = 0").select(*docs.columns)
 
 
 def apply_segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document, each read back once."""
+    configure(spark)
     return segmentation.sample_segmentations(
         docs, model_proto(), keep=["doc_id", "lang", "source"]
     )

@@ -27,6 +27,8 @@ from duecall.llm.shared import free_prefix
 from duecall.llm.text import runs, slices
 
 PROFILE_SIZE = 400
+SLICE = 1 << 18  # bytes of text whose n-grams are held at once
+HELD_GRAMS = 500_000  # counts that wait to be merged, or as many as there are distinct ones
 UNKNOWN = "und"
 _PAD = 1
 _kinds = np.full(0x110000, 255, np.uint8)
@@ -79,7 +81,7 @@ def gram_text(gram: int) -> str:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names: dict[str, int] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+    size, limit = 0, HELD_GRAMS
 
     def merged():
         key = np.concatenate([k for k, _ in held])
@@ -90,7 +92,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return key[start], np.add.reduceat(n, start)
 
     for batch in batches:
-        for lo, hi in slices(batch.column(0)):
+        for lo, hi in slices(batch.column(0), SLICE):
             part = batch.slice(lo, hi - lo)
             langs = part.column(1).to_pylist()
             for lang in langs:
@@ -105,9 +107,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(start):
                 held.append((keys[start], n))
                 size += len(start)
-            if size > 2_000_000:
+            if size > limit:
                 held = [merged()]
                 size = len(held[0][0])
+                limit = max(HELD_GRAMS, 2 * size)
     if not held:
         return
     key, n = merged()
@@ -186,7 +189,7 @@ def classifier(profiles: list, size: int = PROFILE_SIZE):
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             lang, score = [], []
-            for lo, hi in slices(column):
+            for lo, hi in slices(column, SLICE):
                 best, s = predict(column.slice(lo, hi - lo).to_pylist())
                 lang.append(names[best])
                 score.append(s)

@@ -1024,6 +1024,33 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert out.count() == 0 and {"doc_id", "samples"} <= set(out.columns)
 
 
+def test_pipeline_stages_give_workers_small_batches(spark, empty):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    mine = spark.conf.get(key)
+    for stage in (corpus_pipeline.apply_segmentation, corpus_pipeline.apply_near_dedup):
+        spark.conf.unset(key)
+        stage(spark, empty, SF_DIR)
+        assert spark.conf.get(key) == mine == "4m"
+
+
+def test_language_counts_are_merged_in_parts(spark, documents, monkeypatch):
+    """Small slices and many merges change no profile."""
+    import pyarrow as pa
+
+    rows = documents.select("text", F.coalesce("lang", F.lit("xx")).alias("lang")).where("text is not null").limit(60)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in rows.collect()])
+
+    def counted():
+        return sorted(repr(r) for b in language_id._count(iter([batch])) for r in b.to_pylist())
+
+    want = counted()
+    monkeypatch.setattr(language_id, "SLICE", 3000)
+    monkeypatch.setattr(language_id, "HELD_GRAMS", 500)
+    assert want == counted()
+
+
 def test_ties(spark):
     """Equal windows: the first counts. Equal distances: the first language by name."""
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six")], "item_id BIGINT, text STRING")
