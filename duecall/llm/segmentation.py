@@ -11,8 +11,9 @@ come out first are distinct and a draw without replacement; the score of the bes
 the threshold, from which follows each one's inclusion probability.
 
 No piece crosses the start of a word, so the lattice falls apart into units, and equal units of a
-slice of texts share one. Backward sums run over all units at once, by distance from the unit's
-end, and drawing advances all places of a slice together. Random numbers are hashes of the row's
+slice of texts share one; what follows a place depends on the rest of its unit only, so equal rests
+share their edges. Backward sums run over all units at once, by distance from the unit's end, and
+drawing advances all places of a slice together. Random numbers are hashes of the row's
 key, the place in the text and the number of the draw, so they do not depend on tasks or batches.
 
 Piece probabilities: a model's scores, if it is a unigram model (``exponent`` multiplies them). The
@@ -107,18 +108,26 @@ class Trie:
 
 
 class Lattice:
-    """Edges of units, grouped by the place where they start."""
+    """Edges of units, grouped by what is left of the unit where they start: places with the same rest
+    up to the end share their edges."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, pieces: "Pieces"):
-        self.first = np.cumsum(size) - size  # where each unit starts in `text`
+        first = np.cumsum(size) - size  # where each unit starts in `text`
         self.text = data[ranges(start, size)]
         heads = np.flatnonzero((self.text & 0xC0) != 0x80)
-        stop = np.repeat(self.first + size, size)[heads]
+        stop = np.repeat(first + size, size)[heads]
         after = np.minimum(np.append(heads[1:], len(self.text)), stop)
-        # groups of edges, one per head, in the order in which backward sums need them
-        left = stop - heads
+        _, one, number = distinct(span_hashes(self.text, heads, stop))
+        # groups of edges, one per distinct rest, in the order in which backward sums need them
+        left = (stop - heads)[one]
         order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
-        heads, stop, after, left = (x[order] for x in (heads, stop, after, left))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        group_at = np.zeros(len(self.text) + 1, np.int64)
+        group_at[heads] = rank.take(number)
+        self.first = group_at[first]  # the group of each unit's start
+        one, left = one[order], left[order]
+        heads, stop, after = heads[one], stop[one], after[one]
         ends, single, used = self._edges(heads, stop, after, pieces.trie)
         bare = np.flatnonzero(~single)
         used[bare] += 1
@@ -127,46 +136,49 @@ class Lattice:
         end = np.empty(int(count.sum()), np.int64)
         piece = np.full(len(end), -1)
         for source, nth, to, which in ends:
-            at = place[source] + nth
+            at = place.take(source) + nth
             end[at], piece[at] = to, which
-        end[(place + count - 1)[bare]] = after[bare]
-        begin = np.repeat(heads, count)
-        weight = pieces.log[piece]
-        lone = np.flatnonzero(piece < 0)
-        weight[lone] = pieces.byte_log * (end[lone] - begin[lone])
-        self.closes = end == np.repeat(stop, count)
-        self.group = np.zeros(len(self.text) + 1, np.int64)
-        self.group[heads] = np.arange(len(heads))
-        self.edge, self.count = place, count
-        # what closes a unit goes to a place of its own
-        onward = np.where(self.closes, len(self.text), end)
-        chance, mass, share = np.exp(weight), np.zeros(len(self.text) + 1), np.empty(len(begin))
-        mass[-1], beta = 1.0, None
+        lone = (place + count - 1)[bare]
+        end[lone] = after[bare]
+        self.group = group = np.repeat(np.arange(len(heads)), count)
+        self.heads, self.left, self.edge, self.count = heads, left, place, count
+        self.ahead = left.take(group)  # what is left where an edge starts
+        chance = pieces.chance.take(piece)
+        fallback = pieces.byte_log * (after[bare] - heads[bare])
+        chance[lone] = np.exp(fallback)
+        closes = end == stop.take(group)
+        # what closes a unit goes to a group of its own
+        onward = np.where(closes, len(heads), group_at.take(end))
+        mass, share, beta = np.ones(len(heads) + 1), np.empty(len(end)), None
         block, sizes = runs(left)
+        easy = int(np.searchsorted(left, pieces.plain, "right"))
         for a, n in zip(block.tolist(), sizes.tolist(), strict=True):
             lo, hi = place[a], place[a + n - 1] + count[a + n - 1]
             at = place[a : a + n] - lo
-            if left[a] <= pieces.plain:
-                w = chance[lo:hi] * mass[onward[lo:hi]]
-                total = np.add.reduceat(w, at)
-                mass[heads[a : a + n]] = total
-                share[lo:hi] = w / np.repeat(total, count[a : a + n])
+            if a < easy:
+                w = share[lo:hi] = chance[lo:hi] * mass.take(onward[lo:hi])
+                mass[a : a + n] = np.add.reduceat(w, at)
                 continue
             # a sum over many bytes is too small for a number: its log is kept
             if beta is None:
-                with np.errstate(divide="ignore"):
-                    beta = np.log(mass)
+                beta = np.log(mass)
+                weight = pieces.log[piece]
+                weight[lone] = fallback
             w = weight[lo:hi] + beta[onward[lo:hi]]
             top = np.maximum.reduceat(w, at)
             total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, count[a : a + n])), at))
-            beta[heads[a : a + n]] = total
+            beta[a : a + n] = total
             share[lo:hi] = np.exp(w - np.repeat(total, count[a : a + n]))
+        known = int(count[:easy].sum())
+        share[:known] /= mass.take(group[:known])
         # likely edges first, so that a draw looks at few of them
-        order = np.argsort(np.repeat(2.0 * np.arange(len(place)), count) - share)
-        self.begin, self.end, self.piece = begin[order], end[order], piece[order]
-        self.closes, self.share = self.closes[order], share[order]
+        order = np.argsort(2.0 * group - share)
+        self.end, self.piece, self.share = end.take(order), piece.take(order), share.take(order)
+        # the group an edge leads to, below 0 if it closes its unit
+        onward[closes] = -1
+        self.onward = onward.take(order)
         sums = np.concatenate(([0.0], np.cumsum(self.share)))
-        self.upto = sums[1:] - np.repeat(sums[place], count)
+        self.upto = sums[1:] - sums.take(place).take(group)
         self.upto[place + count - 1] = 2.0  # the last edge takes what rounding leaves
 
     def _edges(self, heads: np.ndarray, stop: np.ndarray, after: np.ndarray, trie: Trie):
@@ -174,24 +186,29 @@ class Lattice:
         whether a head has a piece of one character, and how many pieces it has."""
         source, cur, node = np.arange(len(heads)), heads, np.zeros(len(heads), np.int64)
         single, used, found = np.zeros(len(heads), bool), np.zeros(len(heads), np.int64), []
+        base = trie.base[node]
         while len(source):
-            to = trie.base[node] + self.text[cur]
+            to = base + self.text[cur]
             on = np.flatnonzero(trie.parent[to] == node)
             source, cur, node = source[on], cur[on] + 1, to[on]
             piece = trie.piece[node]
             hit = np.flatnonzero(piece >= 0)
             of, end = source[hit], cur[hit]
-            found.append((of, used[of], end, piece[hit]))
-            used[of] += 1
-            single[of[end == after[of]]] = True
-            more = np.flatnonzero((cur < stop[source]) & (trie.base[node] > 0))
-            source, cur, node = source[more], cur[more], node[more]
+            nth = used[of]
+            found.append((of, nth, end, piece[hit]))
+            used[of] = nth + 1
+            # no character has more than four bytes
+            if len(found) <= 4:
+                single[of[end == after[of]]] = True
+            base = trie.base[node]
+            more = np.flatnonzero((base > 0) & (cur < stop[source]))
+            source, cur, node, base = source[more], cur[more], node[more], base[more]
         return found, single, used
 
     def draw(self, group: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each group, with its probability."""
-        at = self.edge[group]
-        on = np.flatnonzero(self.upto[at] <= u)
+        at = self.edge.take(group)
+        on = np.flatnonzero(self.upto.take(at) <= u)
         while len(on):
             at[on] += 1
             on = on[self.upto[at[on]] <= u[on]]
@@ -223,6 +240,7 @@ class Pieces:
             self.log = weight - np.log(np.exp(weight).sum())
         else:
             self.log = exponent * score
+        self.chance = np.exp(self.log)
         self.byte_log = float(self.log.min())
         # bytes whose probability is still a number, however unlikely
         self.plain = int(600 / max(-self.byte_log, 1e-9))
@@ -236,9 +254,7 @@ class Pieces:
             if model.is_byte(i):
                 self.bytes[int(model.id_to_piece(i)[3:5], 16)] = i
                 spelled[i] = bytes([int(model.id_to_piece(i)[3:5], 16)])
-        self.size = np.array([len(x) for x in spelled])
-        self.first = np.cumsum(self.size) - self.size
-        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelled = pa.array(spelled, pa.large_binary())
         inside = {b for t in text if len(t) > 1 for b in t.encode()}
         self.lone = np.array([b < 128 and b not in inside for b in range(256)])
 
@@ -248,10 +264,9 @@ class Pieces:
         if not len(data):
             none = np.zeros(0, np.int64)
             return none, none, none
-        padded = np.append(data, [0, 0])
-        begins = (data == _MARK[0]) & (padded[1:-1] == _MARK[1]) & (padded[2:] == _MARK[2])
         lone = self.lone[data]
-        begins |= lone
+        begins = lone.copy()
+        begins[:-2] |= (data[:-2] == _MARK[0]) & (data[1:-1] == _MARK[1]) & (data[2:] == _MARK[2])
         begins[1:] |= lone[:-1]
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(begins)
@@ -261,26 +276,27 @@ class Pieces:
             np.searchsorted(offsets, start, "right") - 1,
         )
 
-    def spell(self, edges: np.ndarray, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of edges, and how many ids each edge has (a fallback has one per byte)."""
-        piece = lattice.piece[edges]
+    def spell(self, edges: np.ndarray, at: np.ndarray, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of edges, and where those of the edges from ``at`` on begin (a fallback has one per byte)."""
+        piece = lattice.piece.take(edges)
+        ids = self.ids.take(piece)
         bare = np.flatnonzero(piece < 0)
-        size = np.ones(len(piece), np.int64)
         if not len(bare):
-            return self.ids[piece], size
-        size[bare] = lattice.end[edges[bare]] - lattice.begin[edges[bare]]
-        ids = np.repeat(self.ids[piece], size)
-        at = ranges((np.cumsum(size) - size)[bare], size[bare])
-        ids[at] = self.bytes[lattice.text[ranges(lattice.begin[edges[bare]], size[bare])]]
-        return ids.astype(np.int32), size
+            return ids, at
+        begin = lattice.heads[lattice.group[edges[bare]]]
+        more = lattice.end[edges[bare]] - begin - 1
+        ids[bare] = self.bytes[lattice.text[begin]]
+        behind = np.repeat(bare, more)
+        ids = np.insert(ids, behind + 1, self.bytes[lattice.text[ranges(begin + 1, more)]])
+        return ids, at + np.searchsorted(behind, at)
 
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
         """Texts of the id lists ``ids[edges[i]:edges[i + 1]]``."""
-        size = self.size[ids]
-        raw = self.spelled[ranges(self.first[ids], size)].tobytes()
-        at = np.concatenate(([0], np.cumsum(size)))[edges]
+        _, offsets, data = self.spelled.take(pa.array(ids)).buffers()
+        raw = memoryview(data or b"")
+        at = np.frombuffer(offsets, np.int64)[edges] if len(ids) else edges
         texts = [
-            raw[a:b].decode("utf-8", "replace")
+            str(raw[a:b], "utf-8", "replace")
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
         ]
         return [t[1:] if t.startswith(" ") else t for t in texts]
@@ -291,8 +307,12 @@ def _seeds(seed: np.ndarray, draw: int, use: int) -> np.ndarray:
     return mix(seed + np.uint64((2 * draw + use + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
 
 
+def _spread(place: np.ndarray) -> np.ndarray:
+    return place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+
+
 def _random(seeds: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return uniform(seeds + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return uniform(seeds + _spread(place))
 
 
 class _Search:
@@ -305,28 +325,34 @@ class _Search:
         hashes = span_hashes(data, start, start + size)
         _, first, self.unit = distinct(hashes)
         self.lattice = Lattice(data, start[first], size[first], pieces)
-        # from a place in a unit to the place in the row's text
-        self.shift = start - offsets[self.row] - self.lattice.first[self.unit]
+        # where each unit ends in the row's text
+        self.stop = start + size - offsets[self.row]
         self.paths: list[dict] = []
 
+    def place(self, edges: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+        """Where edges of occurrences start in the row's text."""
+        return self.stop.take(occurrence) - self.lattice.ahead.take(edges)
+
     def walk(self, occurrence: np.ndarray, at: np.ndarray, draw: int):
-        """Edges from place ``at`` to the end of each occurrence, and how many each has."""
-        lattice, lane, steps = self.lattice, np.arange(len(occurrence)), []
+        """Edges from group ``at`` (below 0: none) to the end of each occurrence, and how many each has."""
+        lattice, steps = self.lattice, []
         counts = np.zeros(len(occurrence), np.int64)
-        seed = _seeds(self.seed, draw, 0)[self.row[occurrence]]
-        lane = lane[at >= 0]
-        at = at[lane]
+        # a place is what is left there off the end; the end's part of a seed stays the same on the way
+        seed = _seeds(self.seed, draw, 0)[self.row[occurrence]] + _spread(self.stop[occurrence])
+        off = _spread(lattice.left)
+        lane = np.flatnonzero(at >= 0)
+        at, seed = at[lane], seed[lane]
         while len(lane):
-            place = at + self.shift[occurrence[lane]]
-            edge = lattice.draw(lattice.group[at], _random(seed[lane], place))
+            edge = lattice.draw(at, uniform(seed - off.take(at)))
             steps.append((lane, edge))
-            counts[lane] += 1
-            go = ~lattice.closes[edge]
-            lane, at = lane[go], lattice.end[edge[go]]
+            counts[lane] = len(steps)
+            at = lattice.onward.take(edge)
+            go = np.flatnonzero(at >= 0)
+            lane, at, seed = lane.take(go), at.take(go), seed.take(go)
         first = np.cumsum(counts) - counts
         out = np.zeros(int(counts.sum()), np.int64)
         for k, (lane, edge) in enumerate(steps):
-            out[first[lane] + k] = edge
+            out[first.take(lane) + k] = edge
         return out, counts
 
     def start(self) -> None:
@@ -363,31 +389,30 @@ class _Search:
         number = len(self.paths)
         row = self.row[occurrence]
         edge_at = np.searchsorted(row, np.arange(self.n + 1))
-        share = self.lattice.share[edges]
+        lattice = self.lattice
+        share = lattice.share.take(edges)
         with np.errstate(divide="ignore"):
-            logs = np.log(share)
-            rest = np.log(1 - share)
-        begin = self.lattice.begin[edges]
-        before = np.concatenate(([0.0], np.cumsum(logs)))
-        base = before[:-1] - before[edge_at[row]]
+            before = np.concatenate(([0.0], np.cumsum(np.log(share))))
+        rest = 1 - share
         left = np.flatnonzero(branch >= 0)
         if len(left):
             at = edge_at[left] + branch[left]
             barred = (np.concatenate([barred[0], left]), np.concatenate([barred[1], edges[at]]))
             order = np.argsort(barred[0], kind="stable")
             barred = (barred[0][order], barred[1][order])
-            group = self.lattice.group[begin[at]]
+            group = lattice.group[edges[at]]
             _, _, first, shares = self.remaining(group, (np.searchsorted(left, barred[0]), barred[1]))
-            mass = np.add.reduceat(shares, first)
-            rest[ranges(edge_at[left], branch[left])] = -np.inf
-            with np.errstate(divide="ignore"):
-                rest[at] = np.log(mass)
-        where = base + rest
-        place = begin + self.shift[occurrence]
-        wait = -np.log(_random(_seeds(self.seed, number, 1)[row], place))
+            rest[ranges(edge_at[left], branch[left])] = 0
+            rest[at] = np.add.reduceat(shares, first)
+        # a step without a rest has no set that leaves the path there
+        live = np.flatnonzero(rest > 0)
+        size = np.diff(np.searchsorted(live, edge_at))
+        where = before.take(live) - np.repeat(before[edge_at[:-1]], size) + np.log(rest.take(live))
+        place = self.place(edges.take(live), occurrence.take(live))
+        wait = -np.log(_random(np.repeat(_seeds(self.seed, number, 1), size), place))
+        g = np.full(len(edges), -np.inf)
         with np.errstate(divide="ignore", invalid="ignore"):
-            g = where - np.log(np.exp(where - score[row]) + wait)
-        g[np.isneginf(where)] = -np.inf
+            g[live] = where - np.log(np.exp(where - np.repeat(score, size)) + wait)
         self.paths.append(
             {
                 "edges": edges, "occurrence": occurrence, "at": edge_at, "score": score, "leave": g,
@@ -421,7 +446,7 @@ class _Search:
             own, size = rows[mine], np.diff(path["at"])
             # the first step of each row that has its best score
             reached = np.flatnonzero(path["leave"] == np.repeat(np.where(which == k, score, np.nan), size))
-            row = np.repeat(np.arange(self.n), size)[reached]
+            row = np.searchsorted(path["at"], reached, "right") - 1
             at = reached[np.searchsorted(row, own)]
             path["leave"][at] = -np.inf
             lo = path["at"][own]
@@ -441,8 +466,8 @@ class _Search:
         of, gone = np.concatenate(of), np.concatenate(gone)
         order = np.argsort(of, kind="stable")
         of, gone = of[order], gone[order]
-        edges, owner, first, share = self.remaining(lattice.group[lattice.begin[old]], (of, gone))
-        u = _random(_seeds(self.seed[rows], number, 0), lattice.begin[old] + self.shift[occurrence])
+        edges, owner, first, share = self.remaining(lattice.group[old], (of, gone))
+        u = _random(_seeds(self.seed[rows], number, 0), self.place(old, occurrence))
         upto = np.cumsum(share)
         before = upto[first] - share[first]
         total = np.add.reduceat(share, first)
@@ -457,7 +482,7 @@ class _Search:
         lane = ranges(occurrence, until - occurrence)
         begin = lattice.first[self.unit[lane]]
         head_of = np.cumsum(until - occurrence) - (until - occurrence)
-        begin[head_of] = np.where(lattice.closes[new], -1, lattice.end[new])
+        begin[head_of] = lattice.onward[new]
         tail, counts = self.walk(lane, begin, number)
         edges = np.concatenate([*heads, new, tail])
         occurrence = np.concatenate([*occ_heads, occurrence, np.repeat(lane, counts)])
@@ -493,8 +518,7 @@ def sample_slice(pieces: Pieces, texts: list, seed: np.ndarray, k: int):
         with np.errstate(over="ignore", divide="ignore"):
             chance = np.where(apart < -30, apart, np.log(-np.expm1(-np.exp(np.minimum(apart, 700)))))
         chance[np.isneginf(least)] = 0.0
-        ids, size = pieces.spell(path["edges"], search.lattice)
-        at = np.concatenate(([0], np.cumsum(size)))[path["at"]]
+        ids, at = pieces.spell(path["edges"], path["at"], search.lattice)
         for r in np.flatnonzero(path["rows"]).tolist():
             out[r].append(
                 (ids[at[r] : at[r + 1]], float(path["log"][r]), float(path["score"][r]), float(chance[r]))
@@ -557,7 +581,7 @@ def sample_segmentations(
                 seeds = part.column(1).to_numpy().astype(np.uint64)
                 texts = part.column(0).to_pylist()
                 found = sample_slice(pieces, texts, seeds, k)
-                lists = _lists(found, _intact(pieces, texts, found))
+                lists = _lists(pieces, texts, found)
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], lists], schema.names)
 
     hashed = F.xxhash64(F.lit(seed), F.col(f"`{key}`"))
@@ -566,28 +590,25 @@ def sample_segmentations(
     return rows.mapInArrow(sample, schema).toDF(*kept, into)
 
 
-def _intact(pieces: Pieces, texts: list, found: list[list[tuple]]) -> list[bool]:
-    """Whether each sample reads back as its text, in which a word mark counts as a blank."""
-    out = []
-    for text, row in zip(texts, found, strict=True):
-        ids = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in row)]).astype(np.int64)
-        edges = np.concatenate(([0], np.cumsum([len(x[0]) for x in row])))
-        out += [t == (text or "").replace("▁", " ") for t in pieces.decode(ids, edges)]
-    return out
-
-
-def _lists(found: list[list[tuple]], intact: list[bool]) -> pa.ListArray:
+def _lists(pieces: Pieces, texts: list, found: list[list[tuple]]) -> pa.ListArray:
+    """The samples of each row, and whether each reads back as its text, in which a word mark counts
+    as a blank."""
     rows = [x for row in found for x in row]
-    ids = pa.ListArray.from_arrays(
-        pa.array(np.concatenate(([0], np.cumsum([len(x[0]) for x in rows]))), pa.int32()),
-        pa.array(np.concatenate([np.zeros(0, np.int32), *(x[0] for x in rows)]), pa.int32()),
-    )
+    count = np.array([len(row) for row in found], np.int64)
+    ids = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in rows)])
+    ends = np.concatenate(([0], np.cumsum([len(x[0]) for x in rows]))).astype(np.int64)
+    wanted = [t for text, n in zip(texts, count.tolist()) for t in n * [(text or "").replace("▁", " ")]]
+    intact = [a == b for a, b in zip(pieces.decode(ids, ends), wanted, strict=True)]
     parts = [pa.array([x[c] for x in rows], pa.float64()) for c in (1, 2, 3)]
     item = pa.StructArray.from_arrays(
-        [ids, *parts, pa.array(intact, pa.bool_())],
+        [
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+            *parts,
+            pa.array(intact, pa.bool_()),
+        ],
         ["ids", "log_prob", "score", "log_inclusion", "intact"],
     )
-    edges = np.concatenate(([0], np.cumsum([len(row) for row in found])))
+    edges = np.concatenate(([0], np.cumsum(count)))
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), item)
 
 

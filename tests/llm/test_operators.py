@@ -173,6 +173,29 @@ def test_sums_of_numbers_and_of_logs_agree(pieces):
     assert np.array_equal(plain.end, mixed.end) and np.array_equal(plain.piece, mixed.piece)
 
 
+def test_equal_rests_of_units_share_their_edges(pieces):
+    units = ["▁singing", "▁ringing", "▁sing", "▁king", "(", "ing", "▁café", "▁fé"]
+    size = np.array([len(u.encode()) for u in units])
+    data = np.frombuffer("".join(units).encode(), np.uint8)
+    lattice = segmentation.Lattice(data, np.cumsum(size) - size, size, pieces)
+    # one group of edges per distinct rest, not one per place
+    assert len(lattice.count) == len({u[i:] for u in units for i in range(len(u))}) < sum(map(len, units))
+    for unit, group in zip(units, lattice.first):
+        want = collections.Counter()
+        for pieces_of, p in all_segmentations(pieces, unit).items():
+            want[pieces_of[0]] += p
+        edges = np.arange(lattice.edge[group], lattice.edge[group] + lattice.count[group])
+        names = pieces.model.id_to_piece(pieces.ids[lattice.piece[edges]].tolist())
+        assert dict(zip(names, lattice.share[edges])) == pytest.approx(want)
+
+
+def test_characters_without_a_piece_between_others(pieces):
+    texts = ["a😀😀b", "😀", "\x01😀 \x01\x01 日😀the"]
+    for text, row in zip(texts, segmentation.sample_slice(pieces, texts, np.arange(3).astype(np.uint64), 3)):
+        assert [pieces.decode(ids, np.array([0, len(ids)])) for ids, *_ in row] == [[text]] * len(row)
+        assert all(pieces.model.decode(ids.tolist()) == text for ids, *_ in row)
+
+
 def test_few_segmentations_come_out_whole(pieces):
     (row,) = segmentation.sample_slice(pieces, ["a"], np.array([5], np.uint64), 4)
     assert len(row) == len(all_segmentations(pieces, "▁a")) == 2
