@@ -803,6 +803,48 @@ def test_terms_that_matter_only_in_company(spark, case):
     assert sum(spared) >= 0.95 * len(spared)
 
 
+def test_pairs_of_rare_terms_are_learned(spark):
+    """Four marks, each in 4 % of the rows, always with another; only the pair tells the label."""
+    rng = random.Random(3)
+    marks = ["aardvark", "bumble", "citrus", "dolphin"]
+    noise = [f"w{i}" for i in range(300)]
+
+    def texts(most, share):
+        for i in range(most):
+            there = rng.sample(marks, 2) if rng.random() < share else []
+            text = rng.choices(noise, k=12) + there
+            rng.shuffle(text)
+            yield i, " ".join(text), int(set(there) in ({"aardvark", "bumble"}, {"citrus", "dolphin"}))
+
+    schema = "doc_id BIGINT, text STRING, toxic INT"
+    rows = list(texts(6000, 0.08))
+    assert all(sum(m in r[1] for r in rows) < 0.05 * len(rows) for m in marks)
+    train = spark.createDataFrame(rows, schema)
+    model = toxicity.fit(train.drop("toxic"), train.drop("text"))
+    probes = spark.createDataFrame(list(texts(600, 1.0)), schema)
+    got = toxicity.score(probes, model).collect()
+    caught = [r.predicted for r in got if r.toxic]
+    spared = [1 - r.predicted for r in got if not r.toxic]
+    assert sum(caught) >= 0.95 * len(caught) > 150
+    assert sum(spared) >= 0.95 * len(spared)
+
+
+def test_terms_of_few_rows_are_fitted(spark):
+    """Marks of four toxic rows each, in one shard and in eleven."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(2400):
+        mark = [f"{'klmnpqrstv'[i // 4 % 10]}zq"] if i < 40 else []
+        rows.append((i, " ".join(rng.choices([f"w{k}" for k in range(40)], k=8) + mark), int(i < 40 or i % 10 == 0)))
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT")
+    for bound in (20_000, 450):
+        model = toxicity.fit(df.drop("toxic"), df.drop("text"), bound=bound)
+        for k in "klmnpqrstv":
+            term, _ = toxicity.hashed_terms(*flat(pa.array([f"{k}zq"])))
+            at, known = model.find(term)
+            assert known.all() and (model.linear[at] > 0).all()
+
+
 def test_margins_equal_plain_pair_sums():
     rng = np.random.default_rng(5)
     model = toxicity.Model(np.arange(9), -0.3, rng.normal(size=9), rng.normal(size=(9, 3)))
