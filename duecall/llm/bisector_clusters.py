@@ -177,7 +177,7 @@ def cluster_vectors(
     if len(centroids):
         placed = saved(assigned(rows, Bisectors(centroids), dims, scale), "assigned")
     else:
-        placed = rows.limit(0).selectExpr("key", "int(0) AS cluster", "bigint(0) AS distance")
+        placed = rows.limit(0).selectExpr("key", "int(null) AS cluster", "bigint(null) AS distance")
     digests = [
         (i, hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest())
         for i, c in enumerate(centroids)
